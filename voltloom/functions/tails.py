@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -59,16 +60,16 @@ def _column(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64").replace({np.nan: None}).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _column(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return _column(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _column(f_upper, f, d1, d2)
