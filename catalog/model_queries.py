@@ -11,6 +11,7 @@ from catalog.detector_queries import SPLIT_SQL
 from voltloom.functions import columns as C
 from voltloom.operators import anomaly, days, models
 from voltloom.plans import experiment
+from voltloom.session import stage
 
 B = ["building"]
 
@@ -118,7 +119,7 @@ def _(w):
 @query("n03_hashed_experiment")
 def _(w):
     low = C.is_low("occupancy", F.lit(1.0))
-    test = experiment.labelled_test(w.expected, B, low, n_spikes=20, n_waste=20, rules=w.rules)
+    test = stage(experiment.labelled_test(w.expected, B, low, n_spikes=20, n_waste=20, rules=w.rules), "labelled")
     scored = anomaly.score_detector(test, ["building", "detector"], rules=w.rules)
     return anomaly.evaluate_by_type(scored, ["building", "detector"])
 
@@ -185,8 +186,7 @@ def _(w):
 
 
 def _day_scores(w):
-    z = days.standardise(w.hourly_days)
-    return days.day_scores(z, days.principal_components(z))
+    return w.day_scores
 
 
 @query("v09_reconstruction_error")

@@ -8,7 +8,7 @@ from catalog.registry import query
 from catalog.sql import d, i, is_, r, rs, sql, t, RUNS_SQL
 from voltloom.operators import assemble, models, profile, waste, weather
 from voltloom.functions import columns as C
-from voltloom.plans import headline
+from voltloom.plans import experiment, headline
 
 FRACTION = 0.25   # the stand-in counts are small: 5 % of their p95 is never reached
 
@@ -268,17 +268,24 @@ def _(w):
     return weather.fit_base_temperature(w.buildings.filter("usable"), ["building"], rules=w.rules)
 
 
+DECOMPOSE_SQL = """lo AS (SELECT b.building, hour, power_w, temp_c FROM buildings b JOIN thr USING (building)
+    WHERE usable AND temp_c IS NOT NULL AND occupancy <= round_even(thr, 2)),
+ln AS (SELECT building, count(lo.hour) AS n FROM (SELECT DISTINCT building FROM buildings) LEFT JOIN lo USING (building) GROUP BY 1),
+fits AS (SELECT building, b::DOUBLE AS base_c, sum(sy) / sum(n) AS my, sum(sx) / sum(n) AS mx, coalesce(sum(xy) / nullif(sum(xx), 0), 0e0) AS s,
+    1 - (sum(yy) - coalesce(sum(xy) / nullif(sum(xx), 0), 0e0) * sum(xy)) / (sum(sy2) - sum(sy) * sum(sy) / sum(n)) AS r2, max(top) AS top
+  FROM (SELECT building, b, hour, count(*) AS n, sum(power_w) AS sy, sum(power_w * power_w) AS sy2, sum(x) AS sx, max(x) AS top,
+      regr_sxx(power_w, x) AS xx, regr_sxy(power_w, x) AS xy, regr_syy(power_w, x) AS yy
+    FROM (SELECT building, hour, power_w, b, greatest(temp_c - b, 0e0) / 6e0 AS x FROM lo, range(16, 31) q(b)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY building ORDER BY r2 DESC, base_c) AS rn
+  FROM fits f JOIN ln USING (building) WHERE top > 0 AND n >= 100) WHERE rn = 1)"""
+
+
 @query("m13_decompose_low_occupancy", sql(f"""
   SELECT building, {i('n')}, {rs('base_c', 'r2', ('my / 1e3', 'mean_power_kw'), ('CASE WHEN s > 0 THEN (my - s * mx) / 1e3 END', 'schedule_kw'),
     ('CASE WHEN s > 0 THEN s * mx / 1e3 END', 'weather_kw'), ('CASE WHEN s > 0 THEN 100 * s * mx / my END', 'weather_share_pct'),
-    ('s', 'slope_w_per_degree_hour'), ('CASE WHEN s > 0 THEN mx END', 'mean_cdh'))}, s > 0 AS identifiable
-  FROM (SELECT *, row_number() OVER (PARTITION BY building ORDER BY r2 DESC, base_c) AS rn FROM (
-    SELECT building, b::DOUBLE AS base_c, sum(n) AS n, sum(sy) / sum(n) AS my, sum(sx) / sum(n) AS mx, sum(xy) / sum(xx) AS s,
-      1 - (sum(yy) - sum(xy) / sum(xx) * sum(xy)) / (sum(sy2) - sum(sy) * sum(sy) / sum(n)) AS r2, max(top) AS top
-    FROM (SELECT building, b, hour, count(*) AS n, sum(power_w) AS sy, sum(power_w * power_w) AS sy2, sum(x) AS sx, max(x) AS top,
-        regr_sxx(power_w, x) AS xx, regr_sxy(power_w, x) AS xy, regr_syy(power_w, x) AS yy
-      FROM (SELECT building, hour, power_w, b, greatest(temp_c - b, 0e0) / 6e0 AS x FROM buildings, range(16, 31) q(b)
-        WHERE usable AND temp_c IS NOT NULL AND occupancy <= 1) GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE top > 0) WHERE rn = 1""", "buildings"))
+    ('s', 'slope_w_per_degree_hour'), ('CASE WHEN s > 0 THEN mx END', 'mean_cdh'))}, coalesce(s > 0, false) AS identifiable
+  FROM ln LEFT JOIN best USING (building)""", "buildings", extra=share_sql("25e-2") + ", " + DECOMPOSE_SQL))
 def _(w):
-    low = F.col("usable") & C.is_low("occupancy", F.lit(1.0))
-    return weather.decompose_low_occupancy(w.buildings, low, ["building"], rules=w.rules, min_rows=100).drop("reason")
+    d = experiment.with_low_threshold(w.buildings, w.buildings, FRACTION, w.rules)
+    low = F.col("usable") & C.is_low("occupancy", F.col("low_threshold"))
+    return weather.decompose_low_occupancy(d, low, ["building"], rules=w.rules, min_rows=100).drop("reason")

@@ -141,6 +141,13 @@ class Workspace:
         return self._once("hourly_days", lambda: days.with_labels(days.hourly(days.day_rows(
             self.dense, value="power_w"))))
 
+    @property
+    def day_scores(self) -> DataFrame:
+        def make():
+            z = days.standardise(self.hourly_days)
+            return days.day_scores(z, days.principal_components(z))
+        return self._once("day_scores", make)
+
     @property
     def dense(self) -> DataFrame:
         """A gap-free series per building: missing power counts as the building's mean of

@@ -17,7 +17,7 @@ def parse_station(rows: DataFrame) -> DataFrame:
     Rows without a stamp are dropped, one row is kept per stamp.
     """
     number = lambda c: F.expr(f"try_cast({c} AS double)")
-    return (rows.select(F.expr("try_to_timestamp(valid, 'yyyy-MM-dd HH:mm')").cast("timestamp_ntz").alias("ts"),
+    return (rows.select(F.expr("try_cast(valid AS timestamp_ntz)").alias("ts"),
                         number("tmpc").alias("temp_c"), number("relh").alias("relh"))
             .filter(F.col("ts").isNotNull())
             .groupBy("ts").agg(F.min(F.struct("temp_c", "relh")).alias("_r"))

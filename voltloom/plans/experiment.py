@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltloom.config import DEFAULT_RULES, Rules
 from voltloom.operators import anomaly, models, waste
 from voltloom.operators.ordered import row_positions
+from voltloom.session import stage
 
 DETECTORS = {"B": "T", "C": "O"}
 WEATHER_DETECTORS = {"B_w": "T", "E": "W", "F": "OW"}
@@ -24,12 +25,13 @@ def labelled_test(expected: DataFrame, keys, low: Column, names: dict = DETECTOR
     """The test rows with hash-drawn events, once per detector.
 
     Only power changes, so every detector keeps its predictions. `low` marks the rows waste
-    may start on.
+    may start on. The positions are staged: events are drawn from them and laid over them.
     """
     keys = list(keys)
     test = expected.filter("split = 'test'").drop("pos", "n_rows")
     one = test.filter(F.col("model") == next(iter(names))).withColumn("_low", low)
-    pos = row_positions(one.select(*keys, "ts", "power_w", "_low"), keys, "ts", rules.segment_days, "pos", "n_rows")
+    pos = stage(row_positions(one.select(*keys, "ts", "power_w", "_low"), keys, "ts", rules.segment_days,
+                              "pos", "n_rows"), "test_positions")
     events = anomaly.drop_overlaps(
         anomaly.hashed_events(pos, keys, F.col("_low"), n_spikes, n_waste, seed), keys)
     d = anomaly.contaminate(pos, events, keys).drop("_low", "n_rows")
@@ -109,10 +111,13 @@ def scored_record(split: DataFrame, table: DataFrame, keys=("building",), fracti
 
 def weather_detectors(split: DataFrame, low: Column, keys=("building",), min_rows: int = models.MIN_WEATHER_ROWS,
                       rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Ranking quality of the detectors with time, weather and occupancy on weather rows."""
+    """Ranking quality of the detectors with time, weather and occupancy on weather rows.
+
+    Scoring reads the labelled rows several times, so they are staged.
+    """
     keys = list(keys)
     fitted = {m: models.WEATHER_MODELS[m] for m in WEATHER_DETECTORS}
-    rows = models.weather_rows(split, keys, min_rows)
-    test = labelled_test(expected_power(rows, keys, fitted), keys, low, WEATHER_DETECTORS, rules=rules)
+    expected = stage(expected_power(models.weather_rows(split, keys, min_rows), keys, fitted), "weather_expected")
+    test = stage(labelled_test(expected, keys, low, WEATHER_DETECTORS, rules=rules), "weather_labelled")
     z = anomaly.score_detector(test, [*keys, "detector"], one_sided=True, rules=rules)
     return anomaly.ranking_scores(z, [*keys, "detector"])

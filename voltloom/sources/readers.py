@@ -13,8 +13,12 @@ READING_COLUMNS = ("power", "current", "voltage", "frequency", "power_factor")
 
 
 def local_time(seconds: str | Column) -> Column:
-    """UNIX seconds to a timestamp shown in the session zone."""
-    return F.timestamp_seconds(F.col(seconds) if isinstance(seconds, str) else seconds)
+    """UNIX seconds to the wall clock of the session zone (set it to the site's zone).
+
+    The pipeline works on wall-clock stamps throughout, as do the weather rows.
+    """
+    c = F.col(seconds) if isinstance(seconds, str) else seconds
+    return F.timestamp_seconds(c).cast("timestamp_ntz")
 
 
 def file_stem() -> Column:
