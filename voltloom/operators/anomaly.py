@@ -16,14 +16,17 @@ POSITIONS_PER_SLICE = 4096
 
 
 # -------------------------------------------------------------------- scoring
-def robust_scale(df: DataFrame, keys, residual: str = "residual_w") -> DataFrame:
-    """Median and MAD-based scale per key; the sample sd where the MAD is 0.
+def robust_scale(df: DataFrame, keys, residual: str = "residual_w",
+                 also: dict[str, float] | None = None) -> DataFrame:
+    """Median, MAD and scale per key; the sample sd stands in where the MAD is 0.
 
-    A constant series has sd 0 too: its scale is NULL, and so are its scores.
+    A constant series has sd 0 too: its scale is NULL, and so are its scores. Further
+    quantiles asked for in `also` come from the same pass as the median.
     """
     keys = list(keys)
-    med = quantiles(df, keys, residual, {"median": 0.5})
-    dev = df.select(*keys, residual).join(med, keys).withColumn("_d", F.abs(F.col(residual) - F.col("median")))
+    med = quantiles(df, keys, residual, {"median": 0.5, **(also or {})})
+    dev = df.select(*keys, residual).join(med.select(*keys, "median"), keys).withColumn(
+        "_d", F.abs(F.col(residual) - F.col("median")))
     mad = quantiles(dev, keys, "_d", {"mad": 0.5})
     sd = df.groupBy(*keys).agg(F.stddev_samp(residual).alias("_sd"))
     s = med.join(mad, keys).join(sd, keys)
@@ -38,21 +41,31 @@ def robust_zscore(df: DataFrame, keys, residual: str = "residual_w", name: str =
             .withColumn(name, ratio(F.col(residual) - F.col("median"), F.col("scale"))).drop("median", "scale"))
 
 
+def iqr_flags(df: DataFrame, keys, residual: str = "residual_w", k: float = 1.5) -> DataFrame:
+    """The cross-check: rows outside the Tukey fences of their key."""
+    f = fences(df, list(keys), residual, k).select(*keys, "low_fence", "high_fence")
+    r = F.col(residual)
+    return df.join(f, list(keys), "left").withColumn("flagged_iqr", F.coalesce(
+        (r < F.col("low_fence")) | (r > F.col("high_fence")), F.lit(False))).drop("low_fence", "high_fence")
+
+
 def score_detector(df: DataFrame, keys, actual: str = "power_w", predicted: str = "predicted_w",
                    one_sided: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Residual, z, band, flag and the Tukey cross-check per row.
 
-    The band uses >= 3 on |z|, the one-sided flag z > 3, as published.
+    The band uses >= 3 on |z|, the one-sided flag z > 3, as published. Quartiles and
+    median come from one pass, and one small table is joined back.
     """
     keys = list(keys)
-    d = robust_zscore(df.withColumn("residual_w", F.col(actual) - F.col(predicted)), keys)
-    f = fences(d, keys, "residual_w", rules.outlier_iqr_k).select(*keys, "low_fence", "high_fence")
-    hit = F.col("z") > rules.z_anomaly if one_sided else F.abs("z") >= rules.z_anomaly
-    r = F.col("residual_w")
-    return (d.join(f, keys, "left").withColumns({
-        "band": band("z", rules), "flagged": F.coalesce(hit, F.lit(False)),
-        "flagged_iqr": F.coalesce((r < F.col("low_fence")) | (r > F.col("high_fence")), F.lit(False)),
-    }).drop("low_fence", "high_fence"))
+    d = df.withColumn("residual_w", F.col(actual) - F.col(predicted))
+    s = robust_scale(d, keys, also={"_q1": 0.25, "_q3": 0.75}).select(*keys, "median", "scale", "_q1", "_q3")
+    r, reach = F.col("residual_w"), rules.outlier_iqr_k * (F.col("_q3") - F.col("_q1"))
+    z = ratio(r - F.col("median"), F.col("scale"))
+    hit = z > rules.z_anomaly if one_sided else F.abs(z) >= rules.z_anomaly
+    return (d.join(s, keys, "left").withColumns({
+        "z": z, "band": band(z, rules), "flagged": F.coalesce(hit, F.lit(False)),
+        "flagged_iqr": F.coalesce((r < F.col("_q1") - reach) | (r > F.col("_q3") + reach), F.lit(False)),
+    }).drop("median", "scale", "_q1", "_q3"))
 
 
 def band_counts(scored: DataFrame, keys) -> DataFrame:

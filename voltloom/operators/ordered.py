@@ -59,8 +59,10 @@ def up_to_here(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def from_here(w):
-    return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def back_to_here(keys: list[str], order: str = SEC):
+    """From the end of the slice back to the row. A frame that reaches forward to the end
+    is evaluated anew for every row; the reversed order gives the same in one sweep."""
+    return up_to_here(Window.partitionBy(*keys, SLICE).orderBy(F.col(order).desc()))
 
 
 def row_positions(df: DataFrame, keys: list[str], ts: str, days: int,

@@ -9,7 +9,7 @@ from voltloom.config import BLOCK_SECONDS, BLOCKS_PER_HOUR, DEFAULT_RULES, Rules
 from voltloom.functions.columns import right_closed_bucket
 from voltloom.config import ZERO_RUN_BUCKETS
 from voltloom.operators import ordered
-from voltloom.operators.ordered import SEC, from_here, slice_window, sliced, unsliced, up_to_here
+from voltloom.operators.ordered import SEC, back_to_here, slice_window, sliced, unsliced, up_to_here
 from voltloom.operators.ranks import quantiles
 
 
@@ -38,7 +38,7 @@ def fill_short_gaps(df: DataFrame, keys, value: str, filled: str, was_filled: st
     d = d.withColumn("_pos", F.row_number().over(w))
     mark = F.when(x.isNotNull(), F.struct("_pos", SEC, "_x"))
     d = (d.withColumn("_prev", F.last(mark, True).over(up_to_here(w)))
-         .withColumn("_next", F.first(mark, True).over(from_here(w))))
+         .withColumn("_next", F.last(mark, True).over(back_to_here(keys))))
     rows = F.col("_next._pos") - F.col("_prev._pos") - 1
     share = ((F.col(SEC) - F.col(f"_prev.{SEC}"))
              / (F.col(f"_next.{SEC}") - F.col(f"_prev.{SEC}")))
@@ -65,22 +65,22 @@ def flag_meter_off(df: DataFrame, keys, power_max: str = "power_max_w", flag: st
     bridge = rules.fill_limit if bridge is None else bridge
     reach = (need + 2 * (bridge + 1)) * BLOCK_SECONDS
     w = slice_window(keys)
-    before, after = up_to_here(w), from_here(w)
+    before, after = up_to_here(w), back_to_here(keys)
     p = F.col(power_max)
     d = (sliced(df, ts, rules.segment_days, reach, reach)
          .withColumn("_pos", F.row_number().over(w).cast("bigint"))
          .withColumn("_zero", F.coalesce(p == 0, F.lit(False))))
     mark = F.when(p.isNotNull(), F.struct("_pos", "_zero"))
     d = (d.withColumn("_prev", F.last(mark, True).over(before))
-         .withColumn("_next", F.first(mark, True).over(after)))
+         .withColumn("_next", F.last(mark, True).over(after)))
     bridged = (p.isNull() & F.col("_prev._zero") & F.col("_next._zero")
                & (F.col("_next._pos") - F.col("_prev._pos") - 1 <= bridge))
     d = d.withColumn("_in", F.col("_zero") | F.coalesce(bridged, F.lit(False)))
     stop = F.when(~F.col("_in"), F.col("_pos"))
     d = (d.withColumn("_from", F.coalesce(F.last(stop, True).over(before),
                                           F.first("_pos").over(before) - 1))
-         .withColumn("_to", F.coalesce(F.first(stop, True).over(after),
-                                       F.last("_pos").over(after) + 1)))
+         .withColumn("_to", F.coalesce(F.last(stop, True).over(after),
+                                       F.first("_pos").over(after) + 1)))
     d = d.withColumn("_flag", F.col("_zero") & (F.col("_to") - F.col("_from") - 1 >= need))
     d = d.drop("_pos", "_zero", "_prev", "_next", "_in", "_from", "_to")
     if flag in df.columns:
