@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import roles as R
 from catalog.registry import query
 from catalog.sql import VAC, d, i, is_, r, rs, sql, t, RUNS_SQL
-from voltloom.config import IDLE_DEVICES_DEFAULT
 from voltloom.functions import columns as C
-from voltloom.operators import assemble, blocks, features, ordered, profile, ranks, runs, waste, weather
+from voltloom.operators import assemble, blocks, features, ordered, profile, runs, weather
+from voltloom.session import shared_folder
+from voltloom.streaming import incremental
 
 
 # ------------------------------------------------------------ values and blocks
@@ -37,6 +40,19 @@ def _(w):
     return blocks.meter_blocks(w.readings, rules=w.rules)
 
 
+@query("a01_incremental_blocks", sql(f"""
+  SELECT meter, {t('ts')}, {rs('power_w', 'power_min_w', 'power_max_w', 'voltage', 'current', 'frequency', 'power_factor', 'pf_neg_frac')},
+    {i('n_readings')} FROM agg""", "blocks"))
+def _(w):
+    """The same blocks from a file stream, batch by batch."""
+    home = f"{shared_folder(w.spark)}/voltloom/ingest-{uuid.uuid4().hex}"
+    stream = (w.spark.readStream.schema(w.table("events").schema).option("pathGlobFilter", "events.parquet")
+              .parquet(w.sf_dir))
+    q = incremental.ingest(R.as_readings(R.with_k(stream)), f"{home}/blocks", f"{home}/state", w.rules)
+    q.awaitTermination()
+    return incremental.stored_blocks(w.spark, f"{home}/blocks")
+
+
 @query("a02_block_counters", sql(f"""
   SELECT meter, {is_(('count(*)', 'blocks_10min'), ('count(*) FILTER (WHERE n_readings = 0)', 'blocks_missing'),
     ('count(*) FILTER (WHERE n_readings BETWEEN 1 AND 9)', 'blocks_partial'))},

@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_k(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
 def events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("bigint"))
+    return with_k(table(spark, sf_dir, "events"))
 
 
 def registry(spark) -> DataFrame:
@@ -34,8 +37,12 @@ def registry(spark) -> DataFrame:
 
 
 def readings(spark, sf_dir) -> DataFrame:
+    return as_readings(events(spark, sf_dir))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
     k, v = F.col("k"), F.col("value")
-    return events(spark, sf_dir).select(
+    return events.select(
         F.col("event_type").alias("meter"), "ts",
         F.when(k % 25 == 7, F.lit(None)).when(k == 99, -1.0).when(v < 5, 0.0).otherwise(v)
         .alias("power"),
