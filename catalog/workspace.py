@@ -50,9 +50,14 @@ class Workspace:
     def occupancy_raw(self) -> DataFrame:
         return R.occupancy(self.spark, self.sf_dir)
 
+    @property
+    def block_sums(self) -> DataFrame:
+        return self._once("block_sums", lambda: blocks.aggregate_blocks(
+            blocks.invalidate(self.readings, self.rules)))
+
     @property
     def blocks(self) -> DataFrame:
-        return self._once("meter_blocks", lambda: blocks.meter_blocks(self.readings, rules=self.rules))
+        return self._once("meter_blocks", lambda: blocks.complete_grid(self.block_sums))
 
     @property
     def cleaned(self) -> DataFrame:

@@ -51,7 +51,8 @@ def combine_meters(cleaned: DataFrame, registry: DataFrame, roles=("mains", "ups
         mine = F.col("role") == role
         aggs += [(F.bool_or if c in FLAGS else F.max)(F.when(mine, F.col(c))).alias(f"{c}_{role}")
                  for c in PER_METER if c in cleaned.columns]
-    return (d.groupBy("building", F.col("kind").alias("building_kind"), "ts").agg(*aggs))
+    # grouped by (building, ts) only, so the occupancy join finds its partitioning ready
+    return d.groupBy("building", "ts").agg(F.max("kind").alias("building_kind"), *aggs)
 
 
 def supplies(cleaned: DataFrame, registry: DataFrame) -> DataFrame:

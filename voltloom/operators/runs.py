@@ -19,36 +19,64 @@ def gap_runs(df: DataFrame, keys, value: str, ts: str = "ts", name: str = "run_r
     return ordered.run_lengths(df, list(keys), ts, F.col(value).isNull(), rules.segment_days, name)
 
 
+def _fill_reach(limit: int) -> int:
+    return (limit + 1) * BLOCK_SECONDS
+
+
+def _fill(d: DataFrame, keys, source: Column, filled: str, was_filled: str, limit: int) -> DataFrame:
+    """The fill rule on sliced rows; `d` must reach `_fill_reach` around its own rows."""
+    w, x = slice_window(keys), F.col("_x")
+    d = d.withColumns({"_x": source, "_pos": F.row_number().over(w).cast("bigint")})
+    mark = F.when(x.isNotNull(), F.struct("_pos", SEC, "_x"))
+    d = d.withColumns({"_prev": F.last(mark, True).over(up_to_here(w)),
+                       "_next": F.last(mark, True).over(back_to_here(keys))})
+    rows = F.col("_next._pos") - F.col("_prev._pos") - 1
+    share = ((F.col(SEC) - F.col(f"_prev.{SEC}"))
+             / (F.col(f"_next.{SEC}") - F.col(f"_prev.{SEC}")))
+    line = F.col("_prev._x") + (F.col("_next._x") - F.col("_prev._x")) * share
+    short = F.coalesce(x.isNull() & (rows <= limit), F.lit(False))
+    # a row without a reading on both sides has no line, and `short` is false for it
+    return (d.withColumns({"_new": F.when(short, line).otherwise(x), "_was": short}).drop(filled, was_filled)
+            .withColumnsRenamed({"_new": filled, "_was": was_filled}).drop("_pos", "_prev", "_next", "_x"))
+
+
 def fill_short_gaps(df: DataFrame, keys, value: str, filled: str, was_filled: str,
                     limit: int | None = None, ts: str = "ts", source: Column | None = None,
                     rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Fill a gap linearly in time only if the **whole** gap is at most `limit` rows.
 
     Longer gaps stay NULL throughout and nothing is extrapolated. The two readings around
-    a short gap lie at most limit + 1 rows away, so a bounded look-around is exact.
+    a short gap lie at most limit + 1 rows away, so a bounded look-around is exact; rows
+    off the grid (raw weather stamps) only make the gap span less time.
     """
     keys = list(keys)
     limit = rules.fill_limit if limit is None else limit
-    reach = (limit + 1) * BLOCK_SECONDS
+    reach = _fill_reach(limit)
+    d = sliced(df, ts, rules.segment_days, reach, reach)
+    return unsliced(_fill(d, keys, F.col(value) if source is None else source, filled, was_filled, limit))
+
+
+def _off_reach(need: int, bridge: int) -> int:
+    return (need + 2 * (bridge + 1)) * BLOCK_SECONDS
+
+
+def _off(d: DataFrame, keys, power_max: str, flag: str, need: int, bridge: int) -> DataFrame:
+    """The dead-meter rule on sliced rows; `d` must reach `_off_reach` around its own rows."""
     w = slice_window(keys)
-    x = F.col("_x")
-    # a row off the grid (raw weather stamps) only makes the gap span less time
-    d = sliced(df.withColumn("_x", F.col(value) if source is None else source),
-               ts, rules.segment_days, reach, reach)
-    d = d.withColumn("_pos", F.row_number().over(w))
-    mark = F.when(x.isNotNull(), F.struct("_pos", SEC, "_x"))
-    d = (d.withColumn("_prev", F.last(mark, True).over(up_to_here(w)))
-         .withColumn("_next", F.last(mark, True).over(back_to_here(keys))))
-    rows = F.col("_next._pos") - F.col("_prev._pos") - 1
-    share = ((F.col(SEC) - F.col(f"_prev.{SEC}"))
-             / (F.col(f"_next.{SEC}") - F.col(f"_prev.{SEC}")))
-    line = F.col("_prev._x") + (F.col("_next._x") - F.col("_prev._x")) * share
-    short = F.coalesce(x.isNull() & (rows <= limit), F.lit(False))
-    out = (d.withColumn("_new", F.when(short, line).otherwise(x)).withColumn("_was", short)
-           .drop("_pos", "_prev", "_next", "_x"))
-    if filled in df.columns:
-        out = out.drop(filled)
-    return unsliced(out.withColumnRenamed("_new", filled).withColumnRenamed("_was", was_filled))
+    before, after = up_to_here(w), back_to_here(keys)
+    p = F.col(power_max)
+    d = d.withColumns({"_pos": F.row_number().over(w).cast("bigint"), "_zero": F.coalesce(p == 0, F.lit(False))})
+    mark = F.when(p.isNotNull(), F.struct("_pos", "_zero"))
+    d = d.withColumns({"_prev": F.last(mark, True).over(before), "_next": F.last(mark, True).over(after)})
+    bridged = (p.isNull() & F.col("_prev._zero") & F.col("_next._zero")
+               & (F.col("_next._pos") - F.col("_prev._pos") - 1 <= bridge))
+    d = d.withColumn("_in", F.col("_zero") | F.coalesce(bridged, F.lit(False)))
+    stop = F.when(~F.col("_in"), F.col("_pos"))
+    d = d.withColumns({
+        "_from": F.coalesce(F.last(stop, True).over(before), F.first("_pos").over(before) - 1),
+        "_to": F.coalesce(F.last(stop, True).over(after), F.first("_pos").over(after) + 1)})
+    d = d.withColumn("_flag", F.col("_zero") & (F.col("_to") - F.col("_from") - 1 >= need)).drop(flag)
+    return d.withColumnRenamed("_flag", flag).drop("_pos", "_zero", "_prev", "_next", "_in", "_from", "_to")
 
 
 def flag_meter_off(df: DataFrame, keys, power_max: str = "power_max_w", flag: str = "meter_off",
@@ -63,29 +91,8 @@ def flag_meter_off(df: DataFrame, keys, power_max: str = "power_max_w", flag: st
     keys = list(keys)
     need = rules.dead_blocks if min_blocks is None else min_blocks
     bridge = rules.fill_limit if bridge is None else bridge
-    reach = (need + 2 * (bridge + 1)) * BLOCK_SECONDS
-    w = slice_window(keys)
-    before, after = up_to_here(w), back_to_here(keys)
-    p = F.col(power_max)
-    d = (sliced(df, ts, rules.segment_days, reach, reach)
-         .withColumn("_pos", F.row_number().over(w).cast("bigint"))
-         .withColumn("_zero", F.coalesce(p == 0, F.lit(False))))
-    mark = F.when(p.isNotNull(), F.struct("_pos", "_zero"))
-    d = (d.withColumn("_prev", F.last(mark, True).over(before))
-         .withColumn("_next", F.last(mark, True).over(after)))
-    bridged = (p.isNull() & F.col("_prev._zero") & F.col("_next._zero")
-               & (F.col("_next._pos") - F.col("_prev._pos") - 1 <= bridge))
-    d = d.withColumn("_in", F.col("_zero") | F.coalesce(bridged, F.lit(False)))
-    stop = F.when(~F.col("_in"), F.col("_pos"))
-    d = (d.withColumn("_from", F.coalesce(F.last(stop, True).over(before),
-                                          F.first("_pos").over(before) - 1))
-         .withColumn("_to", F.coalesce(F.last(stop, True).over(after),
-                                       F.first("_pos").over(after) + 1)))
-    d = d.withColumn("_flag", F.col("_zero") & (F.col("_to") - F.col("_from") - 1 >= need))
-    d = d.drop("_pos", "_zero", "_prev", "_next", "_in", "_from", "_to")
-    if flag in df.columns:
-        d = d.drop(flag)
-    return unsliced(d.withColumnRenamed("_flag", flag))
+    reach = _off_reach(need, bridge)
+    return unsliced(_off(sliced(df, ts, rules.segment_days, reach, reach), keys, power_max, flag, need, bridge))
 
 
 def zero_runs(df: DataFrame, keys, power_max: str = "power_max_w", ts: str = "ts",
@@ -152,12 +159,19 @@ def flag_outliers(df: DataFrame, keys, value: str, live: Column,
     return out.select(*df.columns, "outlier_iqr", "outlier_zscore")
 
 
-def clean_rules(blocks: DataFrame, keys=("meter",), rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """The grid rules before outliers: is_missing, meter_off, filled power, fill mark."""
-    d = flag_meter_off(blocks, keys, rules=rules)
+def clean_rules(blocks: DataFrame, keys=("meter",), ts: str = "ts", rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """The grid rules before outliers: is_missing, meter_off, filled power, fill mark.
+
+    Both rules share one slicing and hence one shuffle: the slices reach far enough for the
+    dead-meter flags to be right wherever the fill rule looks.
+    """
+    keys = list(keys)
+    need, limit = rules.dead_blocks, rules.fill_limit
+    reach = _off_reach(need, limit) + _fill_reach(limit)
+    d = _off(sliced(blocks, ts, rules.segment_days, reach, reach), keys, "power_max_w", "meter_off", need, limit)
     d = d.withColumn("is_missing", F.col("n_readings") == 0)
-    return fill_short_gaps(d, keys, "power_w", "power_filled_w", "was_interpolated",
-                           source=F.when(~F.col("meter_off"), F.col("power_w")), rules=rules)
+    return unsliced(_fill(d, keys, F.when(~F.col("meter_off"), F.col("power_w")),
+                          "power_filled_w", "was_interpolated", limit))
 
 
 def live_rows() -> Column:
