@@ -230,3 +230,17 @@ def _(w):
         "low_occupancy", C.is_low("occupancy", F.lit(1.0)))
     b = lambda x: F.lit(x).cast("timestamp_ntz")
     return profile.window_kpis(s, ["building"], b("2024-01-27 00:00:00"), b("2024-01-29 00:00:00"))
+
+
+@query("n10_display_scores", sql(f"""
+  SELECT building, {t('ts')}, split, {rs('residual_w', 'z')}, CASE WHEN z < 0 THEN 'NORMAL' WHEN abs(z) >= 3 THEN 'ANOMALY' WHEN abs(z) >= 2 THEN 'WARNING' ELSE 'NORMAL' END AS band
+  FROM (SELECT q.*, (residual_w - med) / CASE WHEN mad > 0 THEN 14826e-4 * mad ELSE 1 END AS z FROM q JOIN qm USING (building) JOIN qa USING (building))""", "buildings",
+  extra=SPLIT_SQL + """, q AS (SELECT building, ts, split, round(power_w, 6) - round(pt, 6) AS residual_w FROM sp
+      JOIN (SELECT building, hour, avg(power_w) AS pt FROM sp WHERE split = 'train' GROUP BY 1, 2) a USING (building, hour)),
+    qm AS (SELECT building, quantile_cont(residual_w, 0.5) AS med FROM q WHERE split = 'test' GROUP BY 1),
+    qa AS (SELECT building, quantile_cont(abs(residual_w - med), 0.5) AS mad FROM q JOIN qm USING (building) WHERE split = 'test' GROUP BY 1)"""))
+def _(w):
+    """A whole record on the scale of its test residuals, against the mean by hour."""
+    mean = w.split.filter("split = 'train'").groupBy("building", "hour").agg(F.avg("power_w").alias("pt"))
+    d = w.split.join(mean, ["building", "hour"]).withColumn("residual_w", F.round("power_w", 6) - F.round("pt", 6))
+    return anomaly.apply_test_scale(d, ["building"], w.rules).select("building", "ts", "split", "residual_w", "z", "band")

@@ -287,6 +287,15 @@ def _(w):
     return assemble.cross_check(wide, WIDE, w.blocks, w.registry)
 
 
+@query("a44_all_checks_agree", sql("""SELECT bool_and(abs(our_mean_w - wide_mean_w) / wide_mean_w < 5e-1) AS all_agree
+  FROM (SELECT meter, avg(power_w) AS our_mean_w FROM blocks GROUP BY 1) JOIN (SELECT meter, avg(power) AS wide_mean_w FROM clean GROUP BY 1) USING (meter)""", "blocks"))
+def _(w):
+    wide = blocks.invalidate(w.readings, w.rules).groupBy("ts").pivot("meter", ["click", "error", "view", "purchase", "signup"]).agg(F.avg("power"))
+    reg = w.registry.withColumn("building", F.col("meter"))
+    c = assemble.cross_check(wide, {m: [m] for m in ("click", "error", "view", "purchase", "signup")}, w.blocks, reg, 50.0)
+    return c.agg(F.bool_and("agrees").alias("all_agree"))
+
+
 @query("g08_dead_meter_rule", sql(f"""
   SELECT building, {i('count(*)', 'rows')}, {i('count(*) FILTER (WHERE u)', 'usable_rows')}, {r('sum(CASE WHEN u THEN p / 1e3 * (10e0/60e0) END)', 'kwh')}
   FROM (SELECT building, p, p IS NOT NULL AND NOT mo AND occupancy IS NOT NULL AS u

@@ -21,6 +21,52 @@ def _(w):
     return models.fit_and_score(w.split, B)
 
 
+# Least squares is right exactly if the residuals of the training rows are orthogonal to
+# every column of the design, which SQL can say without solving anything.
+def moments_sql(train: str) -> str:
+    """CTEs: tr, the training rows; fcols, the design columns each building has."""
+    return SPLIT_SQL + f""", {train}, fcols AS (
+      SELECT DISTINCT building, 'hour=' || hour AS feature FROM tr UNION ALL SELECT DISTINCT building, 'weekday=' || weekday FROM tr
+      UNION ALL SELECT DISTINCT building, 'month=' || month FROM tr
+      UNION ALL SELECT DISTINCT building, unnest(['is_weekend', 'is_semester', 'is_working_day']) FROM tr)"""
+
+
+TIME_TRAIN = "tr AS (SELECT * FROM sp WHERE split = 'train')"
+WEATHER_TRAIN = """okw AS (SELECT building FROM sp WHERE temp_c IS NOT NULL AND cdh IS NOT NULL GROUP BY 1
+    HAVING least(count(*) FILTER (WHERE split = 'train'), count(*) FILTER (WHERE split = 'validation'), count(*) FILTER (WHERE split = 'test')) >= 100),
+  tr AS (SELECT * FROM sp WHERE split = 'train' AND temp_c IS NOT NULL AND cdh IS NOT NULL AND building IN (SELECT building FROM okw))"""
+
+
+def _moments(w, rows, fitted, numeric):
+    coefs = models.fit_linear(rows.filter("split = 'train'"), B, fitted)
+    p = models.predict(rows.filter("split = 'train'"), coefs, B).withColumn("e", F.col("power_w") - F.col("predicted_w"))
+    cells = p.groupBy("building", "model", *models.CELL_KEYS).agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    one = lambda name, on: F.struct(name.alias("feature"), on.alias("x"))
+    cols = [one(F.concat(F.lit(f"{f}="), F.col(f).cast("string")), F.lit(1.0)) for f in ("hour", "weekday", "month")]
+    cols += [one(F.lit(b), F.col(b).cast("double")) for b in models.BINARIES]
+    m = (cells.withColumn("_c", F.explode(F.array(*cols))).groupBy("building", "model", F.col("_c.feature").alias("feature"))
+         .agg((F.sum(F.col("e") * F.col("_c.x")) / F.sum("n")).alias("mean_product")))
+    extra = p.groupBy("building", "model").agg(*[F.avg(F.col("e") * F.col(x)).alias(x) for x in numeric])
+    extra = extra.unpivot(["building", "model"], numeric, "feature", "mean_product")
+    used = F.lit(False)
+    for name, xs in fitted.items():
+        used = used | ((F.col("model") == name) & F.col("feature").isin(*xs)) if xs else used
+    return m.unionByName(extra.filter(used)).withColumn("mean_product", F.round("mean_product", 6) + F.lit(0.0))
+
+
+@query("m02_normal_equations", sql("""SELECT building, model, feature, 0e0 AS mean_product FROM fcols, (VALUES ('B'), ('C')) m(model)
+  UNION ALL SELECT DISTINCT building, 'C', 'occupancy', 0e0 FROM tr""", "buildings", extra=moments_sql(TIME_TRAIN)))
+def _(w):
+    return _moments(w, w.split, models.TIME_MODELS, ["occupancy"])
+
+
+@query("m08_normal_equations", sql("""SELECT building, model, feature, 0e0 AS mean_product FROM fcols, (VALUES ('B_w'), ('C_w'), ('E'), ('F')) m(model)
+  UNION ALL SELECT building, model, feature, 0e0 FROM (SELECT DISTINCT building FROM tr), (VALUES ('C_w', 'occupancy'), ('E', 'temp_c'), ('E', 'cdh'),
+    ('F', 'occupancy'), ('F', 'temp_c'), ('F', 'cdh')) m(model, feature)""", "buildings", extra=moments_sql(WEATHER_TRAIN)))
+def _(w):
+    return _moments(w, models.weather_rows(w.split, B, 100), models.WEATHER_MODELS, ["occupancy", "temp_c", "cdh"])
+
+
 @query("m04_large_enough_buildings")
 def _(w):
     return models.model_table(models.fit_and_score(models.large_enough(w.split, B), B), B)
@@ -93,7 +139,18 @@ def _(w):
     return models.polynomial_curve(w.split, B)
 
 
-@query("m11_lag_trap")
+LAG_SQL = """lf AS (SELECT building, ts, power_w AS y, occupancy AS a, power_lag_1h AS b, row_number() OVER (PARTITION BY building ORDER BY ts) - 1 AS pos,
+    count(*) OVER (PARTITION BY building) AS n FROM buildings WHERE usable AND power_lag_1h IS NOT NULL),
+ls AS (SELECT *, CASE WHEN pos < floor(7e-1 * n) THEN 'train' WHEN pos < floor(7e-1 * n) + floor((15e-2 / (1e0 - 7e-1)) * (n - floor(7e-1 * n))) THEN 'validation' ELSE 'test' END AS split FROM lf),
+lm AS (SELECT building, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(y, a) AS sya, covar_pop(y, b) AS syb
+  FROM ls WHERE split = 'train' GROUP BY 1),
+lp AS (SELECT ls.building, 'occupancy' AS model, y, my + sya / saa * (a - ma) AS p FROM ls JOIN lm USING (building) WHERE split = 'validation'
+  UNION ALL SELECT ls.building, 'occupancy + lag', y, my + (sbb * sya - sab * syb) / (saa * sbb - sab * sab) * (a - ma) + (saa * syb - sab * sya) / (saa * sbb - sab * sab) * (b - mb)
+  FROM ls JOIN lm USING (building) WHERE split = 'validation')"""
+
+
+@query("m11_lag_trap", sql(f"""SELECT building, model, 'validation' AS split, {i('count(*)', 'n')}, {rs(('avg(abs(y - p))', 'mae_w'), ('sqrt(avg((y - p) * (y - p)))', 'rmse_w'),
+    ('1 - sum((y - p) * (y - p)) / regr_syy(y, y)', 'r2'), ('100 * avg(abs((y - p) / nullif(y, 0)))', 'mape_pct'))} FROM lp GROUP BY 1, 2""", "buildings", extra=LAG_SQL))
 def _(w):
     return models.lag_trap(w.buildings, rules=w.rules)
 
@@ -180,6 +237,16 @@ def _(w):
     return days.scree(_components(w))
 
 
+@query("v04_total_variance", sql(f"""SELECT building, {r('count(*) FILTER (WHERE s > 0)::DOUBLE', 'total_variance')}, {r('1e0', 'last_cumulative')}, {r('0e0', 'error_with_all')}
+  FROM (SELECT building, hour, stddev_samp(w) AS s FROM hd GROUP BY 1, 2) GROUP BY 1""", *DENSE, extra=DENSE_SQL))
+def _(w):
+    """Eigenvalues add up to the hours that vary, and all components leave no error."""
+    z = days.standardise(w.hourly_days)
+    pc = days.principal_components(z)
+    err = days.day_scores(z, pc, 24).groupBy("building").agg(F.round(F.max("reconstruction_error"), 5).alias("error_with_all"))
+    return pc.groupBy("building").agg(F.sum("eigenvalue").alias("total_variance"), F.max("cumulative").alias("last_cumulative")).join(err, "building")
+
+
 @query("v05_a45_loading_summary")
 def _(w):
     return days.loading_summary(_components(w))

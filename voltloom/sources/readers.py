@@ -25,13 +25,19 @@ def file_stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(\.[^.]*)?$", 1)
 
 
+def folder_name() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+
+
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """The header of a CSV file; the body is not read."""
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None) -> DataFrame:
-    """All one-minute meter files: meter, ts, readings. `names` maps a file stem to a meter.
+def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None,
+                folder_names: bool = False) -> DataFrame:
+    """All one-minute meter files: meter, ts, readings. `names` maps a file stem (or, with
+    `folder_names`, the name of the folder a meter's files lie in) to a meter.
 
     Files with the same header are one scan; a column a file lacks is NULL.
     """
@@ -44,7 +50,7 @@ def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | N
         schema = ", ".join("timestamp BIGINT" if c == "timestamp" else f"`{c}` DOUBLE" if c in have
                            else f"`{c}` STRING" for c in header)
         part = (spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(group)
-                .select(file_stem().alias("meter"), local_time("timestamp").alias("ts"),
+                .select((folder_name() if folder_names else file_stem()).alias("meter"), local_time("timestamp").alias("ts"),
                         *[null_nan(c).alias(c) for c in have]))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if names:
