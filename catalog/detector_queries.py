@@ -203,6 +203,14 @@ def _(w):
     return anomaly.worst_episodes(_episodes(w).filter("detector = 'O'")).select("building", "start", "intervals", "peak_z")
 
 
+@query("a38_worst_episodes_by_hour", sql(f"""SELECT hour(start)::BIGINT AS hour, strftime(start, '%Y-%m') AS month, building, {i('count(*)', 'n')}
+  FROM (SELECT * FROM eps WHERE detector = 'O' ORDER BY peak_z DESC, building, start LIMIT 30) GROUP BY 1, 2, 3""", "buildings", extra=LABEL_SQL + ", " + EPISODE_SQL))
+def _(w):
+    top = anomaly.worst_episodes(_episodes(w).filter("detector = 'O'"), 30)
+    return profile.value_counts(top.select(F.hour("start").alias("hour"), C.month_label("start").alias("month"), "building"),
+                                "hour", "month", "building")
+
+
 @query("n09_w09_episode_per_building", sql(f"""SELECT building, {t('arg_max(start, peak_z)', 'start')}, {rs(('arg_max(flagged_hours, peak_z)', 'flagged_hours'), ('max(peak_z)', 'peak_z'),
     ('arg_max(mean_excess_kw, peak_z)', 'mean_excess_kw'), ('arg_max(total_excess_kwh, peak_z)', 'total_excess_kwh'), ('avg(flagged_hours)', 'mean_duration_h'),
     ('sum(total_excess_kwh)', 'building_total_excess_kwh'))}, {i('count(*)', 'total_episodes')} FROM eps WHERE detector = 'O' GROUP BY 1""", "buildings",

@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.sql import d, i, is_, r, rs, sql
 from catalog.detector_queries import SPLIT_SQL
 from voltloom.functions import columns as C
-from voltloom.operators import anomaly, days, models
+from voltloom.operators import anomaly, days, models, stats
 from voltloom.plans import experiment
 from voltloom.session import stage
 
@@ -266,6 +266,11 @@ def _(w):
     return days.error_threshold(_day_scores(w))
 
 
+@query("h02_component_scores_by_weekend")
+def _(w):
+    return stats.compare_groups(w.day_scores, B, "pc1", ~F.col("is_weekend"), p_values=True)
+
+
 @query("v07_v08_day_types")
 def _(w):
     return days.day_type_summary(days.day_types(_day_scores(w)))

@@ -21,7 +21,7 @@ PRICE = "l_extendedprice"
         'voltage_out_of_range_pct', 'voltage_min', 'voltage_max', 'current_na_pct', ('1e2 * rows / expected_minutes', 'row_coverage_pct'),
         ('largest / 36e2', 'largest_gap_hours'))}
   FROM (SELECT meter, count(*) AS rows, min(ts) AS f, max(ts) AS l, (max(s) - min(s)) // 86400 + 1 AS span_days,
-      round((max(s) - min(s)) / 6e1 + 1)::BIGINT AS expected_minutes, count(*) FILTER (WHERE step > 60) AS gaps, max(step) AS largest,
+      round_even((max(s) - min(s)) / 6e1 + 1, 0)::BIGINT AS expected_minutes, count(*) FILTER (WHERE step > 60) AS gaps, max(step) AS largest,
       min(power) AS power_min_w, avg(power) AS power_mean_w, max(power) AS power_max_w,
       1e2 * count(*) FILTER (WHERE power = 0) / count(*) AS power_zero_pct, 1e2 * count(*) FILTER (WHERE power IS NULL) / count(*) AS power_na_pct,
       1e2 * count(*) FILTER (WHERE power_factor < 0) / count(*) AS pf_negative_pct, min(power_factor) AS pf_min, max(power_factor) AS pf_max,

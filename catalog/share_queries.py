@@ -148,28 +148,36 @@ def _(w):
     return headline.corrected_comparison(w.buildings, F.lit(1.0), FRACTION, w.rules)
 
 
-MODEL_A_SQL = """ma AS (SELECT building, regr_intercept(power_w, occupancy) AS a, regr_slope(power_w, occupancy) AS b,
-    regr_r2(power_w, occupancy) AS r2, avg(power_w) AS mp FROM buildings WHERE usable GROUP BY building)"""
+# model A on the training stretch of buildings with at least 2000 usable rows
+MODEL_A_SQL = """mt AS (SELECT * FROM (SELECT building, power_w, occupancy, hour, row_number() OVER (PARTITION BY building ORDER BY ts) - 1 AS pos,
+    count(*) OVER (PARTITION BY building) AS n FROM buildings WHERE usable) WHERE n >= 2000 AND pos < floor(7e-1 * n)),
+  ma AS (SELECT building, regr_intercept(power_w, occupancy) AS a, regr_slope(power_w, occupancy) AS b,
+    regr_r2(power_w, occupancy) AS r2, avg(power_w) AS mp, quantile_cont(power_w, 0.5) FILTER (WHERE hour BETWEEN 2 AND 5) AS nm FROM mt GROUP BY building)"""
 
 
-@query("m01_model_a", sql(f"SELECT building, {rs(('a', 'a_base_load_w'), ('b', 'b_watts_per_occupant'), ('r2', 'r2_in_sample'), ('mp', 'mean_power_w'))} FROM ma",
-                          "buildings", extra=MODEL_A_SQL))
+def _coefs(w):
+    return models.model_a_table(models.train_rows(w.buildings, rules=w.rules))
+
+
+@query("m01_model_a", sql(f"""SELECT building, {i('count(*)', 'n')}, {rs(('any_value(a)', 'a_base_load_w'), ('any_value(b)', 'b_watts_per_occupant'), ('any_value(r2)', 'r2_in_sample'),
+    ('any_value(mp)', 'mean_power_w'), ('any_value(nm)', 'night_median_w'), ('100 * any_value(a) / any_value(mp)', 'base_load_pct_of_mean'))}
+  FROM ma JOIN mt USING (building) GROUP BY building""", "buildings", extra=MODEL_A_SQL))
 def _(w):
-    return models.fit_model_a(w.buildings.filter("usable"), ["building"]).drop("n")
+    return _coefs(w)
 
 
 @query("a41_headline", sql(f"""
   SELECT building, building_kind, {rs('threshold', ('1e2 * intervals_total / n', 'coverage_pct'), 'total_kwh', 'low_occ_kwh', 'share_pct',
     'pct_intervals_low', ('mean_power_all_w / 1e3', 'mean_power_kw'), ('mean_power_low_w / 1e3', 'mean_power_low_kw'), (RATIO, 'intensity_ratio'),
     ('a / 1e3', 'base_load_kw'), ('b', 'watts_per_occupant'))}
-  FROM share JOIN ma USING (building) JOIN (SELECT building, building_kind, count(*) AS n FROM buildings GROUP BY 1, 2) USING (building)""",
+  FROM share LEFT JOIN ma USING (building) JOIN (SELECT building, building_kind, count(*) AS n FROM buildings GROUP BY 1, 2) USING (building)""",
     "buildings", extra=share_sql("25e-2") + ", " + MODEL_A_SQL))
 def _(w):
-    return headline.headline_table(w.buildings, FRACTION, w.rules)
+    return headline.headline_table(w.buildings, _coefs(w), FRACTION, w.rules)
 
 
-BASE_SQL = """base AS (SELECT building, a / 1e3 AS base_load_kw, night_median_w / 1e3 AS night_kw, mp / 1e3 AS mean_power_kw
-  FROM ma JOIN night USING (building))"""
+BASE_SQL = """base AS (SELECT building, a / 1e3 AS base_load_kw, night_median_w / 1e3 AS night_kw, allp / 1e3 AS mean_power_kw
+  FROM ma JOIN night USING (building) JOIN (SELECT building, avg(power_w) AS allp FROM buildings WHERE usable GROUP BY 1) USING (building))"""
 
 
 @query("a41_base_load", sql(f"""
@@ -177,7 +185,7 @@ BASE_SQL = """base AS (SELECT building, a / 1e3 AS base_load_kw, night_median_w
     'mean_power_kw', ('100 * base_load_kw / mean_power_kw', 'base_load_pct_of_mean'))} FROM base""", "buildings",
     extra=", ".join([MODEL_A_SQL, NIGHT_SQL, BASE_SQL])))
 def _(w):
-    return headline.base_load_table(w.buildings)
+    return headline.base_load_table(w.buildings, _coefs(w))
 
 
 @query("w01_responsiveness", sql(f"""
@@ -188,16 +196,16 @@ def _(w):
       100 * (base_load_kw - night_kw) / night_kw AS dp FROM base JOIN share USING (building))""", "buildings",
     extra=", ".join([MODEL_A_SQL, NIGHT_SQL, BASE_SQL, share_sql("25e-2")])))
 def _(w):
-    return headline.responsiveness_table(w.buildings, FRACTION, w.rules)
+    return headline.responsiveness_table(w.buildings, _coefs(w), FRACTION, w.rules)
 
 
 @query("a31_kind_summary", sql(f"""
   SELECT building_kind, {i('count(*)', 'buildings')}, {rs(('avg(share_pct)', 'mean_share_pct'), (f'avg({RATIO})', 'mean_intensity_ratio'),
     ('avg(a / 1e3)', 'mean_base_load_kw'), ('sum(total_kwh)', 'total_kwh'))}
-  FROM share JOIN ma USING (building) JOIN (SELECT DISTINCT building, building_kind FROM buildings) USING (building) GROUP BY 1""", "buildings",
+  FROM share LEFT JOIN ma USING (building) JOIN (SELECT DISTINCT building, building_kind FROM buildings) USING (building) GROUP BY 1""", "buildings",
     extra=share_sql("25e-2") + ", " + MODEL_A_SQL))
 def _(w):
-    return headline.kind_summary(headline.headline_table(w.buildings, FRACTION, w.rules))
+    return headline.kind_summary(headline.headline_table(w.buildings, _coefs(w), FRACTION, w.rules))
 
 
 @query("a41_clock_against_occupancy", sql(f"""

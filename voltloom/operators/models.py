@@ -20,6 +20,7 @@ from voltloom.config import DEFAULT_RULES, Rules, WEEKDAYS
 from voltloom.functions.columns import ratio
 from voltloom.functions.tails import f_pvalue
 from voltloom.operators.ordered import row_positions
+from voltloom.operators.ranks import quantiles
 
 BINARIES = ("is_weekend", "is_semester", "is_working_day")
 CELL_KEYS = ("hour", "weekday", "month", *BINARIES)
@@ -77,6 +78,21 @@ def fit_model_a(df: DataFrame, keys, target: str = "power_w", x: str = "occupanc
         F.avg(target).alias("mean_power_w"))
 
 
+def train_rows(table: DataFrame, keys=("building",), min_rows: int = MIN_ROWS,
+               rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """The training stretch of every key with enough usable rows."""
+    split = with_split(large_enough(usable_frame(table), keys, min_rows), keys, rules=rules)
+    return split.filter("split = 'train'")
+
+
+def model_a_table(train: DataFrame, keys=("building",)) -> DataFrame:
+    """Model A's coefficients with the training stretch's mean and night-time median."""
+    keys = list(keys)
+    night = quantiles(train.filter(F.col("hour").between(2, 5)), keys, "power_w", {"night_median_w": 0.5})
+    fit = fit_model_a(train, keys).join(night, keys, "left")
+    return fit.withColumn("base_load_pct_of_mean", 100 * ratio(F.col("a_base_load_w"), F.col("mean_power_w")))
+
+
 # -------------------------------------------------------------- linear models
 def cells(rows: DataFrame, keys, numeric, target: str = "power_w", factors: bool = True,
           extra=()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.config import BLOCK_SECONDS, DEFAULT_RULES, Rules, WEEKDAYS
-from voltloom.functions.columns import days_in_month, month_label, month_start, ratio, wall_seconds
+from voltloom.functions.columns import days_in_month, half_even, month_label, month_start, ratio, wall_seconds
 from voltloom.operators.ordered import DAY, SLICE, SEC, slice_of
 from voltloom.operators.ranks import counted_quantiles, quantiles
 
@@ -54,7 +54,7 @@ def profile_readings(readings: DataFrame, keys=("meter",), ts: str = "ts",
     if "current" in have:
         aggs.append(_pct(F.col("current").isNull()).alias("current_na_pct"))
     d = readings.groupBy(*keys).agg(*aggs)
-    expected = F.round((F.col("_b") - F.col("_a")) / 60 + 1).cast("bigint")
+    expected = half_even((F.col("_b") - F.col("_a")) / 60 + 1).cast("bigint")
     d = (d.withColumn("span_days", F.floor((F.col("_b") - F.col("_a")) / DAY) + 1)
          .withColumn("expected_minutes", expected)
          .withColumn("row_coverage_pct", ratio(100.0 * F.col("rows"), F.col("expected_minutes")))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from voltloom.config import DEFAULT_RULES, Rules
 from voltloom.functions.columns import corrected_occupancy, ratio
-from voltloom.operators import models, waste
+from voltloom.operators import waste
 
 
-def headline_table(table: DataFrame, fraction: float | None = None, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def headline_table(table: DataFrame, coefs: DataFrame, fraction: float | None = None,
+                   rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """`coefs` is model A fitted on the training stretch; buildings without one keep NULLs."""
     share = waste.intensity_ratio(waste.low_occupancy_share(table, fraction=fraction, rules=rules))
     size = table.groupBy("building", "building_kind").agg(F.count(F.lit(1)).alias("_rows"))
-    fit = models.fit_model_a(table.filter("usable"), ["building"]).select(
-        "building", "a_base_load_w", "b_watts_per_occupant")
+    fit = coefs.select("building", "a_base_load_w", "b_watts_per_occupant")
     d = size.join(share, "building", "left").join(fit, "building", "left")
     return d.select(
         "building", "building_kind", "threshold",
@@ -26,22 +27,22 @@ def headline_table(table: DataFrame, fraction: float | None = None, rules: Rules
         F.col("b_watts_per_occupant").alias("watts_per_occupant"))
 
 
-def base_load_table(table: DataFrame) -> DataFrame:
-    """The fitted base load beside the measured night-time median."""
-    fit = models.fit_model_a(table.filter("usable"), ["building"])
-    d = fit.join(waste.night_minimum(table), "building").select(
-        "building", (F.col("a_base_load_w") / 1000).alias("base_load_kw"),
-        (F.col("night_median_w") / 1000).alias("night_kw"), (F.col("mean_power_w") / 1000).alias("mean_power_kw"))
+def base_load_table(table: DataFrame, coefs: DataFrame) -> DataFrame:
+    """The fitted base load beside the measured night-time median and mean of the record."""
+    mean = table.filter("usable").groupBy("building").agg((F.avg("power_w") / 1000).alias("mean_power_kw"))
+    d = (coefs.select("building", (F.col("a_base_load_w") / 1000).alias("base_load_kw"))
+         .join(waste.night_minimum(table), "building").join(mean, "building")
+         .withColumn("night_kw", F.col("night_median_w") / 1000).drop("night_median_w"))
     gap = F.col("base_load_kw") - F.col("night_kw")
     return d.withColumns({
         "difference_kw": gap, "difference_pct": 100 * ratio(gap, F.col("night_kw")),
         "base_load_pct_of_mean": 100 * ratio(F.col("base_load_kw"), F.col("mean_power_kw"))})
 
 
-def responsiveness_table(table: DataFrame, fraction: float | None = None,
+def responsiveness_table(table: DataFrame, coefs: DataFrame, fraction: float | None = None,
                          rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Modelled and measured ranks side by side, with the extrapolation warning."""
-    base = base_load_table(table)
+    base = base_load_table(table, coefs)
     share = waste.intensity_ratio(waste.low_occupancy_share(table, fraction=fraction, rules=rules))
     d = waste.measured_rank(waste.responsiveness_rank(base).join(share.select("building", "intensity_ratio"), "building"))
     return d.select("building", "variable_share_pct", "responsiveness_rank", "intensity_ratio", "measured_rank",
