@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.config import BLOCKS_PER_DAY, BLOCKS_PER_HOUR, DEFAULT_RULES, Rules
 from voltloom.functions.columns import (
-    in_vacation_window, kwh, period_name, weekday_name,
+    in_vacation_window, kwh, period_name, ratio, weekday_name,
 )
-from voltloom.operators.ordered import DAY, SEC, slice_window, sliced, unsliced
+from voltloom.operators.ordered import DAY, SLICE, slice_window, sliced, unsliced
 
 
 def add_calendar_features(df: DataFrame, calendar: DataFrame | None, ts: str = "ts") -> DataFrame:
@@ -43,19 +43,29 @@ def add_history_features(df: DataFrame, keys=("building",), power: str = "power_
                          ts: str = "ts", rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Lags of 6 and 144 rows and the mean / sd of the 24 hours before each row.
 
-    The grid is complete, so 144 rows are one day and a day of history is enough.
+    The grid is complete, so 144 rows are one day and a day of history is enough. A frame
+    that slides is summed anew for every row; two frames that only grow, everything before
+    the row less everything older than a day, give the same sums in one sweep. The values
+    are centred on the slice's mean first, which keeps the difference of squares accurate.
     """
     keys = list(keys)
     w = slice_window(keys)
-    day_before = w.rangeBetween(-DAY, -1)
-    p = F.col(power)
-    enough = F.count(p).over(day_before) >= BLOCKS_PER_HOUR
-    return unsliced(sliced(df, ts, rules.segment_days, back=DAY).withColumns({
-        "power_lag_1h": F.lag(p, BLOCKS_PER_HOUR).over(w),
-        "power_lag_1d": F.lag(p, BLOCKS_PER_DAY).over(w),
-        "power_roll24h_mean": F.when(enough, F.avg(p).over(day_before)),
-        "power_roll24h_std": F.when(enough, F.stddev_samp(p).over(day_before)),
-    }))
+    p, x = F.col(power), F.col("_x")
+    before = w.rangeBetween(Window.unboundedPreceding, -1)
+    older = w.rangeBetween(Window.unboundedPreceding, -DAY - 1)
+    day = lambda c: (F.coalesce(F.sum(c).over(before), F.lit(0.0)) - F.coalesce(F.sum(c).over(older), F.lit(0.0)))
+    d = sliced(df, ts, rules.segment_days, back=DAY)
+    d = d.withColumn("_c", F.avg(p).over(Window.partitionBy(*keys, SLICE))).withColumn("_x", p - F.col("_c"))
+    d = d.withColumns({
+        "power_lag_1h": F.lag(p, BLOCKS_PER_HOUR).over(w), "power_lag_1d": F.lag(p, BLOCKS_PER_DAY).over(w),
+        "_n": F.count(p).over(before) - F.count(p).over(older), "_s": day(x), "_q": day(x * x)})
+    n = F.col("_n")
+    spread = ratio(F.col("_q") - ratio(F.col("_s") * F.col("_s"), n), n - 1)
+    enough = n >= BLOCKS_PER_HOUR
+    return unsliced(d.withColumns({
+        "power_roll24h_mean": F.when(enough, F.col("_c") + ratio(F.col("_s"), n)),
+        "power_roll24h_std": F.when(enough, F.sqrt(F.greatest(spread, F.lit(0.0)))),
+    }).drop("_c", "_x", "_n", "_s", "_q"))
 
 
 def add_all_features(df: DataFrame, calendar: DataFrame | None, power: str = "power_w",
