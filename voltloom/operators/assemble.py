@@ -51,8 +51,10 @@ def combine_meters(cleaned: DataFrame, registry: DataFrame, roles=("mains", "ups
         mine = F.col("role") == role
         aggs += [(F.bool_or if c in FLAGS else F.max)(F.when(mine, F.col(c))).alias(f"{c}_{role}")
                  for c in PER_METER if c in cleaned.columns]
-    # grouped by (building, ts) only, so the occupancy join finds its partitioning ready
-    return d.groupBy("building", "ts").agg(F.max("kind").alias("building_kind"), *aggs)
+    # Grouped by (building, ts) only, so the occupancy join finds its partitioning ready. The
+    # kind is looked up afterwards: a text in the aggregate would force a sort-based one.
+    kinds = registry.select("building", F.col("kind").alias("building_kind")).distinct()
+    return d.drop("kind").groupBy("building", "ts").agg(*aggs).join(kinds, "building")
 
 
 def supplies(cleaned: DataFrame, registry: DataFrame) -> DataFrame:

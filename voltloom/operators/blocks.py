@@ -114,11 +114,10 @@ def occupancy_blocks(counts: DataFrame, keys=("building",), tie: str | None = No
     `moved` rows are counted by `moved_rows`, not dropped silently.
     """
     keys = list(keys)
-    first = F.struct(F.col("ts"), *([F.col(tie)] if tie else []), F.col("occupancy"))
+    order = F.struct("ts", tie) if tie else F.col("ts")
     snapped = (counts.groupBy(*keys, block_start("ts").alias("_block"))
-               .agg(F.min(first).alias("_first"))
-               .select(*keys, F.col("_block").alias("ts"),
-                       F.col("_first.occupancy").cast("double").alias("occupancy")))
+               .agg(F.min_by(F.col("occupancy").cast("double"), order).alias("occupancy"))
+               .withColumnRenamed("_block", "ts"))
     return complete_grid(snapped, keys, ())
 
 

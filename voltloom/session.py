@@ -15,8 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="voltloom-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voltloom-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
