@@ -186,7 +186,7 @@ eps AS (SELECT building, detector, min(ts) AS start, max(ts) AS "end", count(*)
 EP_COLS = rs("flagged_hours", "span_hours", "peak_z", "mean_excess_kw", "total_excess_kwh")
 
 
-def _episodes(w, detector="O"):
+def _episodes(w):
     s = w.scored.withColumn("hit", F.coalesce(F.abs("z") >= 2, F.lit(False)))
     return anomaly.episodes(s, BD, "hit", rules=w.rules)
 

@@ -11,7 +11,7 @@ from catalog.registry import query
 from catalog.share_queries import SHARE_COLS, share_sql
 from catalog.sql import d, i, is_, r, rs, sql, t
 from voltloom.functions import columns as C
-from voltloom.operators import assemble, blocks, features, profile, waste, weather
+from voltloom.operators import assemble, blocks, waste, weather
 from voltloom.session import shared_folder
 from voltloom.sources import readers, sinks
 
@@ -50,8 +50,7 @@ def _(w):
     return weather.parse_station(readers.read_station(w.spark, p))
 
 
-@query("s06_calendar_files", sql(f"SELECT {d('date')}, {i('working_day')}, activity FROM (SELECT date AS date, working_day, activity FROM calendar)".replace(
-    "strftime(date,", "strftime(k.date,").replace("FROM (SELECT date AS date, working_day, activity FROM calendar)", "FROM calendar k"), "calendar"))
+@query("s06_calendar_files", sql(f"SELECT {d('k.date', 'date')}, {i('working_day')}, activity FROM calendar k", "calendar"))
 def _(w):
     p = _path(w, "calendar")
     cal = w.calendar.select(F.col("date").alias("Date"), "working_day", "activity")

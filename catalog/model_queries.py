@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sql import d, i, is_, r, rs, sql
+from catalog.sql import VAC, d, i, is_, r, rs, sql
 from catalog.detector_queries import SPLIT_SQL
 from voltloom.functions import columns as C
 from voltloom.operators import anomaly, days, models, stats
@@ -201,9 +201,9 @@ hd AS (SELECT building, ts::DATE AS date, hour(ts)::BIGINT AS hour, avg(power_w)
 DENSE = ("blocks", "registry")
 
 
-@query("v01_day_rows", sql(f"""SELECT building, {d('date')}, {is_(('count(power_w)', 'have'))}, {rs(('avg(power_w) FILTER (WHERE hour(ts) < 6)', 'night_w'),
+@query("v01_day_rows", sql(f"""SELECT building, {d('x.date', 'date')}, {i('count(power_w)', 'have')}, {rs(('avg(power_w) FILTER (WHERE hour(ts) < 6)', 'night_w'),
     ('avg(power_w) FILTER (WHERE hour(ts) BETWEEN 10 AND 13)', 'midday_w'))}, bool_and(power_w IS NOT NULL) AS complete
-  FROM (SELECT *, ts::DATE AS date FROM dense) GROUP BY building, date HAVING count(*) = 144""".replace("SELECT building, strftime(date", "SELECT building, strftime(date"), *DENSE, extra=DENSE_SQL))
+  FROM (SELECT *, ts::DATE AS date FROM dense) x GROUP BY building, x.date HAVING count(*) = 144""", *DENSE, extra=DENSE_SQL))
 def _(w):
     rows = days.night_and_midday(days.day_rows(w.dense))
     return rows.select("building", "date", F.size(F.array_compact("values")).alias("have"), "night_w", "midday_w", "complete")
@@ -220,10 +220,9 @@ def _(w):
     return days.standardise(w.hourly_days).select("building", "date", F.posexplode("z").alias("hour", "z"))
 
 
-@query("v06_day_labels", sql(f"""SELECT building, {d('date')}, dayname(date) AS weekday, (isodow(date) - 1)::BIGINT AS day_of_week, isodow(date) >= 6 AS is_weekend,
-    month(date)::BIGINT AS month, year(date)::BIGINT AS year, (month(date) * 100 + day(date)) = 101 AS is_vacation,
-    CASE WHEN (month(date) * 100 + day(date)) = 101 THEN 'vacation' ELSE 'semester' END AS period FROM (SELECT building, date AS date FROM whole)""".replace(
-    "strftime(date, '%Y-%m-%d') AS date", "strftime(whole2.date, '%Y-%m-%d') AS date").replace("(SELECT building, date AS date FROM whole)", "whole AS whole2"), *DENSE, extra=DENSE_SQL))
+@query("v06_day_labels", sql(f"""SELECT building, {d('x.date', 'date')}, dayname(x.date) AS weekday, (isodow(x.date) - 1)::BIGINT AS day_of_week,
+    isodow(x.date) >= 6 AS is_weekend, month(x.date)::BIGINT AS month, year(x.date)::BIGINT AS year, {VAC.format(d='x.date')} AS is_vacation,
+    CASE WHEN {VAC.format(d='x.date')} THEN 'vacation' ELSE 'semester' END AS period FROM whole x""", *DENSE, extra=DENSE_SQL))
 def _(w):
     return w.hourly_days.drop("hours", "complete")
 

@@ -8,7 +8,7 @@ from catalog import roles as R
 from catalog.registry import query
 from catalog.sql import d, i, is_, r, rs, sql, t
 from voltloom.functions import columns as C
-from voltloom.operators import blocks, compare, features, profile, runs, stats, waste
+from voltloom.operators import blocks, compare, features, profile, stats
 
 METERS = ["click", "error", "purchase", "signup", "view"]
 PRICE = "l_extendedprice"
@@ -68,10 +68,9 @@ def _(w):
 
 
 @query("a27_blank_months", sql(f"""
-  SELECT source, {i('count(*)', 'blank_months')}, {d('min(m)', 'first_blank')}, {d('max(m)', 'last_blank')}
-  FROM (SELECT DISTINCT source, unnest(generate_series(DATE '2001-01-01', DATE '2002-12-01', INTERVAL 1 MONTH))::DATE AS m FROM om) s
-  LEFT JOIN om ON om.source = s.source AND om.month = m WHERE coverage_pct IS NULL OR coverage_pct < 1 GROUP BY source""".replace(
-    "SELECT source, ", "SELECT s.source AS source, ", 1).replace("GROUP BY source", "GROUP BY s.source"), extra=ORDERS_MONTHLY))
+  SELECT e.source, {i('count(*)', 'blank_months')}, {d('min(m)', 'first_blank')}, {d('max(m)', 'last_blank')}
+  FROM (SELECT DISTINCT source, unnest(generate_series(DATE '2001-01-01', DATE '2002-12-01', INTERVAL 1 MONTH))::DATE AS m FROM om) e
+  LEFT JOIN om ON om.source = e.source AND om.month = m WHERE coverage_pct IS NULL OR coverage_pct < 1 GROUP BY e.source""", extra=ORDERS_MONTHLY))
 def _(w):
     months = [f"{y}-{m:02d}" for y in (2001, 2002) for m in range(1, 13)]
     return profile.blank_months(_orders_monthly(w), months, "source")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sql import d, i, is_, r, rs, sql, t, RUNS_SQL
-from voltloom.operators import assemble, models, profile, waste, weather
+from catalog.sql import i, is_, r, rs, sql, RUNS_SQL
+from voltloom.operators import assemble, models, waste, weather
 from voltloom.functions import columns as C
 from voltloom.plans import experiment, headline
 
@@ -189,7 +189,7 @@ def _(w):
 
 
 @query("w01_responsiveness", sql(f"""
-  SELECT building, {rs('v')[:-len(' AS v')] + ' AS variable_share_pct'}, {i('rank() OVER (ORDER BY v DESC NULLS LAST)', 'responsiveness_rank')},
+  SELECT building, {r('v', 'variable_share_pct')}, {i('rank() OVER (ORDER BY v DESC NULLS LAST)', 'responsiveness_rank')},
     {r('ir', 'intensity_ratio')}, {i('CASE WHEN ir IS NOT NULL THEN rank() OVER (ORDER BY ir ASC NULLS LAST) END', 'measured_rank')},
     CASE WHEN abs(dp) > 25 THEN 'NO -- extrapolated' ELSE 'yes' END AS model_a_reliable
   FROM (SELECT building, round_even(100 * (mean_power_kw - base_load_kw) / mean_power_kw, 1) AS v, {RATIO} AS ir,
