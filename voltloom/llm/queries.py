@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe
+from voltloom.llm import bpe, lines, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    return quality.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_line_dedup", lines.ORACLE)
+def op7(spark, sf_dir):
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_source_mix")
+def op9(spark, sf_dir):
+    return mixing.digests(table(spark, sf_dir, "documents"))
