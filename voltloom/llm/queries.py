@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe, lines, mixing, quality
+from voltloom.llm import bpe, lines, mixing, near, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op7(spark, sf_dir):
 @query("op9_source_mix")
 def op9(spark, sf_dir):
     return mixing.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_minhash_near_dedup", near.ORACLE)
+def op10(spark, sf_dir):
+    return near.digests(table(spark, sf_dir, "documents"))
