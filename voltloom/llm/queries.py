@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe, lines, mixing, near, quality
+import corpus_pipeline
+from voltloom.llm import bpe, lines, mixing, near, quality, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,18 @@ def op9(spark, sf_dir):
 @query("op10_minhash_near_dedup", near.ORACLE)
 def op10(spark, sf_dir):
     return near.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_vector_approximation", vafile.ORACLE)
+def op1(spark, sf_dir):
+    return vafile.top10(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_warc", warc.ORACLE)
+def op5(spark, sf_dir):
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
