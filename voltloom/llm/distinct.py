@@ -48,9 +48,11 @@ def by_bucket(coded: Coded, buckets: int) -> tuple[np.ndarray, pa.Array, np.ndar
     return place[coded.codes], coded.distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Array], Coded]) -> tuple[DataFrame, DataFrame]:
+def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Array], Coded],
+                  counted: Callable[[pa.Array], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """Document rows (one per block, bucketed by block) and dictionary rows (one per block and
-    bucket) in tables of the warehouse and the shared folder."""
+    bucket; with `counted`, a weight of each document by its key: and the word's occurrences by
+    weight) in one table of the warehouse."""
     spark = docs.sparkSession
     buckets = n_buckets(spark)
 
@@ -61,8 +63,11 @@ def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Arra
                 coded = split(part.column(1))
                 codes, distinct, at = by_bucket(coded, buckets)
                 yield row(block, -1, pack(narrow(codes), narrow(np.diff(coded.bounds))), part.column(0))
+                often = np.bincount(codes, np.repeat(counted(part.column(0)), np.diff(coded.bounds)), len(distinct)).astype(
+                    np.int64) if counted else None
                 for b in np.flatnonzero(np.diff(at)):
-                    yield row(block, int(b), pack_binary(distinct.slice(at[b], at[b + 1] - at[b])))
+                    more = [narrow(often[at[b]:at[b + 1]])] if counted else []
+                    yield row(block, int(b), pack_binary(distinct.slice(at[b], at[b + 1] - at[b]), *more))
                 block += 1
 
     name = f"llm_blocks_{uuid.uuid4().hex}"
@@ -74,15 +79,21 @@ def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Arra
     return table.filter("kind = 'docs'").drop("kind"), table.filter("kind = 'words'").drop("kind")
 
 
-def once_per_word(word_rows: DataFrame, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def once_per_word(word_rows: DataFrame, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], tally: bool = False) -> DataFrame:
     """work(distinct words) -> (flat results, number of results of each word), per bucket; the
-    results come back as one row per block and bucket, in the order of its dictionary."""
+    results come back as one row per block and bucket, in the order of its dictionary. `tally`
+    (for counted dictionaries): a row of block -1 per bucket holds how often each result occurs."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        values = [unpack_binary(r["payload"]) for r in rows]
+        parts = [unpack_binary(r["payload"]) for r in rows]
+        values = [v for v, _ in parts]
         every = pa.concat_arrays(values).dictionary_encode()
         out, counts = work(every.dictionary.to_pylist())
         starts, codes, at, made = np.cumsum(counts) - counts, every.indices.to_numpy(), 0, []
+        if tally:
+            often = np.bincount(codes, np.concatenate([c for _, c in parts]), len(counts))
+            total = np.bincount(out, np.repeat(often, counts)).astype(np.int64)  # exact below 2^53
+            made.append(row(-1, rows[0]["bucket"], pack(np.flatnonzero(total), total[total > 0])))
         for r, v in zip(rows, values, strict=True):
             mine = codes[at:at + len(v)]
             at += len(v)
@@ -92,13 +103,17 @@ def once_per_word(word_rows: DataFrame, work: Callable[[list[bytes]], tuple[np.n
     return word_rows.groupBy("bucket").applyInArrow(run, ROW)
 
 
+def in_order(parts: pa.Table) -> list[list[np.ndarray]]:
+    """The payloads of a block's rows in the order of buckets."""
+    return [unpack(p) for _, p in sorted((r["bucket"], r["payload"]) for r in parts.to_pylist())]
+
+
 def assemble(doc_rows: DataFrame, results: DataFrame,
              finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """Put the results of each block's words in place: finish(keys, flat results of the block's
     documents in order, number of results of each document) -> table."""
     def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
-        got = sorted(((r["bucket"], r["payload"]) for r in parts.to_pylist()))
-        both = [unpack(p) for _, p in got]
+        both = in_order(parts)
         counts = np.concatenate([c.astype(np.int64) for c, _ in both] or [np.empty(0, np.int64)])
         out = np.concatenate([o.astype(np.uint32) for _, o in both] or [np.empty(0, np.uint32)])
         starts, tables = np.cumsum(counts) - counts, []

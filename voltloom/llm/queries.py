@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from voltloom.llm import bpe, lines, mixing, near, quality, vafile, warc
+from voltloom.llm import bpe, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,13 @@ def op5(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_token_files")
+def op2(spark, sf_dir):
+    return tokenfiles.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_elias_fano_lm")
+def op3(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))

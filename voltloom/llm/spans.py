@@ -179,11 +179,12 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_binary(values: pa.Array) -> bytes:
+def pack_binary(values: pa.Array, *more: np.ndarray) -> bytes:
     data, off = flat(values)
-    return pack(narrow(np.diff(off)), data)
+    return pack(narrow(np.diff(off)), data, *more)
 
 
-def unpack_binary(value: bytes) -> pa.Array:
-    lengths, data = unpack(value)
-    return arrow_binary(data, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))))
+def unpack_binary(value: bytes) -> tuple[pa.Array, np.ndarray | None]:
+    """The values, and the numbers packed with them."""
+    lengths, data, *more = unpack(value)
+    return arrow_binary(data, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))), more[0] if more else None
