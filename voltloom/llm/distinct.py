@@ -20,13 +20,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.llm.spans import (Coded, arrow_binary, flat, hashes, narrow, pack, pack_binary, ragged, slices, unpack,
+from voltloom.llm.spans import (SLICE_BYTES, Coded, arrow_binary, flat, hashes, narrow, pack, pack_binary, ragged, slices, unpack,
                                 unpack_binary)
 
+#: Items (words or units) that are put in place at once.
+PART_ITEMS = 1 << 18
 ROW = "block long, bucket int, keys array<bigint>, payload binary"
 ROW_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
+def drop_blocks(doc_rows: DataFrame) -> None:
+    """Drop the table of staged_blocks() when nothing reads it any more."""
+    files = doc_rows.inputFiles()
+    if files:
+        name = next(part for part in files[0].split("/") if part.startswith("llm_blocks_"))
+        doc_rows.sparkSession.sql(f"DROP TABLE {name}")
+
+
 def n_buckets(spark) -> int:
     """As many as shuffle partitions, which a session sets by its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,7 +59,7 @@ def by_bucket(coded: Coded, buckets: int) -> tuple[np.ndarray, pa.Array, np.ndar
 
 
 def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Array], Coded],
-                  counted: Callable[[pa.Array], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
+                  counted: Callable[[pa.Array], np.ndarray] | None = None, block_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Document rows (one per block, bucketed by block) and dictionary rows (one per block and
     bucket; with `counted`, a weight of each document by its key: and the word's occurrences by
     weight) in one table of the warehouse."""
@@ -59,7 +69,7 @@ def staged_blocks(docs: DataFrame, key: str, text: str, split: Callable[[pa.Arra
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, block_bytes):
                 coded = split(part.column(1))
                 codes, distinct, at = by_bucket(coded, buckets)
                 yield row(block, -1, pack(narrow(codes), narrow(np.diff(coded.bounds))), part.column(0))
@@ -119,9 +129,16 @@ def assemble(doc_rows: DataFrame, results: DataFrame,
         starts, tables = np.cumsum(counts) - counts, []
         for i in range(docs.num_rows):
             codes, n_items = unpack(docs.column("payload")[i].as_py())
-            lengths = counts[codes]
-            ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n_items, dtype=np.int64)))]
-            tables.append(finish(docs.column("keys")[i].values, out[ragged(lengths, starts[codes])], np.diff(ends)))
+            keys, at = docs.column("keys")[i].values, np.concatenate(([0], np.cumsum(n_items, dtype=np.int64)))
+            first = 0
+            while first < len(keys):  # a part of the documents at a time, for memory
+                last = max(first + 1, int(np.searchsorted(at, at[first] + PART_ITEMS, "right")) - 1)
+                own = codes[at[first]:at[last]]
+                lengths = counts[own]
+                ends = np.concatenate(([0], np.cumsum(lengths)))[at[first:last + 1] - at[first]]
+                tables.append(finish(keys.slice(first, last - first), out[ragged(lengths, starts[own])], np.diff(ends)))
+                first = last
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(tables)
 
     return doc_rows.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(run, schema)

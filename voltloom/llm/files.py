@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from voltloom.session import shared_folder
 
@@ -18,6 +18,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/voltloom/{name}-{uuid.uuid4().hex}"
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete a stage table that nothing reads any more."""
+    files = staged.inputFiles()
+    if files:
+        fs, path = opened(files[0].rsplit("/", 1)[0])
+        fs.delete_dir(path)
+
+
 def opened(uri: str):
     """The file system of a URI and the path in it."""
     from pyarrow import fs

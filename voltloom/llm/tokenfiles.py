@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltloom.llm.distinct import assemble, once_per_word, staged_blocks
-from voltloom.llm.files import Shard, new_folder, opened
+from voltloom.llm.distinct import assemble, drop_blocks, once_per_word, staged_blocks
+from voltloom.llm.files import Shard, discard, new_folder, opened
 from voltloom.llm.spans import arrow_binary, flat, ragged, unpack, words
 from voltloom.session import stage
 
 VOCABULARY, END, SPLIT = "word_bpe_49k.json", 2, "<|endoftext|>"
 FRAME_TOKENS = 1 << 20
+#: Text of a block.
+BLOCK_BYTES = 8 << 20
 MAGIC = b"RVB1"
 MANIFEST = "shard int, name string, documents bigint, tokens bigint, bytes bigint"
 #: Lengths of the four numbers of each control byte.
@@ -123,7 +125,7 @@ def write(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text:
     """Encode every text, append `end`, write the files; the folder and its manifest."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     folder = folder or new_folder(spark, "tokens")
-    doc_rows, word_rows = staged_blocks(docs, key, text, words, lambda keys: np.ones(len(keys)))
+    doc_rows, word_rows = staged_blocks(docs, key, text, words, lambda keys: np.ones(len(keys)), BLOCK_BYTES)
     results = stage(once_per_word(word_rows, lambda w: encode_words(w, path), tally=True), "token_words")
     order = rank_table(results.filter("block = -1"), docs.count(), end)
     ranks = np.zeros(int(order.max()) + 1, np.uint32)
@@ -135,6 +137,8 @@ def write(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text:
         return pa.table({"doc": keys, "n": pa.array(counts + 1), "control": control.cast(pa.binary()), "data": data.cast(pa.binary())})
 
     coded = stage(assemble(doc_rows, results.filter("block >= 0"), finish, "doc bigint, n bigint, control binary, data binary"), "token_bytes")
+    drop_blocks(doc_rows)
+    discard(results)
     dealt = coded.repartitionByRange("doc", "n").sortWithinPartitions("doc", "n", "control", "data")
 
     def run(batches):
