@@ -8,13 +8,13 @@ a share of more than one shard's part of all tokens has more, by hash, so no sha
 
 A shard builds a trie of the training counts: roots, their successors, their contexts, and under
 each context the tokens seen, kept not as word numbers but as ranks among the successors of the
-root. Numbers and pointers are Elias-Fano sequences, probabilities 12-bit logarithmic codes, and
+root. Numbers and pointers are Elias-Fano sequences, probabilities one-byte logarithmic codes, and
 the file is mapped into memory and asked for the blocks' trigrams by successor search, from the
 root's range to the context's.
 
 Model. P(c | a b) = d3 + l3 * (d2 + l2 * P1(c)) with absolute discounting by D at both levels
 (d = max(n - D, 0) / total, l = D * kinds / total), where the middle level conditions on the root,
-and P1(c) = (count + 1/2) / (N + (V + 1) / 2). Codes are rounded down, so probabilities of a
+and P1(c) = (count + 1/2) / (N + (V + 1) / 2). Codes are rounded down (the trie's by up to 6 %), so probabilities of a
 context sum to at most 1; an unseen context passes everything on.
 
 Rules. A-Z in lower case; a text's end is a token; null, empty and blank texts are an end only.
@@ -40,19 +40,28 @@ from voltloom.llm.files import new_folder
 from voltloom.llm.spans import mixed, narrow, pack, unpack, unpack_binary, words
 from voltloom.session import stage
 
-DISCOUNT, LEVELS, DECADES = 0.75, 4095, 9.0
+DISCOUNT = 0.75
+#: Codes of the trie (one byte) and of the answers (12 bits): how many, over how many decades.
+STORED, ANSWERED = (255, 6.0), (4095, 9.0)
+#: Shards per shuffle partition: a shard is built and asked in memory.
+FINER = 4
+#: Text of a block: its trigrams are sorted in memory.
+BLOCK_BYTES = 8 << 20
 START, END, FIRST = 0, 1, 2
 OUT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    """12-bit codes of probabilities, rounded down; 0 is none."""
+def quantised(p: np.ndarray, scale: tuple[int, float]) -> np.ndarray:
+    """Logarithmic codes of probabilities, rounded down; 0 is none, the last is 1."""
+    levels, decades = scale
     with np.errstate(divide="ignore"):
-        code = np.floor((np.log10(p) + DECADES) * ((LEVELS - 1) / DECADES) + 1e-9) + 1
-    return np.where(p > 0, np.clip(code, 1, LEVELS), 0).astype(np.uint16)
+        code = np.floor((np.log10(p) + decades) * ((levels - 1) / decades) + 1e-9) + 1
+    return np.where(p > 0, np.clip(code, 0, levels), 0).astype(np.uint8 if levels < 256 else np.uint16)
 
 
-VALUES = np.concatenate(([0.0], 10.0 ** (np.arange(LEVELS) * (DECADES / (LEVELS - 1)) - DECADES)))
+def values(scale: tuple[int, float]) -> np.ndarray:
+    levels, decades = scale
+    return np.concatenate(([0.0], 10.0 ** (np.arange(levels) * (decades / (levels - 1)) - decades)))
 
 
 def held_out(keys: pa.Array, fold: int, folds: int) -> np.ndarray:
@@ -68,8 +77,9 @@ def numbered_words(word_rows: DataFrame, buckets: int) -> DataFrame:
         every = pa.concat_arrays([v for v, _ in parts]).dictionary_encode()
         codes = every.indices.to_numpy()
         counts = np.bincount(codes, np.concatenate([c for _, c in parts]), len(every.dictionary)).astype(np.int64)
-        # words of a bucket are numbered in byte order, so that reruns agree
-        order = np.array(sorted(range(len(counts)), key=every.dictionary.to_pylist().__getitem__))
+        # frequent words get small numbers, which code shorter; byte order settles ties, so that reruns agree
+        texts = every.dictionary.to_pylist()
+        order = np.array(sorted(range(len(counts)), key=lambda i: (-counts[i], texts[i])))
         number = np.empty(len(counts), np.int64)
         number[order] = np.arange(len(counts))
         number = FIRST + number * buckets + rows[0]["bucket"]
@@ -168,24 +178,25 @@ def build(b, g, a, c, n) -> dict[str, np.ndarray]:
     levels = {"roots": b[root_at] * 65_537 + g[root_at], "s_ptr": s_ptr, "s": ranged(s_word, s_ptr), "x_ptr": x_ptr,
               "x": ranged(a[context_at], x_ptr), "t_ptr": t_ptr, "t": ranged(rank, t_ptr)}
     out = {f"{k}.{part}": v for k, seq in levels.items() for part, v in ef_coded(seq).items()}
-    return out | {"d2": quantised(d2), "l2": quantised(l2), "d3": quantised(d3), "l3": quantised(l3)}
+    return out | {k: quantised(p, STORED) for k, p in (("d2", d2), ("l2", l2), ("d3", d3), ("l3", l3))}
 
 
 def ask(trie: dict[str, np.ndarray], b, g, a, c) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the part seen and of the weight of P1, for each trigram."""
     seq = {k: ef_decoded({p: trie[f"{k}.{p}"] for p in ("head", "low", "high")}) for k in ("roots", "s_ptr", "s", "x_ptr", "x", "t_ptr", "t")}
     if not len(seq["roots"]):
-        return np.zeros(len(b), np.uint16), np.full(len(b), LEVELS, np.uint16)
+        return np.zeros(len(b), np.uint16), np.full(len(b), ANSWERED[0], np.uint16)
     key = b * 65_537 + g
     at = np.minimum(np.searchsorted(seq["roots"], key), len(seq["roots"]) - 1)
     root = np.where(seq["roots"][at] == key, at, -1)
     s = found(seq["s"], seq["s_ptr"], root, c)
     x = found(seq["x"], seq["x_ptr"], root, a)
     t = found(seq["t"], seq["t_ptr"], x, np.where(s >= 0, s - seq["s_ptr"][np.maximum(root, 0)], -1))
-    value = lambda codes, i, none: np.where(i >= 0, VALUES[codes[np.maximum(i, 0)]], none)
+    level = values(STORED)
+    value = lambda codes, i, none: np.where(i >= 0, level[codes[np.maximum(i, 0)]], none)
     l3 = value(trie["l3"], x, 1.0)
-    return (quantised(value(trie["d3"], t, 0.0) + l3 * value(trie["d2"], s, 0.0)),
-            quantised(l3 * value(trie["l2"], root, 1.0)))
+    return (quantised(value(trie["d3"], t, 0.0) + l3 * value(trie["d2"], s, 0.0), ANSWERED),
+            quantised(l3 * value(trie["l2"], root, 1.0), ANSWERED))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 1, folds: int = 5, folder: str | None = None) -> DataFrame:
@@ -193,12 +204,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
     spark = docs.sparkSession
     buckets, folder = n_buckets(spark), folder or new_folder(spark, "trie")
     doc_rows, word_rows = staged_blocks(docs, key, text, lambda c: words(c, lower=True),
-                                        lambda keys: ~held_out(keys, fold, folds))
+                                        lambda keys: ~held_out(keys, fold, folds), BLOCK_BYTES)
     numbers = stage(numbered_words(word_rows, buckets), "lm_words")
     totals = [unpack(r[0])[0] for r in numbers.filter("block = -1").select("payload").collect()]  # a row per bucket
     k = F.col(key)
     ends = docs.filter(F.coalesce(F.crc32(k.cast("bigint").cast("string").cast("binary")) % folds != fold, F.lit(True))).count()
-    corpus = Corpus(int(sum(t[0] for t in totals)) + ends, int(sum(t[1] for t in totals)) + (ends > 0), ends, buckets, fold, folds)
+    corpus = Corpus(int(sum(t[0] for t in totals)) + ends, int(sum(t[1] for t in totals)) + (ends > 0), ends, buckets * FINER, fold, folds)
     numbers = numbers.filter("block >= 0")
 
     def emit(docs_: pa.Table, parts: pa.Table) -> pa.Table:
@@ -209,15 +220,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
             for i in np.flatnonzero(np.diff(cuts)):
                 b, g, a, c, n = (x[cuts[i]:cuts[i + 1]] for x in columns)
                 step = np.diff(b, prepend=0)
-                made.append(row(block, int(i), pack(narrow(step), narrow(g), narrow(a), narrow(c), narrow(n))))
+                rise = np.where(step == 0, np.diff(a, prepend=0), a)  # sorted by b, then a
+                made.append(row(block, int(i), pack(narrow(step), narrow(g), narrow(rise), narrow(c), narrow(n))))
         return pa.Table.from_batches(made, ROW_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.select(["block", "bucket"]).to_pylist()
         parts = []
         for payload in table.column("payload"):
-            step, *rest = unpack(payload.as_py())
-            parts.append([np.cumsum(step.astype(np.int64)), *(x.astype(np.int64) for x in rest)])
+            step, g, rise, c, n = (x.astype(np.int64) for x in unpack(payload.as_py()))
+            sums, at = np.cumsum(rise), np.flatnonzero(np.concatenate(([True], step[1:] > 0)))
+            before = np.repeat(sums[at] - rise[at], np.diff(np.append(at, len(rise))))
+            parts.append([np.cumsum(step), g, sums - before, c, n])
         b, g, a, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         seen = n > 0
         order = np.flatnonzero(seen)[np.lexsort((c[seen], a[seen], g[seen], b[seen]))]
@@ -241,7 +255,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
         answers = in_order(parts.filter(pa.array(got)))
         codes = [np.concatenate(x)[which] for x in zip(*answers, strict=True)]
         base = np.log10(corpus.unigram(often))
-        own = np.log10(np.minimum(1.0, VALUES[codes[0]] + VALUES[codes[1]] * corpus.unigram(often)))
+        level = values(ANSWERED)
+        own = np.log10(np.minimum(1.0, level[codes[0]] + level[codes[1]] * corpus.unigram(often)))
         at = np.cumsum(n) - n
         return pa.table({"doc_id": keys, "held_out": pa.array(out), "n_tokens": n, "n_known": np.add.reduceat((often > 0).astype(np.int64), at),
                          "train_tokens": np.full(len(n), corpus.n), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(own, at)}, schema)
