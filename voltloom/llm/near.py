@@ -172,13 +172,14 @@ def exact_links(docs: DataFrame, clusters: DataFrame, key: str, text: str, width
                 yield pa.record_batch([*part.columns[:3], arrow_binary(got.view(np.uint8), bounds * 8).cast(pa.binary())],
                                       names=["rep", "cluster", "parts", "shingles"])
 
-    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    made = rows.mapInArrow(sets, "rep bigint, cluster bigint, parts bigint, shingles binary")
-    one = made.filter("parts = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("g"), F.lit(-1).cast("bigint").alias("i"),
-                                          F.lit(-1).cast("bigint").alias("j"), "rep", "cluster", "shingles")
-    many = made.filter("parts > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).filter(
-        "own <> other").select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                               "rep", "cluster", "shingles")
+    # a chunk meets each other chunk of its cluster; small clusters share bins
+    made = rows.mapInArrow(sets, "rep bigint, cluster bigint, parts bigint, shingles binary").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    small = F.col("parts") == 1
+    others = F.when(small, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), F.col("own")))
+    dealt = made.withColumn("other", F.explode(others)).select(
+        F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("g"),
+        F.when(small, -1).otherwise(F.least("own", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("own", "other")).alias("j"),
+        "rep", "cluster", "shingles")
 
     def verify(table: pa.Table) -> pa.Table:
         rep, cluster = table.column("rep").to_numpy(), table.column("cluster").to_numpy()
@@ -197,7 +198,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, key: str, text: str, width
         none = [np.empty(0, np.int64)]
         return pa.table({"rep": np.concatenate(a or none), "root": np.concatenate(b or none)})
 
-    return one.unionByName(many).groupBy("g", "i", "j").applyInArrow(verify, "rep bigint, root bigint")
+    return dealt.groupBy("g", "i", "j").applyInArrow(verify, "rep bigint, root bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75,
