@@ -1,8 +1,8 @@
 """Mixing sources to target weights by exact subset sums.
 
 Documents are counted by exact length per source. Each source gets whole passes of all its
-documents and a remaining budget; a proportional share of every length comes first, then a few
-of the longest until at most `dp_words` are missing, and bounded-knapsack dynamic programming
+documents and a remaining budget; a proportional share of every length fills all of it but `dp_words`, then a
+few of the longest until at most `dp_words` are missing, and bounded-knapsack dynamic programming
 over the lengths left finds the counts whose words fill the rest exactly, or else best. Which
 documents of a length are taken is decided by a seeded hash: whole hash buckets, and the order
 inside the one bucket where the count ends, so that no length or source meets in one task.
@@ -77,7 +77,7 @@ def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int) ->
     if budget >= have:
         return counts.copy()
     # whole-number arithmetic: sums may be beyond 2^53
-    take[:] = [int(n) * budget // have for n in counts.tolist()]
+    take[:] = [int(n) * max(0, budget - dp_words) // have for n in counts.tolist()]
     rest = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
@@ -90,7 +90,8 @@ def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int) ->
             rest -= k * size
     # bit s of `reach`: some choice of the lengths seen so far has s words
     reach, steps, limit = 1, [], (1 << (rest + 1)) - 1
-    for i in order[::-1]:
+    # in a fixed random order, so that short documents are not preferred
+    for i in np.random.Generator(np.random.PCG64(len(order))).permutation(order):
         size, left = int(lengths[i]), int(counts[i] - take[i])
         if not size or not left or size > rest:
             continue
@@ -149,7 +150,7 @@ def copies(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17,
-        share: float = 1.5, most: float = 2.0, dp_words: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+        share: float = 1.5, most: float = 2.0, dp_words: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
     """(doc, version, source, size, copies of every row; source, source_size, target)."""
     sized = stage(sizes(docs, key, text, source), "mix_sizes")
     goal = stage(targets(sized, share, most), "mix_targets")
