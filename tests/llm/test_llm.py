@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from voltloom.llm import bpe, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
+from voltloom.llm import bpe, counts, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
 from voltloom.llm.spans import pack, units, unpack, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -248,3 +248,23 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert step(spark, d, str(tmp_path)).columns == d.columns, name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} <= {18, 21, 24} and out
+
+
+def test_viterbi_counts(docs, empty):
+    scores = counts.pieces(counts.vocabulary_path())
+    low = min(scores.values()) - counts.BELOW
+
+    def best(w):  # all splits, from the front
+        table = [(0.0, 0)]
+        for end in range(1, len(w) + 1):
+            options = [(table[s][0] + scores[w[s:end]], table[s][1] + 1, -s) for s in range(end) if w[s:end] in scores]
+            if w[end - 1] not in scores:
+                k = len(w[end - 1].encode())
+                options.append((table[end - 1][0] + low * k, table[end - 1][1] + k, -end))
+            table.append(max(options, key=lambda x: (x[0], x[2]))[:2])
+        return table[-1][1]
+
+    got = by_id(counts.token_counts(docs))
+    for i, t in enumerate(TEXTS):
+        assert got[i * 3]["n_tokens"] == sum(best(counts.MARK + w) for w in WORD.findall(t or ""))
+    assert counts.token_counts(empty).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from voltloom.llm import bpe, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
+from voltloom.llm import bpe, counts, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op2(spark, sf_dir):
 @query("op3_elias_fano_lm")
 def op3(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_viterbi_counts")
+def op8(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"))
