@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, which every executor can reach.
 
-    A folder of our own is made only when the session names none (local tests).
+    A folder of our own is made only in local mode when the session names none; a cluster
+    without one is an error, as each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
     if not named:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voltloom-"))
         named = spark.sparkContext.getCheckpointDir()
