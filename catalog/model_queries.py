@@ -272,7 +272,10 @@ def _(w):
 
 @query("v07_v08_day_types")
 def _(w):
-    return days.day_type_summary(days.day_types(_day_scores(w)))
+    """Day types of all buildings, on components of all their standardised days together."""
+    z = days.standardise(w.hourly_days).withColumn("basis", F.lit("all"))
+    scores = stage(days.day_scores(z, days.principal_components(z, ("basis",)), keys=("basis",)), "shared_scores")
+    return days.day_type_summary(days.day_types(scores))
 
 
 @query("v10_mean_day_shape", sql(f"""SELECT building, {i('days')}, hour, {rs(('m', 'mean_w'), ('m / avg(m) OVER (PARTITION BY building)', 'relative'))}

@@ -142,7 +142,7 @@ class Workspace:
 
     @property
     def hourly_days(self) -> DataFrame:
-        """Days whose 144 blocks are all present, of the filled occupancy-based load."""
+        """Days whose 144 blocks are all present, of the mains load with missing power filled in."""
         return self._once("hourly_days", lambda: days.with_labels(days.hourly(days.day_rows(
             self.dense, value="power_w"))))
 

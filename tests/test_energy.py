@@ -124,6 +124,13 @@ def test_weather_gap_counts_rows_of_the_union(spark):
     assert at["03:00"] is None and at["06:00"] == 30
 
 
+def test_a_reading_beats_a_missing_one_of_the_same_stamp(spark):
+    rows = [("2015-06-01 00:05", "M", "50"), ("2015-06-01 00:05", "30.0", "M"), ("2015-06-01 00:35", "M", "M"),
+            ("2015-06-01 00:35", "25.0", "40"), ("2015-06-01 00:35", "20.0", "M"), ("2015-06-01 01:05", "M", "M")]
+    st = weather.parse_station(spark.createDataFrame(rows, "valid string, tmpc string, relh string")).orderBy("ts").collect()
+    assert [(r.temp_c, r.relh) for r in st] == [(30.0, None), (25.0, 40.0), (None, None)]
+
+
 def test_decomposition_recovers_a_known_slope(spark):
     rows = [(1000.0 + 30 * (i % 24) + 60 * max(0.0, t - 20) / 6, t, float(i % 24)) for i in range(720)
             for t in [10 + (i * 7 % 31)]]

@@ -50,6 +50,22 @@ def test_meter_files_with_different_headers(spark, files):
     assert readers.csv_columns(spark, str(files / "boys_hostel_ups.csv")) == ["timestamp", "power"]
 
 
+def test_columns_are_read_by_name(spark, tmp_path):
+    """Files of one folder or glob may differ in the order of their columns, or lack one."""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text(f"timestamp,power,current\n{T0},1,10\n")
+    (tmp_path / "m" / "b.csv").write_text(f"timestamp,current,power\n{T0},20,2\n")
+    (tmp_path / "m" / "c.csv").write_text(f"power,timestamp\n3,{T0}\n")
+    got = {r.meter: (r.power, r.current) for r in readers.read_meters(spark, [str(tmp_path / "m")]).collect()}
+    assert got == {"a": (1, 10), "b": (2, 20), "c": (3, None)}
+    (tmp_path / "calendar_year_1.csv").write_text("Date,working_day,activity\n2015-06-01,1,H\n")
+    (tmp_path / "calendar_year_2.csv").write_text("activity,working_day,Date\nL,0,2016-06-01\n")
+    cal = readers.read_calendar(spark, [str(tmp_path / "calendar_year_*.csv")]).orderBy("date").collect()
+    assert [(str(r.date), r.working_day, r.activity) for r in cal] == [("2015-06-01", 1, "H"), ("2016-06-01", 0, "L")]
+    (tmp_path / "BH.csv").write_text(f"occupancy_count,timestamp\n7,{T0}\n")
+    assert readers.read_occupancy(spark, [str(tmp_path / "BH.csv")]).first().occupancy == 7
+
+
 def test_small_readers(spark, files):
     cal = readers.read_calendar(spark, [str(files / "calender_year_*.csv"), str(files / "calendar_year_*.csv")])
     assert cal.count() == 2

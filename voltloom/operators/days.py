@@ -61,8 +61,13 @@ def with_labels(days: DataFrame) -> DataFrame:
 
 
 def standardise(hourly_days: DataFrame, keys=("building",)) -> DataFrame:
-    """Centre and scale each hour by its mean and sample sd; a constant hour is left unscaled."""
+    """Centre and scale each hour by its mean and sample sd; a constant hour is left unscaled.
+
+    Days that are not complete are left out, as their hours would count in one sum and not in another.
+    """
     keys = list(keys)
+    if "complete" in hourly_days.columns:
+        hourly_days = hourly_days.filter("complete")
     h = [F.get("hours", i) for i in range(HOURS)]
     s = hourly_days.groupBy(*keys).agg(
         F.array(*[F.avg(c) for c in h]).alias("_mu"), F.array(*[F.stddev_samp(c) for c in h]).alias("_sd"),
@@ -154,7 +159,8 @@ def error_threshold(scores: DataFrame, keys=("building",), prob: float = 0.99) -
 
 
 def day_types(scores: DataFrame, k: int = 4, seed: int = 42, features=("pc1", "pc2", "pc3")) -> DataFrame:
-    """k-means over the component scores; `cluster` per day."""
+    """k-means over the component scores; `cluster` per day. The scores must share one basis:
+    those of one building, or of components taken over all buildings together."""
     v = VectorAssembler(inputCols=list(features), outputCol="_f").transform(scores)
     fitted = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cluster", initSteps=5).fit(v)
     return fitted.transform(v).drop("_f")

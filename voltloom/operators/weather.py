@@ -14,13 +14,15 @@ from voltloom.operators.runs import fill_short_gaps
 def parse_station(rows: DataFrame) -> DataFrame:
     """Station text to ts, temp_c, relh; 'M', 'T', '' and other bad text become NULL.
 
-    Rows without a stamp are dropped, one row is kept per stamp.
+    Rows without a stamp are dropped. Of rows with one stamp the one with most readings stays,
+    then the one with a temperature, then the lowest values; scans have no file order to go by.
     """
+    holes = F.col("temp_c").isNull().cast("int") + F.col("relh").isNull().cast("int")
     number = lambda c: F.expr(f"try_cast({c} AS double)")
     return (rows.select(F.expr("try_cast(valid AS timestamp_ntz)").alias("ts"),
                         number("tmpc").alias("temp_c"), number("relh").alias("relh"))
             .filter(F.col("ts").isNotNull())
-            .groupBy("ts").agg(F.min(F.struct("temp_c", "relh")).alias("_r"))
+            .groupBy("ts").agg(F.min(F.struct(holes.alias("holes"), F.col("temp_c").isNull().alias("no_temp"), "temp_c", "relh")).alias("_r"))
             .select("ts", "_r.temp_c", "_r.relh"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +37,38 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None,
-                folder_names: bool = False) -> DataFrame:
-    """All one-minute meter files: meter, ts, readings. `names` maps a file stem (or, with
-    `folder_names`, the name of the folder a meter's files lie in) to a meter.
+def read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str], pick: Callable[[DataFrame], DataFrame],
+                 other: str = "STRING", **options) -> DataFrame:
+    """CSV files of any paths, folders or globs, each read by its own header, so neither the order
+    of columns nor a missing one matters. Columns of `types` have their type, the rest `other`.
 
-    Files with the same header are one scan; a column a file lacks is NULL.
+    Files with the same header are one scan; `pick` selects from each scan, and a column that a
+    scan lacks is NULL. Headers are read side by side, one short job a file.
     """
-    by_header: dict[tuple, list[str]] = {}
-    for p in paths:
-        by_header.setdefault(tuple(csv_columns(spark, p)), []).append(p)
+    files = [r.path for r in spark.read.format("binaryFile").load(paths).select("path", "length").filter("length > 0").collect()]
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda p: tuple(csv_columns(spark, p)), files))
+    by_header: dict[tuple, list[str]] = {(): []} if not files else {}
+    for header, p in zip(headers, files, strict=True):
+        by_header.setdefault(header, []).append(p)
     out = None
     for header, group in by_header.items():
-        have = [c for c in READING_COLUMNS if c in header]
-        schema = ", ".join("timestamp BIGINT" if c == "timestamp" else f"`{c}` DOUBLE" if c in have
-                           else f"`{c}` STRING" for c in header)
-        part = (spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(group)
-                .select((folder_name() if folder_names else file_stem()).alias("meter"), local_time("timestamp").alias("ts"),
-                        *[null_nan(c).alias(c) for c in have]))
+        schema = ", ".join(f"`{c}` {types.get(c, other)}" for c in header or types)
+        reader = spark.read.schema(schema).options(header=True, enforceSchema=False, **options)
+        part = pick(reader.csv(group or paths))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None,
+                folder_names: bool = False) -> DataFrame:
+    """All one-minute meter files: meter, ts, readings. `names` maps a file stem (or, with
+    `folder_names`, the name of the folder a meter's files lie in) to a meter."""
+    def pick(d: DataFrame) -> DataFrame:
+        return d.select((folder_name() if folder_names else file_stem()).alias("meter"), local_time("timestamp").alias("ts"),
+                        *[null_nan(c).alias(c) for c in READING_COLUMNS if c in d.columns])
+
+    out = read_by_name(spark, paths, {"timestamp": "BIGINT"} | dict.fromkeys(READING_COLUMNS, "DOUBLE"), pick, nullValue="NA")
     if names:
         pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
         out = out.withColumn("meter", F.coalesce(pairs[F.col("meter")], F.col("meter")))
@@ -63,39 +79,37 @@ def read_occupancy(spark: SparkSession, paths: list[str], codes: dict[str, str]
     """Occupancy files, one per building: building, ts, occupancy. `codes` maps stem to building."""
     codes = codes or {code: b for _, b, _, _, code in METER_REGISTRY}
     pairs = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    return (spark.read.schema("timestamp BIGINT, occupancy_count DOUBLE").option("header", True)
-            .option("nullValue", "NA").csv(paths)
-            .select(F.coalesce(pairs[file_stem()], file_stem()).alias("building"),
-                    local_time("timestamp").alias("ts"), null_nan("occupancy_count").alias("occupancy")))
+    return read_by_name(spark, paths, {"timestamp": "BIGINT", "occupancy_count": "DOUBLE"}, lambda d: d.select(
+        F.coalesce(pairs[file_stem()], file_stem()).alias("building"),
+        local_time("timestamp").alias("ts"), null_nan("occupancy_count").alias("occupancy")), nullValue="NA")
 
 
 def read_station(spark: SparkSession, path: str) -> DataFrame:
     """Weather station text rows; `operators.weather.parse_station` turns them into numbers."""
-    return spark.read.option("header", True).csv(path).select("valid", "tmpc", "relh")
+    return read_by_name(spark, [path], dict.fromkeys(("valid", "tmpc", "relh"), "STRING"), lambda d: d.select("valid", "tmpc", "relh"))
 
 
 def read_calendar(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Per-year calendars, any number of globs: one row per date."""
-    return (spark.read.schema("Date DATE, working_day INT, activity STRING").option("header", True).csv(paths)
+    types = {"Date": "DATE", "working_day": "INT", "activity": "STRING"}
+    return (read_by_name(spark, paths, types, lambda d: d.select(*[c for c in types if c in d.columns]))
             .withColumnRenamed("Date", "date").dropDuplicates(["date"]))
 
 
 def read_wide_power(spark: SparkSession, path: str, columns=None) -> DataFrame:
     """The all-meters file; only the named columns are parsed."""
-    header = csv_columns(spark, path)
-    schema = ", ".join("timestamp BIGINT" if c == "timestamp" else f"`{c}` DOUBLE" for c in header)
-    keep = list(columns or [c for c in WIDE_COLUMNS if c in header])
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
-            .select(local_time("timestamp").alias("ts"), *[null_nan(c).alias(c) for c in keep]))
+    def pick(d: DataFrame) -> DataFrame:
+        keep = list(columns or [c for c in WIDE_COLUMNS if c in d.columns])
+        return d.select(local_time("timestamp").alias("ts"), *[null_nan(c).alias(c) for c in keep if c in d.columns])
+
+    return read_by_name(spark, [path], {"timestamp": "BIGINT"}, pick, "DOUBLE", nullValue="NA")
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Presence flags: a text timestamp and one 0/1 column per meter, in long form."""
-    header = csv_columns(spark, path)
-    schema = ", ".join("timestamp STRING" if c == "timestamp" else f"`{c}` INT" for c in header)
-    wide = spark.read.schema(schema).option("header", True).csv(path)
+    wide = read_by_name(spark, [path], {"timestamp": "STRING"}, lambda d: d, "INT")
     return (wide.withColumn("ts", F.expr("try_cast(timestamp AS timestamp_ntz)")).drop("timestamp")
-            .unpivot(["ts"], [c for c in header if c != "timestamp"], "meter", "present"))
+            .unpivot(["ts"], [c for c in wide.columns if c != "timestamp"], "meter", "present"))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
