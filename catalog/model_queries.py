@@ -176,7 +176,7 @@ def _(w):
 @query("n03_hashed_experiment")
 def _(w):
     low = C.is_low("occupancy", F.lit(1.0))
-    test = stage(experiment.labelled_test(w.expected, B, low, n_spikes=20, n_waste=20, rules=w.rules), "labelled")
+    test = stage(experiment.labelled_test(w.expected, B, low, rules=w.rules), "labelled")
     scored = anomaly.score_detector(test, ["building", "detector"], rules=w.rules)
     return anomaly.evaluate_by_type(scored, ["building", "detector"])
 

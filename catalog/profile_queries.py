@@ -347,10 +347,12 @@ def _(w):
   SELECT 'power_w' AS "column", {is_(('count(*) FILTER (WHERE b.meter IS NULL)', 'only_left'), ('count(*) FILTER (WHERE a.meter IS NULL)', 'only_right'),
     ('count(*) FILTER (WHERE a.meter IS NOT NULL AND b.meter IS NOT NULL AND (a.power_w IS NULL) <> (b.power_w IS NULL))', 'null_mismatches'))},
     {r('max(abs(a.power_w - b.power_w))', 'max_abs_diff')}, 0::BIGINT AS text_mismatches, false AS same
-  FROM (SELECT meter, ts, power_w FROM blocks) a FULL JOIN (SELECT meter, ts, power_filled_w AS power_w FROM filled WHERE hour(ts) < 20) b
+  FROM (SELECT meter, ts, power_w FROM blocks) a FULL JOIN (SELECT meter, CASE WHEN hour(ts) < 20 THEN ts ELSE ts + INTERVAL 1 SECOND END AS ts, power_filled_w AS power_w FROM filled) b
     ON a.meter = b.meter AND a.ts = b.ts""", "filled"))
 def _(w):
-    right = w.cleaned.filter(F.hour("ts") < 20).select("meter", "ts", F.col("power_filled_w").alias("power_w"))
+    """The evening's rows are shifted by a second, so both sides have rows of their own."""
+    ts = F.when(F.hour("ts") < 20, F.col("ts")).otherwise(F.expr("ts + INTERVAL 1 SECOND"))
+    right = w.cleaned.select("meter", ts.alias("ts"), F.col("power_filled_w").alias("power_w"))
     return compare.table_diff(w.blocks.select("meter", "ts", "power_w"), right, ["meter", "ts"])
 
 
