@@ -22,8 +22,12 @@ def _path(w, name: str) -> str:
     return f"{shared_folder(w.spark)}/voltloom/{name}-{uuid.uuid4().hex}"
 
 
+ZONE = readers.DEFAULT_RULES.timezone
+
+
 def _unix(ts: str = "ts"):
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+    """The instant at which the site's clocks show the stamp."""
+    return F.unix_timestamp(F.convert_timezone(F.lit(ZONE), F.current_timezone(), F.col(ts)).cast("timestamp"))
 
 
 @query("s01_s03_meter_files", sql(f"""
@@ -43,6 +47,18 @@ def _(w):
                                    F.min("ts").alias("first"), F.sum("power").alias("power_sum"), F.sum("voltage").alias("voltage_sum"))
 
 
+@query("s04_occupancy_files", sql(f"SELECT building, {t('ts')}, {r('occupancy', 'occupancy')} FROM occraw", "occ"))
+def _(w):
+    """One folder of head counts per building, the columns of one of them swapped."""
+    home, raw = _path(w, "occupancy"), w.occupancy_raw
+    for code, b in (("x1", "A"), ("x2", "B"), ("x3", "C"), ("x4", "D")):
+        cols = ["timestamp", "occupancy_count"] if b != "B" else ["occupancy_count", "timestamp"]
+        part = raw.filter(F.col("building") == b).select(_unix().alias("timestamp"), F.col("occupancy").alias("occupancy_count"))
+        part.select(*cols).write.option("header", True).csv(f"{home}/{code}")
+    names = {"x1": "A", "x2": "B", "x3": "C", "x4": "D"}
+    return readers.read_occupancy(w.spark, [f"{home}/{c}" for c in names], names, folder_names=True)
+
+
 @query("s05_station_file", sql(f"SELECT {t('ts')}, {rs('temp_c', 'relh')} FROM wxp", "wx"))
 def _(w):
     p = _path(w, "station")

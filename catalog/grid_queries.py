@@ -129,7 +129,7 @@ ZERO_RUNS_SQL = """zr AS (SELECT meter, min(ts) AS start, max(ts) AS "end", coun
       - row_number() OVER (PARTITION BY meter, zero ORDER BY ts) AS zg FROM z) WHERE zero GROUP BY meter, zg)"""
 # lengths in hours, right-closed; scaled so that short runs fall into several buckets
 BUCKET_SQL = ("CASE WHEN h <= 6 THEN '< 6 h' WHEN h <= 18 THEN '6-18 h' WHEN h <= 24 THEN '18-24 h' "
-              "WHEN h <= 48 THEN '1-2 days' WHEN h <= 168 THEN '2-7 days' WHEN h <= 8760 THEN 'over a week' END")
+              "WHEN h <= 48 THEN '1-2 days' WHEN h <= 168 THEN '2-7 days' WHEN h <= 8760 THEN 'over a week' ELSE 'beyond' END")
 
 
 def _zero_runs(w):
@@ -158,7 +158,7 @@ def _(w):
 
 
 @query("f12_run_length_buckets", sql(f"""SELECT meter, {BUCKET_SQL} AS bucket, {i('count(*)', 'runs')}, {rs(('sum(h)', 'total_hours'),
-    ('100 * sum(h) / sum(sum(h)) OVER (PARTITION BY meter)', 'share_pct'))} FROM gr WHERE h <= 8760 GROUP BY 1, 2""", "off", extra=GAP_SQL))
+    ('100 * sum(h) / sum(sum(h)) OVER (PARTITION BY meter)', 'share_pct'))} FROM gr GROUP BY 1, 2""", "off", extra=GAP_SQL))
 def _(w):
     return runs.zero_run_buckets(_gap_hours(w), ["meter"])
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sql import VAC, d, i, is_, r, rs, sql
-from catalog.detector_queries import SPLIT_SQL
+from catalog.sql import VAC, d, i, is_, r, rs, sql, t
+from catalog.detector_queries import LABEL_SQL, SPLIT_SQL
 from voltloom.functions import columns as C
 from voltloom.operators import anomaly, days, models, stats
 from voltloom.plans import experiment
@@ -157,20 +157,35 @@ def _(w):
 
 @query("m05_forest_scores")
 def _(w):
-    one = w.split.filter("building = 'D'")
-    model = models.fit_forest(one.filter("split = 'train'"), trees=20, depth=8)
-    return models.forest_scores(one, B, model)
+    return models.forest_scores(w.forests, B)
+
+
+@query("m04_all_models")
+def _(w):
+    """Models B, C and D of every building side by side."""
+    both = models.fit_and_score(w.split, B).unionByName(models.forest_scores(w.forests, B))
+    return models.model_table(both, B)
 
 
 @query("m05_forest_importances")
 def _(w):
-    train = w.split.filter("building = 'D' AND split = 'train'")
-    return models.importances(models.fit_forest(train, trees=20, depth=8), w.spark)
+    return models.importances(w.forests, w.spark)
+
+
+# what holds of any forest: as many rows as the split has, importances that add up to one
+@query("m05_forest_properties", sql(f"""SELECT building, {is_(("count(*) FILTER (WHERE split = 'train')", 'train_rows'), ("count(*) FILTER (WHERE split = 'validation')", 'validation_rows'),
+    ("count(*) FILTER (WHERE split = 'test')", 'test_rows'))}, {i('44', 'features')}, 1e0 AS importance, true AS better_than_mean_in_train FROM sp GROUP BY 1""", "buildings", extra=SPLIT_SQL))
+def _(w):
+    s = models.forest_scores(w.forests, B)
+    at = lambda x: F.max(F.when(F.col("split") == x, F.col("n"))).alias(f"{x}_rows")
+    rows = s.groupBy("building").agg(at("train"), at("validation"), at("test"), F.bool_or((F.col("split") == "train") & (F.col("r2") > 0)).alias("better_than_mean_in_train"))
+    imp = models.importances(w.forests, w.spark).groupBy("building").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
+    return rows.join(imp, "building")
 
 
 @query("m07_forest_depth_curve")
 def _(w):
-    return models.forest_depth_curve(w.split.filter("building = 'D'"), (2, 4, 8), trees=10)
+    return models.forest_depth_curve(w.split, B)
 
 
 @query("n03_hashed_experiment")
@@ -181,6 +196,72 @@ def _(w):
     return anomaly.evaluate_by_type(scored, ["building", "detector"])
 
 
+_H = lambda what: f"('0x' || substr(md5('42|{what}|' || building || '|' || pos), 1, 15))::BIGINT"
+_U = lambda what: f"(({_H(what)} % 1000003) / 1000003e0)"
+PLACED_SQL = SPLIT_SQL + f""", tp AS (SELECT building, pos - ntr - nv AS pos, n - ntr - nv AS nr, occupancy <= 1 AS low FROM sp WHERE split = 'test'),
+tq AS (SELECT building, nr, low, pos::BIGINT AS pos FROM tp),
+ca AS (SELECT building, 'spike' AS type, pos, nr, {_H('spike')} AS h, floor((10 + {_H('spike-minutes')} % 21) / 1e1)::BIGINT AS len, 5e-1 + 5e-1 * {_U('spike-size')} AS mag FROM tq
+  UNION ALL SELECT building, 'waste', pos, nr, {_H('waste')}, floor((2 + 4 * {_U('waste-hours')}) * 6)::BIGINT, 15e-2 + 15e-2 * {_U('waste-size')} FROM tq WHERE low),
+cr AS (SELECT *, row_number() OVER (PARTITION BY building, type ORDER BY h, pos) AS r FROM ca WHERE pos + len <= nr),
+ci AS (SELECT *, CASE type WHEN 'spike' THEN r ELSE r + 200 END AS id FROM cr WHERE r <= CASE type WHEN 'spike' THEN 200 ELSE 10000 END),
+pl AS (SELECT building, unnest(list_reduce(list([{{'id': id, 's': pos, 'e': pos + len}}] ORDER BY id), lambda a, x: CASE
+    WHEN (x[1].id > 200 AND len(list_filter(a, lambda p: p.id > 200)) >= 200) OR len(list_filter(a, lambda p: p.s < x[1].e AND x[1].s < p.e)) > 0
+    THEN a ELSE list_concat(a, x) END)) AS p FROM ci GROUP BY building)"""
+
+
+@query("n03_placed_events", sql(f"""SELECT ci.building, type, {is_(('id', 'event_id'), ('pos', 'start_pos'), ('len', 'length'))}, {r('mag', 'magnitude')}
+  FROM pl JOIN ci ON ci.building = pl.building AND ci.id = pl.p.id""", "buildings", extra=PLACED_SQL))
+def _(w):
+    """Where the default 200 spikes and 200 waste events of every building come to lie."""
+    test = w.split.filter("split = 'test'").drop("pos", "n_rows")
+    pos = models.row_positions(test, B, "ts", w.rules.segment_days, "pos", "n_rows")
+    return anomaly.place_events(anomaly.hashed_events(pos, B, C.is_low("occupancy", F.lit(1.0))), B)
+
+
+def _excess(w):
+    return experiment.excess_episodes(w.expected, B, rules=w.rules)
+
+
+@query("n09_excess_episodes")
+def _(w):
+    """Episodes of model C on the real test rows, flagged one-sided."""
+    return _excess(w)[1]
+
+
+@query("n09_excess_by_building")
+def _(w):
+    return anomaly.episode_summary(_excess(w)[1])
+
+
+@query("t03_worst_excess")
+def _(w):
+    return anomaly.worst_episodes(_excess(w)[1])
+
+
+@query("n09_excess_bands")
+def _(w):
+    return anomaly.band_counts(_excess(w)[0], B)
+
+
+# the same plan on the mean by hour and low occupancy, which SQL can follow
+ONE_SIDED_SQL = LABEL_SQL[:LABEL_SQL.index("e0 AS (")] + """ur AS (SELECT building, ts, power_w - po AS residual_w FROM te),
+um AS (SELECT building, quantile_cont(residual_w, 0.5) AS med, stddev_samp(residual_w) AS sd FROM ur GROUP BY 1),
+ua AS (SELECT building, quantile_cont(abs(residual_w - med), 0.5) AS mad FROM ur JOIN um USING (building) GROUP BY 1),
+us AS (SELECT ur.*, (residual_w - med) / coalesce(nullif(14826e-4 * mad, 0), nullif(sd, 0)) AS z FROM ur JOIN um USING (building) JOIN ua USING (building)),
+u0 AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY ts) AS p FROM us),
+u1 AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY building ORDER BY p) > 3, true)::INT AS brk FROM u0 WHERE z > 3),
+u2 AS (SELECT *, sum(brk) OVER (PARTITION BY building ORDER BY p) AS g FROM u1)"""
+
+
+@query("n09_one_sided_episodes", sql(f"""SELECT building, {t('min(ts)', 'start')}, {t('max(ts)', chr(34) + 'end' + chr(34))}, {i('count(*)', 'intervals')}, {rs(
+    ('count(*) / 6e0', 'flagged_hours'), ('(epoch(max(ts)) - epoch(min(ts))) / 36e2 + 1e0 / 6e0', 'span_hours'), ('max(abs(z))', 'peak_z'),
+    ('avg(residual_w) / 1e3', 'mean_excess_kw'), ('sum(residual_w) / 1e3 * (10e0 / 60e0)', 'total_excess_kwh'))} FROM u2 GROUP BY building, g""",
+    "buildings", extra=ONE_SIDED_SQL))
+def _(w):
+    rows = w.hourly_means.select("building", "ts", "power_w", F.col("po").alias("predicted_w"), F.lit("C").alias("model"), F.lit("test").alias("split"))
+    return experiment.excess_episodes(rows, B, rules=w.rules)[1]
+
+
 @query("n10_scored_record")
 def _(w):
     return experiment.scored_record(w.split, w.buildings, fraction=0.25, rules=w.rules)

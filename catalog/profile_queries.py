@@ -60,20 +60,29 @@ def _(w):
     return _orders_monthly(w)
 
 
-@query("a22_coverage_matrix", sql("SELECT source, " + ", ".join(
-    r(f"max(CASE WHEN strftime(month, '%Y-%m') = '{m}' THEN coverage_pct END)", f'"{m}"') for m in
-    [f"{y}-{m:02d}" for y in (1995, 1996, 2001) for m in range(1, 13)]) + " FROM om GROUP BY source", extra=ORDERS_MONTHLY))
+# the span of the months, one row per source and month
+GRID_SQL = """g AS (SELECT s.source, m.month FROM (SELECT DISTINCT source FROM om) s,
+    (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM om) m),
+    gm AS (SELECT g.source, g.month, coverage_pct FROM g LEFT JOIN om ON om.source = g.source AND om.month = g.month)"""
+
+
+@query("a22_coverage_matrix", sql(f"SELECT source, strftime(month, '%Y-%m') AS month, {r('coverage_pct', 'coverage_pct')} FROM gm", extra=f"{ORDERS_MONTHLY}, {GRID_SQL}"))
 def _(w):
-    return profile.coverage_matrix(_orders_monthly(w), "source", [f"{y}-{m:02d}" for y in (1995, 1996, 2001) for m in range(1, 13)])
+    """The matrix over all months, its cells as rows."""
+    wide = profile.coverage_matrix(_orders_monthly(w), "source")
+    return wide.unpivot(["source"], wide.columns[1:], "month", "coverage_pct")
+
+
+CUSTOMERS_MONTHLY = ORDERS_MONTHLY.replace("o_orderpriority AS source", "o_custkey::VARCHAR AS source")
 
 
 @query("a27_blank_months", sql(f"""
-  SELECT e.source, {i('count(*)', 'blank_months')}, {d('min(m)', 'first_blank')}, {d('max(m)', 'last_blank')}
-  FROM (SELECT DISTINCT source, unnest(generate_series(DATE '2001-01-01', DATE '2002-12-01', INTERVAL 1 MONTH))::DATE AS m FROM om) e
-  LEFT JOIN om ON om.source = e.source AND om.month = m WHERE coverage_pct IS NULL OR coverage_pct < 1 GROUP BY e.source""", extra=ORDERS_MONTHLY))
+  SELECT source, {i('count(*)', 'blank_months')}, {d('min(month)', 'first_blank')}, {d('max(month)', 'last_blank')}
+  FROM gm WHERE coverage_pct IS NULL OR coverage_pct < 1 GROUP BY source""", extra=f"{CUSTOMERS_MONTHLY}, {GRID_SQL}"))
 def _(w):
-    months = [f"{y}-{m:02d}" for y in (2001, 2002) for m in range(1, 13)]
-    return profile.blank_months(_orders_monthly(w), months, "source")
+    """Months without an order of a customer."""
+    o = w.table("orders").select(F.col("o_custkey").cast("string").alias("source"), F.col("o_orderdate").alias("ts"))
+    return profile.blank_months(profile.monthly_coverage(o, ["source"], 2), None, "source")
 
 
 STATUS_SQL = "SELECT {d}, meter, {r} FROM (SELECT ts, meter, present FROM (SELECT ts, " + ", ".join(
@@ -453,7 +462,19 @@ def _(w):
     return s.select("n", F.round("mu", 4).alias("mu"), F.round("sd", 4).alias("sd"), "log_mu", "log_sd")
 
 
-@query("h04_sampling_distribution")
+SAMPLE_SQL = """dk AS (SELECT building || '|' || date AS k, sum(kwh) AS x FROM buildings WHERE usable GROUP BY building, date),
+nu AS (SELECT row_number() OVER (ORDER BY md5(k), k) - 1 AS at, x FROM dk),
+sz AS (SELECT count(*) AS N, least(30, count(*)) AS m FROM nu),
+sa AS (SELECT s AS sample, N, m FROM sz, generate_series(1, 1000) q(s)),
+dr AS (SELECT sample, unnest(list_reduce(list_transform(range(N - m, N), lambda l: [l, ('0x' || substr(md5('42|' || sample || '|' || (l - (N - m))), 1, 15))::BIGINT % (l + 1)]),
+    lambda a, x: CASE WHEN list_contains(a, x[2]) THEN list_append(a, x[1]) ELSE list_append(a, x[2]) END, []::BIGINT[])) AS at FROM sa),
+me AS (SELECT sample, avg(x) AS m FROM dr JOIN nu ON nu.at = dr.at GROUP BY 1)"""
+
+
+@query("h04_sampling_distribution", sql(f"""SELECT {is_(('(SELECT count(*) FROM nu)', 'population_n'), ('count(*)', 'n_samples'), ('30', 'sample_size'))},
+  {rs(('avg(m)', 'mean_of_sample_means'), ('stddev_samp(m)', 'sd_of_sample_means'), ('(SELECT avg(x) FROM nu)', 'population_mean'),
+      ('(SELECT stddev_samp(x) FROM nu)', 'population_sd'), ('(SELECT stddev_samp(x) FROM nu) / sqrt(30)', 'predicted_standard_error'), ('avg(m) - (SELECT avg(x) FROM nu)', 'bias'))}
+  FROM me""", "buildings", extra=SAMPLE_SQL))
 def _(w):
     daily = profile.daily_energy(w.buildings).withColumn("k", F.concat_ws("|", "building", "date"))
     return stats.sampling_distribution(daily, "k", "kwh", 30, 1000)

@@ -218,15 +218,16 @@ def _(w):
 # ---------------------------------------------------------------------- weather
 @query("f13_temperature_response", sql(f"""
   SELECT building, {', '.join(r(f'CASE WHEN count(*) FILTER (WHERE temp_c >= {a} AND temp_c < {b}) > 200 THEN avg(power_w) FILTER (WHERE temp_c >= {a} AND temp_c < {b}) END', f'band_{a}_{b}') for a, b in ((0, 15), (15, 20), (20, 25), (25, 30), (30, 35), (35, 40), (40, 50)))},
-    {rs(('100 * (avg(power_w) FILTER (WHERE temp_c >= 30) / avg(power_w) FILTER (WHERE temp_c BETWEEN 15 AND 25) - 1)', 'hot_vs_mild_pct'), ('corr(power_w, temp_c)', 'r_power_temp'))}
+    {rs(('100 * (avg(power_w) FILTER (WHERE temp_c >= 30) / avg(power_w) FILTER (WHERE temp_c BETWEEN 15 AND 25) - 1)', 'hot_vs_mild_pct'), ('corr(power_w, temp_c)', 'r_power_temp'))}, {i('count(*) FILTER (WHERE temp_c < 0 OR temp_c >= 50)', 'n_outside')}
   FROM buildings WHERE usable AND temp_c IS NOT NULL GROUP BY building""", "buildings"))
 def _(w):
     return weather.temperature_response(w.buildings.filter("usable"), ["building"])
 
 
 @query("j09_band_means", sql(f"""
-  SELECT building, lo || '-' || hi || 'C' AS band, {i('count(power_w)', 'n')}, {r('avg(power_w)', 'mean_power_w')}
-  FROM buildings JOIN (VALUES (0,15),(15,20),(20,25),(25,30),(30,35),(35,40),(40,50)) b(lo, hi) ON temp_c >= lo AND temp_c < hi
+  SELECT building, CASE WHEN lo = -1e9 THEN 'below 0C' WHEN hi = 1e9 THEN 'from 50C' ELSE lo::INT || '-' || hi::INT || 'C' END AS band,
+    {i('count(power_w)', 'n')}, {r('avg(power_w)', 'mean_power_w')}
+  FROM buildings JOIN (VALUES (-1e9,0),(50,1e9),(0,15),(15,20),(20,25),(25,30),(30,35),(35,40),(40,50)) b(lo, hi) ON temp_c >= lo AND temp_c < hi
   WHERE usable GROUP BY 1, 2""", "buildings"))
 def _(w):
     return weather.band_means(w.buildings.filter("usable"), ["building"])

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from catalog import roles as R
 from voltloom.operators import anomaly, blocks, days, models, weather
 from voltloom.plans import experiment
-from voltloom.plans.building_table import build_meters, build_table
+from voltloom.plans.building_table import build_table, clean_meters
 from voltloom.session import stage
 
 _MADE: dict[tuple, DataFrame] = {}
+_FITTED: dict[tuple, list[tuple]] = {}
 
 
 class Workspace:
@@ -61,7 +62,7 @@ class Workspace:
 
     @property
     def cleaned(self) -> DataFrame:
-        return self._once("cleaned", lambda: build_meters(self.readings, self.rules))
+        return self._once("cleaned", lambda: clean_meters(self.blocks, self.rules))
 
     @property
     def occupancy(self) -> DataFrame:
@@ -83,13 +84,21 @@ class Workspace:
     def split(self) -> DataFrame:
         """Model rows with their chronological split."""
         return self._once("split", lambda: models.with_split(
-            models.usable_frame(self.buildings), ["building"], rules=self.rules))
+            models.usable_frame(self.buildings), ["building"], rules=self.rules), partition_by=["building"])
 
     @property
     def expected(self) -> DataFrame:
         """Bias-corrected predictions of models B and C on the validation and test rows."""
         return self._once("expected", lambda: experiment.expected_power(self.split, ["building"]))
 
+    @property
+    def forests(self) -> list[tuple]:
+        """Model D of every building; the fitted trees stay on the driver."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "forests")
+        if key not in _FITTED:
+            _FITTED[key] = models.fit_forests(self.split, ["building"])
+        return _FITTED[key]
+
     # --------------------------------------------- a detector SQL can follow
     @property
     def hourly_means(self) -> DataFrame:

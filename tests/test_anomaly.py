@@ -117,7 +117,7 @@ def test_contamination(spark):
 
 def test_hashed_events_fit_and_start_where_they_may(spark):
     d = series(spark, [100.0] * 400, cols=("power_w",)).withColumns({"pos": F.col("i"), "n_rows": F.lit(400)})
-    ev = anomaly.hashed_events(d, K, F.col("i") % 4 == 0, 20, 15).collect()
+    ev = anomaly.hashed_events(d, K, F.col("i") % 4 == 0, 20, 15, attempts=1).collect()
     spikes, waste = [e for e in ev if e.type == "spike"], [e for e in ev if e.type == "waste"]
     assert (len(spikes), len(waste)) == (20, 15) and len({e.event_id for e in ev}) == 35
     assert all(1 <= e.length <= 3 and 0.5 <= e.magnitude <= 1 for e in spikes)
@@ -125,6 +125,21 @@ def test_hashed_events_fit_and_start_where_they_may(spark):
     assert all(e.start_pos + e.length <= 400 for e in ev)
 
 
+def test_waste_is_drawn_again_until_enough_is_placed(spark):
+    d = series(spark, [100.0] * 2000, cols=("power_w",)).withColumns({"pos": F.col("i"), "n_rows": F.lit(2000)})
+    low = F.col("i") % 50 < 10
+    placed = {}
+    for attempts in (1, 50):
+        e = anomaly.place_events(anomaly.hashed_events(d, K, low, 20, 30, attempts=attempts), K, 30).collect()
+        rows = [p for x in e for p in range(x.start_pos, x.start_pos + x.length)]
+        assert len(rows) == len(set(rows))
+        placed[attempts] = sum(x.type == "waste" for x in e)
+    assert placed[1] < 30 == placed[50]
+    few = anomaly.place_events(anomaly.hashed_events(d, K, F.col("i") < 5, 20, 30), K, 30)
+    assert few.filter("type = 'waste'").count() <= 1
+    assert anomaly.place_events(anomaly.hashed_events(d.filter("i < 0"), K, low), K).count() == 0
+
+
 def test_display_scores_use_the_test_scale(spark):
     d = series(spark, [(float(i % 7), "test" if i < 70 else "train") for i in range(140)], cols=("residual_w", "split"))
     d = d.withColumn("residual_w", F.when(F.col("split") == "train", F.col("residual_w") - 100).otherwise(F.col("residual_w")))

@@ -89,12 +89,18 @@ def test_polynomial_curve_matches_numpy(frame):
         assert got[deg].val_mae_w == pytest.approx((va.power_w - np.polyval(w, va.occupancy)).abs().mean())
 
 
-def test_forest_beats_the_mean_and_names_its_features(frame, spark):
-    m = models.fit_forest(frame.filter("split = 'train'"), trees=10, depth=6)
-    s = {r.split: r for r in models.forest_scores(frame, ["building"], m).collect()}
-    assert s["validation"].r2 > 0 and s["train"].r2 > s["test"].r2 - 0.2
-    imp = {r.feature: r.importance for r in models.importances(m, spark).collect()}
-    assert sum(imp.values()) == pytest.approx(1) and set(imp) == set(models.FOREST_FEATURES)
+def test_forests_of_two_buildings_beat_the_mean_and_name_their_features(frame, spark):
+    both = frame.unionByName(frame.withColumn("building", F.lit("other")).withColumn("power_w", 2 * F.col("power_w")))
+    forests = models.fit_forests(both, ["building"], trees=10, depth=6)
+    s = {(r.building, r.split): r for r in models.forest_scores(forests, ["building"]).collect()}
+    names = {b for b, _ in s}
+    assert len(names) == 2 and len(s) == 8
+    for b in names:
+        assert s[b, "validation"].r2 > 0 and s[b, "train"].r2 > s[b, "test"].r2 - 0.2
+        own = models.importances(forests, spark).filter(F.col("building") == b).collect()
+        assert sum(r.importance for r in own) == pytest.approx(1) and {r.feature for r in own} == set(models.FOREST_FEATURES)
+    curve = models.forest_depth_curve(both, ["building"], (2, 5), trees=5).collect()
+    assert {(r.building, r.max_depth) for r in curve} == {(b, d) for b in names for d in ("2", "5")}
 
 
 def test_feature_ranking(frame):

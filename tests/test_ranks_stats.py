@@ -128,3 +128,21 @@ def test_step_gaps_across_slices(spark):
     far = d.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.when(F.col("i") == 4, 90).otherwise(0)))
     r = profile.step_gaps(far, ["key"], C.wall_seconds("ts")).first()
     assert (r.gaps, r.largest_gap_s) == (2, 90 * 86400 + 60)
+
+
+def test_a_steady_load_is_sorted_in_small_parts(spark):
+    from voltloom.operators import ranks
+    d = spark.range(200_001).select(F.lit("k").alias("key"), (230 + (F.col("id") - 100_000) * 1e-6).alias("value"))
+    bins = d.groupBy(ranks.value_bin(F.col("value")).alias("b")).count().agg(F.max("count")).first()[0]
+    parts = d.groupBy(ranks.value_bin(F.col("value"), ranks.PARTS_PER_OCTAVE).alias("b")).count().agg(F.max("count")).first()[0]
+    assert bins > 50_000 and parts < 300
+    q = ranks.quantiles(d, ["key"], "value", {"low": 0.25, "mid": 0.5}).first()
+    assert q.mid == 230 and q.low == pytest.approx(229.95, abs=1e-9)
+    r = ranks.ranked_values(d, ["key"], "value").agg(F.max("before"), F.sum("before")).first()
+    assert tuple(r) == (200_000, 200_000 * 200_001 // 2)
+
+
+def test_samples_are_without_replacement(spark):
+    d = series(spark, [float(i) for i in range(30)]).withColumn("id", F.col("i"))
+    r = stats.sampling_distribution(d, "id", "value", 30, 50).first()
+    assert r.mean_of_sample_means == 14.5 and r.sd_of_sample_means == 0

@@ -129,3 +129,14 @@ def test_incremental_ingest_equals_the_batch_one(spark, files, tmp_path):
                    | (F.abs(F.col("a.power_factor") - F.col("b.power_factor")) > 1e-9)
                    | ~F.col("a.pf_neg_frac").eqNullSafe(F.col("b.pf_neg_frac")))
     assert j.count() == 286 and bad.count() == 0
+
+
+def test_stamps_are_the_site_clock_under_any_session_zone(spark):
+    d = spark.createDataFrame([(1433097000,)], "timestamp bigint")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert str(d.select(readers.local_time("timestamp")).first()[0]) == "2015-06-01 00:00:00"
+        assert str(d.select(readers.local_time("timestamp", "UTC")).first()[0]) == "2015-05-31 18:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

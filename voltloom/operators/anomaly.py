@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from voltloom.functions.columns import band, kwh, ratio, wall_seconds
 from voltloom.operators.ordered import SLICE, merge_runs, row_positions, up_to_here
 from voltloom.operators.ranks import COUNT, quantiles, ranked_values
 from voltloom.operators.runs import fences
+from voltloom.session import stage
 
 MAD_TO_SD = 1.4826
 POSITIONS_PER_SLICE = 4096
@@ -21,10 +25,11 @@ def robust_scale(df: DataFrame, keys, residual: str = "residual_w",
     """Median, MAD and scale per key; the sample sd stands in where the MAD is 0.
 
     A constant series has sd 0 too: its scale is NULL, and so are its scores. Further
-    quantiles asked for in `also` come from the same pass as the median.
+    quantiles asked for in `also` come from the same pass as the median. The medians, one
+    row per key, are staged, as the deviations are taken from them.
     """
     keys = list(keys)
-    med = quantiles(df, keys, residual, {"median": 0.5, **(also or {})})
+    med = stage(quantiles(df, keys, residual, {"median": 0.5, **(also or {})}), "medians")
     dev = df.select(*keys, residual).join(med.select(*keys, "median"), keys).withColumn(
         "_d", F.abs(F.col(residual) - F.col("median")))
     mad = quantiles(dev, keys, "_d", {"mad": 0.5})
@@ -98,14 +103,18 @@ def apply_test_scale(rows: DataFrame, keys, rules: Rules = DEFAULT_RULES) -> Dat
 
 # -------------------------------------------------------------- contamination
 def hashed_events(test: DataFrame, keys, low: Column, n_spikes: int = 200, n_waste: int = 200,
-                  seed: int = 42) -> DataFrame:
-    """Candidate events drawn by hash: the n lowest hashes per key and type.
+                  seed: int = 42, attempts: int = 50) -> DataFrame:
+    """Candidate events drawn by hash: per key the n_spikes lowest hashes, and of waste the
+    attempts * n_waste lowest. Ids follow the hashes, spikes first.
 
     `test` carries `pos` and `n_rows`. Spikes (10-30 min, +50-100 %) start anywhere, waste
-    (2-6 h, +15-30 %) on rows where `low` is true. Every event fits in the data.
+    (2-6 h, +15-30 %) on rows where `low` is true. Every event fits in the data. The hash is
+    60 bits of an MD5. A cutoff from counts per hash range leaves hardly more rows than are
+    wanted before they are put in order.
     """
     keys = list(keys)
-    h = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *keys, "pos")
+    text = lambda what: F.concat_ws("|", F.lit(str(seed)), F.lit(what), *[F.col(k).cast("string") for k in keys], F.col("pos").cast("string"))
+    h = lambda what: F.conv(F.substring(F.md5(text(what)), 1, 15), 16, 10).cast("bigint")
     unit = lambda what: F.pmod(h(what), F.lit(1_000_003)) / 1_000_003.0
     kinds = F.array(
         F.struct(F.lit("spike").alias("type"), F.lit(True).alias("ok"), h("spike").alias("h"),
@@ -116,13 +125,43 @@ def hashed_events(test: DataFrame, keys, low: Column, n_spikes: int = 200, n_was
                  (0.15 + 0.15 * unit("waste-size")).alias("magnitude")))
     c = (test.select(*keys, "pos", "n_rows", F.explode(kinds).alias("e")).select(*keys, "pos", "n_rows", "e.*")
          .filter(F.col("ok") & (F.col("pos") + F.col("length") <= F.col("n_rows"))))
-    order = F.row_number().over(Window.partitionBy(*keys, "type").orderBy("h", "pos"))
-    limit = F.when(F.col("type") == "spike", n_spikes).otherwise(n_waste)
-    top = c.withColumn("_r", order).filter(F.col("_r") <= max(n_spikes, n_waste)).filter(F.col("_r") <= limit)
+    by, limit = [*keys, "type"], F.when(F.col("type") == "spike", n_spikes).otherwise(attempts * n_waste)
+    c = c.withColumn("_range", F.shiftright("h", 44))
+    counts = c.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(up_to_here(Window.partitionBy(*by).orderBy("_range")))
+    cut = (counts.withColumn("_before", upto - F.col("_n")).filter(F.col("_before") < limit)
+           .groupBy(*by).agg(F.max("_range").alias("_last")))
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("h", "pos"))
+    top = (c.join(cut, by).filter(F.col("_range") <= F.col("_last"))
+           .withColumn("_r", order).filter(F.col("_r") <= limit))
     return top.select(*keys, F.when(F.col("type") == "spike", F.col("_r")).otherwise(F.col("_r") + n_spikes)
                       .cast("bigint").alias("event_id"), "type", F.col("pos").alias("start_pos"), "length", "magnitude")
 
 
+def place_events(candidates: DataFrame, keys, n_waste: int = 200) -> DataFrame:
+    """Candidates by id, each placed if it touches none placed before it; of waste events the
+    first `n_waste` that find a place.
+
+    A group is the candidates of one key, whose number the draw bounds (200 + 50 * 200 by
+    default) whatever the number of rows. Spikes that collide are not drawn again. Where the
+    candidates run out, fewer waste events are placed; `injection_summary` counts them.
+    """
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event_id", ignore_index=True)
+        begins, ends, rows, left = [], [], [], n_waste
+        for row, (kind, a, n) in enumerate(zip(pdf["type"], pdf["start_pos"], pdf["length"], strict=True)):
+            at = bisect_left(begins, a)
+            if (kind == "waste" and not left) or (at and ends[at - 1] > a) or (at < len(begins) and begins[at] < a + n):
+                continue
+            begins.insert(at, a)
+            ends.insert(at, a + n)
+            rows.append(row)
+            left -= kind == "waste"
+        return pdf.iloc[rows]
+
+    return candidates.groupBy(*keys).applyInPandas(place, candidates.schema)
+
+
 def _event_rows(events: DataFrame) -> DataFrame:
     return events.withColumn("pos", F.explode(F.sequence(
         F.col("start_pos"), F.col("start_pos") + F.col("length") - 1)))

@@ -91,14 +91,23 @@ def monthly_coverage(df: DataFrame, keys, readings_per_day: int, ts: str = "ts")
         days_in_month("month") * readings_per_day)))
 
 
-def coverage_matrix(monthly: DataFrame, source: str, months: list[str]) -> DataFrame:
-    """Sources x months; a month without any reading stays NULL."""
+def month_span(monthly: DataFrame) -> list[str]:
+    """All months from the first to the last of the table, as 'yyyy-MM': one small row is read."""
+    span = monthly.agg(F.expr("transform(sequence(min(month), max(month), interval 1 month), m -> date_format(m, 'yyyy-MM'))"))
+    return span.first()[0] or []
+
+
+def coverage_matrix(monthly: DataFrame, source: str, months: list[str] | None = None) -> DataFrame:
+    """Sources x months, by default all of the table's span; a month without any reading is NULL."""
+    months = month_span(monthly) if months is None else months
     return (monthly.withColumn("_m", month_label("month")).groupBy(source)
             .pivot("_m", months).agg(F.first("coverage_pct")))
 
 
-def blank_months(monthly: DataFrame, months: list[str], source: str) -> DataFrame:
-    """Months of a source that are absent or below 1 %: how many, first and last."""
+def blank_months(monthly: DataFrame, months: list[str] | None, source: str) -> DataFrame:
+    """Months of a source that are absent or below 1 %: how many, first and last. By default
+    the months are all of the table's span."""
+    months = month_span(monthly) if months is None else months
     every = F.explode(F.array(*[F.to_date(F.lit(f"{m}-01")) for m in months])).alias("month")
     d = (monthly.select(source).distinct().select(source, every)
          .join(monthly.select(source, "month", "coverage_pct"), [source, "month"], "left"))

@@ -105,9 +105,11 @@ def zero_runs(df: DataFrame, keys, power_max: str = "power_max_w", ts: str = "ts
 
 
 def zero_run_buckets(runs: DataFrame, keys) -> DataFrame:
-    """Runs per length bucket: count, total hours, share of all zero hours."""
+    """Runs per length bucket: count, total hours, share of all zero hours. Runs beyond the
+    last bucket are a bucket of their own, so the shares are of all zero hours."""
     by = list(keys)
-    out = (runs.withColumn("bucket", right_closed_bucket("hours", ZERO_RUN_BUCKETS))
+    beyond = F.when(F.col("hours") > ZERO_RUN_BUCKETS[-1][0], "beyond")
+    out = (runs.withColumn("bucket", F.coalesce(right_closed_bucket("hours", ZERO_RUN_BUCKETS), beyond))
            .filter(F.col("bucket").isNotNull())
            .groupBy(*by, "bucket")
            .agg(F.count(F.lit(1)).alias("runs"), F.sum("hours").alias("total_hours")))

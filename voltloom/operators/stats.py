@@ -156,17 +156,31 @@ def sampling_distribution(population: DataFrame, key: str, value: str, sample_si
                           n_samples: int = 1000, seed: int = 42) -> DataFrame:
     """How the means of repeated samples without replacement spread around the true mean.
 
-    A sample is the `sample_size` rows with the lowest hash of (seed, sample, key). The
-    row_number limit is applied before the shuffle too, so a task receives at most
-    sample_size rows per sample from each input task.
+    Rows are numbered in the order of the MD5 of `key`, within 4,096 ranges of it, so no task
+    sorts them all. Sample s draws its positions one by one: the i-th is uniform among the first
+    n - size + i; if it is taken already, the last of them is taken (every subset is equally
+    likely). The positions of all samples are then joined to the rows. `key` is unique.
     """
     pop = population.filter(F.col(value).isNotNull()).select(
-        F.col(key).alias("_k"), F.col(value).cast("double").alias("_x"))
-    draws = (pop.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-             .withColumn("_h", F.xxhash64(F.lit(seed), "sample", "_k")))
-    order = F.row_number().over(Window.partitionBy("sample").orderBy("_h", "_k"))
-    picked = draws.withColumn("_r", order).filter(F.col("_r") <= sample_size)
-    means = picked.groupBy("sample").agg(F.avg("_x").alias("m"))
+        F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_x"))
+    pop = pop.withColumn("_h", F.md5("_k")).withColumn("_range", F.substring("_h", 1, 3))
+    counts = pop.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    start = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # 4,096 rows at most
+    starts = counts.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "_k")) - 1
+    numbered = pop.withColumn("_i", inside).join(starts, "_range").select((F.col("_start") + F.col("_i")).alias("_at"), "_x")
+    size = F.least(F.lit(sample_size).cast("bigint"), F.col("N"))
+    text = lambda n: F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), n.cast("string"))
+    draw = lambda n, last: F.pmod(F.conv(F.substring(F.md5(text(n)), 1, 15), 16, 10).cast("bigint"), last + 1)
+
+    def add(taken: Column, last: Column) -> Column:
+        one = draw(last - (F.col("N") - size), last)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, one), last).otherwise(one)))
+
+    samples = pop.agg(F.count(F.lit(1)).alias("N")).filter("N > 0").select(
+        "N", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
+    taken = F.aggregate(F.sequence(F.col("N") - size, F.col("N") - 1), F.array().cast("array<bigint>"), add)
+    means = samples.select("sample", F.explode(taken).alias("_at")).join(numbered, "_at").groupBy("sample").agg(F.avg("_x").alias("m"))
     a = means.agg(F.count("m").alias("n_samples"), F.avg("m").alias("mean_of_sample_means"),
                   F.stddev_samp("m").alias("sd_of_sample_means"))
     b = pop.agg(F.count("_x").alias("population_n"), F.avg("_x").alias("population_mean"),

@@ -55,7 +55,9 @@ def monthly_temperature(weather: DataFrame) -> DataFrame:
 
 def temperature_response(df: DataFrame, keys, power: str = "power_w", temp: str = "temp_c",
                          bands=TEMPERATURE_BANDS, min_rows: int = 200) -> DataFrame:
-    """Mean power per temperature band, hot against mild, and the correlation."""
+    """Mean power per temperature band, hot against mild, and the correlation. A band with
+    `min_rows` rows or fewer is NULL; `n_outside` counts rows outside all bands, which take
+    part in the other columns."""
     p, t = F.col(power), F.col(temp)
     d = df.filter(p.isNotNull() & t.isNotNull())
     aggs = []
@@ -64,15 +66,18 @@ def temperature_response(df: DataFrame, keys, power: str = "power_w", temp: str
         aggs.append(F.when(F.count_if(inside) > min_rows, F.avg(F.when(inside, p)))
                     .alias(f"band_{lo}_{hi}"))
     hot, mild = F.avg(F.when(t >= 30, p)), F.avg(F.when(t.between(15, 25), p))
-    return d.groupBy(*keys).agg(*aggs, (100 * (ratio(hot, mild) - 1)).alias("hot_vs_mild_pct"),
+    outside = F.count_if((t < bands[0][0]) | (t >= bands[-1][1])).alias("n_outside")
+    return d.groupBy(*keys).agg(*aggs, outside, (100 * (ratio(hot, mild) - 1)).alias("hot_vs_mild_pct"),
                                 F.corr(p, t).alias("r_power_temp"))
 
 
 def band_means(df: DataFrame, keys, power: str = "power_w", temp: str = "temp_c",
                bands=TEMPERATURE_BANDS) -> DataFrame:
-    """Long form: one row per key and band. The bands do not overlap, so the range join to
-    them is a CASE."""
-    return (df.withColumn("band", left_closed_band(temp, bands)).filter(F.col("band").isNotNull())
+    """Long form: one row per key and band, with an open band at either end. The bands do not
+    overlap, so the range join to them is a CASE."""
+    lo, hi = bands[0][0], bands[-1][1]
+    ends = F.when(F.col(temp) < lo, f"below {lo}C").when(F.col(temp) >= hi, f"from {hi}C")
+    return (df.withColumn("band", F.coalesce(left_closed_band(temp, bands), ends)).filter(F.col("band").isNotNull())
             .groupBy(*keys, "band").agg(F.count(power).alias("n"), F.avg(power).alias("mean_power_w")))
 
 

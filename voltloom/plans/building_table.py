@@ -17,7 +17,11 @@ def build_meters(readings: DataFrame, rules: Rules = DEFAULT_RULES, staged: bool
     for the outlier limits, which read it again.
     """
     made = blocks.aggregate_blocks(blocks.invalidate(readings, rules))
-    made = blocks.complete_grid(stage(made, "block_sums") if staged else made)
+    return clean_meters(blocks.complete_grid(stage(made, "block_sums") if staged else made), rules, staged)
+
+
+def clean_meters(made: DataFrame, rules: Rules = DEFAULT_RULES, staged: bool = True) -> DataFrame:
+    """The cleaned table from blocks on their grid, such as a staged one."""
     ruled = runs.clean_rules(made, rules=rules)
     if staged:
         ruled = stage(ruled, "ruled")

@@ -32,8 +32,8 @@ def labelled_test(expected: DataFrame, keys, low: Column, names: dict = DETECTOR
     one = test.filter(F.col("model") == next(iter(names))).withColumn("_low", low)
     pos = stage(row_positions(one.select(*keys, "ts", "power_w", "_low"), keys, "ts", rules.segment_days,
                               "pos", "n_rows"), "test_positions")
-    events = anomaly.drop_overlaps(
-        anomaly.hashed_events(pos, keys, F.col("_low"), n_spikes, n_waste, seed), keys)
+    events = anomaly.place_events(
+        anomaly.hashed_events(pos, keys, F.col("_low"), n_spikes, n_waste, seed), keys, n_waste)
     d = anomaly.contaminate(pos, events, keys).drop("_low", "n_rows")
     labels = d.select(*keys, "ts", "pos", F.col("power_w").alias("_p"), "injected_extra_w", "is_anomaly",
                       "anomaly_type", "event_id")
@@ -42,6 +42,20 @@ def labelled_test(expected: DataFrame, keys, low: Column, names: dict = DETECTOR
             .withColumn("detector", name[F.col("model")]).filter(F.col("detector").isNotNull()).drop("model"))
 
 
+def excess_episodes(expected: DataFrame, keys=("building",), model: str = "C",
+                    rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    """The real test rows of one model, scored one-sided (z > 3) on their own scale, and the
+    episodes the flagged rows form. Nothing is contaminated here.
+
+    `expected` is what `expected_power` returns. The scored rows are staged, as the episodes
+    and the rankings read them again.
+    """
+    keys = list(keys)
+    test = expected.filter((F.col("split") == "test") & (F.col("model") == model)).drop("pos", "n_rows", "residual_w")
+    scored = stage(anomaly.score_detector(test, keys, one_sided=True, rules=rules), "excess_scored")
+    return scored, anomaly.episodes(scored, keys, rules=rules)
+
+
 def with_low_threshold(rows: DataFrame, table: DataFrame, fraction: float | None = None,
                        rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Add each building's published (two-place) low-occupancy threshold."""
@@ -97,14 +111,19 @@ def pooled_answer(scored: DataFrame, keys=("building",), rules: Rules = DEFAULT_
 def scored_record(split: DataFrame, table: DataFrame, keys=("building",), fraction: float | None = None,
                   rules: Rules = DEFAULT_RULES) -> DataFrame:
     """The whole usable record scored for display: expectations of both models, z on the
-    scale of the test residuals, low-occupancy flag, split."""
+    scale of the test residuals, low-occupancy flag, split. The record is staged before the
+    scale is taken from its test rows."""
     keys = list(keys)
     coefs = models.fit_linear(split.filter("split = 'train'"), keys)
-    p = models.with_bias(models.predict(split, coefs, keys), keys)
-    wide = [*keys, "ts", "power_w", "occupancy", "split", *[c for c in ("temp_c", "cdh") if c in split.columns]]
-    at = lambda m: F.max(F.when(F.col("model") == m, F.col("predicted_w")))
-    d = p.groupBy(*wide).agg(at("C").alias("expected_w"), at("B").alias("expected_time_only_w"))
-    d = d.withColumn("residual_w", F.col("power_w") - F.col("expected_w"))
+    bias = models.validation_bias(models.predict(split.filter("split = 'validation'"), coefs, keys), keys)
+    fixed = coefs.join(bias, [*keys, "model"])
+    d = split.select(*keys, "ts", "power_w", "occupancy", "split", *models.CELL_KEYS,
+                     *[c for c in ("temp_c", "cdh") if c in split.columns])
+    # one row of coefficients per key and model: the rows themselves are not dealt anew
+    for model, name in (("C", "expected_w"), ("B", "expected_time_only_w")):
+        d = models.predict(d, fixed.filter(F.col("model") == model).drop("model"), keys)
+        d = d.withColumn(name, F.col("predicted_w") + F.col("val_bias_w")).drop("predicted_w", "val_bias_w")
+    d = stage(d.drop(*models.CELL_KEYS).withColumn("residual_w", F.col("power_w") - F.col("expected_w")), "record")
     d = with_low_threshold(anomaly.apply_test_scale(d, keys, rules), table, fraction, rules)
     return d.withColumn("low_occupancy", F.coalesce(F.col("occupancy") <= F.col("low_threshold"), F.lit(False))).drop("low_threshold")
 

@@ -8,20 +8,21 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.config import METER_REGISTRY, WIDE_COLUMNS
+from voltloom.config import DEFAULT_RULES, METER_REGISTRY, WIDE_COLUMNS
 from voltloom.functions.columns import null_nan
 from voltloom.operators.assemble import require_columns
 
 READING_COLUMNS = ("power", "current", "voltage", "frequency", "power_factor")
 
 
-def local_time(seconds: str | Column) -> Column:
-    """UNIX seconds to the wall clock of the session zone (set it to the site's zone).
+def local_time(seconds: str | Column, zone: str = DEFAULT_RULES.timezone) -> Column:
+    """UNIX seconds to the wall clock of the site's zone, whatever the session's zone is.
 
     The pipeline works on wall-clock stamps throughout, as do the weather rows.
     """
     c = F.col(seconds) if isinstance(seconds, str) else seconds
-    return F.timestamp_seconds(c).cast("timestamp_ntz")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def file_stem() -> Column:
@@ -61,11 +62,11 @@ def read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str], p
 
 
 def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None,
-                folder_names: bool = False) -> DataFrame:
+                folder_names: bool = False, zone: str = DEFAULT_RULES.timezone) -> DataFrame:
     """All one-minute meter files: meter, ts, readings. `names` maps a file stem (or, with
     `folder_names`, the name of the folder a meter's files lie in) to a meter."""
     def pick(d: DataFrame) -> DataFrame:
-        return d.select((folder_name() if folder_names else file_stem()).alias("meter"), local_time("timestamp").alias("ts"),
+        return d.select((folder_name() if folder_names else file_stem()).alias("meter"), local_time("timestamp", zone).alias("ts"),
                         *[null_nan(c).alias(c) for c in READING_COLUMNS if c in d.columns])
 
     out = read_by_name(spark, paths, {"timestamp": "BIGINT"} | dict.fromkeys(READING_COLUMNS, "DOUBLE"), pick, nullValue="NA")
@@ -75,13 +76,16 @@ def read_meters(spark: SparkSession, paths: list[str], names: dict[str, str] | N
     return out
 
 
-def read_occupancy(spark: SparkSession, paths: list[str], codes: dict[str, str] | None = None) -> DataFrame:
-    """Occupancy files, one per building: building, ts, occupancy. `codes` maps stem to building."""
+def read_occupancy(spark: SparkSession, paths: list[str], codes: dict[str, str] | None = None,
+                   folder_names: bool = False, zone: str = DEFAULT_RULES.timezone) -> DataFrame:
+    """Occupancy files, one per building: building, ts, occupancy. `codes` maps a stem (or, with
+    `folder_names`, a folder's name) to a building."""
+    name = folder_name() if folder_names else file_stem()
     codes = codes or {code: b for _, b, _, _, code in METER_REGISTRY}
     pairs = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
     return read_by_name(spark, paths, {"timestamp": "BIGINT", "occupancy_count": "DOUBLE"}, lambda d: d.select(
-        F.coalesce(pairs[file_stem()], file_stem()).alias("building"),
-        local_time("timestamp").alias("ts"), null_nan("occupancy_count").alias("occupancy")), nullValue="NA")
+        F.coalesce(pairs[name], name).alias("building"),
+        local_time("timestamp", zone).alias("ts"), null_nan("occupancy_count").alias("occupancy")), nullValue="NA")
 
 
 def read_station(spark: SparkSession, path: str) -> DataFrame:
@@ -96,11 +100,11 @@ def read_calendar(spark: SparkSession, paths: list[str]) -> DataFrame:
             .withColumnRenamed("Date", "date").dropDuplicates(["date"]))
 
 
-def read_wide_power(spark: SparkSession, path: str, columns=None) -> DataFrame:
+def read_wide_power(spark: SparkSession, path: str, columns=None, zone: str = DEFAULT_RULES.timezone) -> DataFrame:
     """The all-meters file; only the named columns are parsed."""
     def pick(d: DataFrame) -> DataFrame:
         keep = list(columns or [c for c in WIDE_COLUMNS if c in d.columns])
-        return d.select(local_time("timestamp").alias("ts"), *[null_nan(c).alias(c) for c in keep if c in d.columns])
+        return d.select(local_time("timestamp", zone).alias("ts"), *[null_nan(c).alias(c) for c in keep if c in d.columns])
 
     return read_by_name(spark, [path], {"timestamp": "BIGINT"}, pick, "DOUBLE", nullValue="NA")
 
