@@ -214,6 +214,20 @@ def test_trie_answers_every_trigram():
     assert level[lm.ask(trie, np.array([99]), np.array([0]), np.array([1]), np.array([1]))[1][0]] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("many", [10 ** 5, 10 ** 6, 10 ** 9])
+def test_trie_keeps_small_probabilities(many):
+    # root 2: context 3 is always followed by 5, context 4 once by 6; root 7 has one long context with a word seen once
+    b, a, c, n = np.array([[2, 3, 5, many], [2, 4, 6, 1], [7, 3, 5, many], [7, 3, 6, 1]]).T
+    g, level = np.zeros(4, np.int64), lm.values(lm.ANSWERED)
+    trie = lm.build(b, g, a, c, n)
+    seen, rest = (level[x] for x in lm.ask(trie, np.array([2, 7]), g[:2], np.array([3, 3]), np.array([9, 6])))
+    assert seen[0] == 0 and rest[0] == pytest.approx(0.75 / many * 1.5 / (many + 1), rel=0.02)
+    total = many + 1
+    assert seen[1] == pytest.approx(0.25 / total + 1.5 / total * 0.25 / total, rel=0.02)
+    assert rest[1] == pytest.approx((1.5 / total) ** 2, rel=0.02)
+    assert np.isfinite(np.log10(seen + rest * 1e-9)).all()
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 80
     rows = [(5, "http://a/ b", big, 1), (2, None, big, 1), (9, "u", big, 1), (1, "u", None, 1), (3, "u", "short", 1), (4, "u", "short", 1), (None, "u", "none", 1)]

@@ -8,13 +8,13 @@ a share of more than one shard's part of all tokens has more, by hash, so no sha
 
 A shard builds a trie of the training counts: roots, their successors, their contexts, and under
 each context the tokens seen, kept not as word numbers but as ranks among the successors of the
-root. Numbers and pointers are Elias-Fano sequences, probabilities one-byte logarithmic codes, and
+root. Numbers and pointers are Elias-Fano sequences, probabilities two-byte logarithmic codes, and
 the file is mapped into memory and asked for the blocks' trigrams by successor search, from the
 root's range to the context's.
 
 Model. P(c | a b) = d3 + l3 * (d2 + l2 * P1(c)) with absolute discounting by D at both levels
 (d = max(n - D, 0) / total, l = D * kinds / total), where the middle level conditions on the root,
-and P1(c) = (count + 1/2) / (N + (V + 1) / 2). Codes are rounded down (the trie's by up to 6 %), so probabilities of a
+and P1(c) = (count + 1/2) / (N + (V + 1) / 2). Codes are rounded down (by up to 0.5 % each), so probabilities of a
 context sum to at most 1; an unseen context passes everything on.
 
 Rules. A-Z in lower case; a text's end is a token; null, empty and blank texts are an end only.
@@ -41,8 +41,9 @@ from voltloom.llm.spans import mixed, narrow, pack, unpack, unpack_binary, words
 from voltloom.session import stage
 
 DISCOUNT = 0.75
-#: Codes of the trie (one byte) and of the answers (12 bits): how many, over how many decades.
-STORED, ANSWERED = (255, 6.0), (4095, 9.0)
+#: Codes of the trie and of the answers (two bytes, steps of 0.5 %): how many, over how many decades.
+#: A count is below 2^63, so no stored value is under 10^-20 and no product of two under 10^-40.
+STORED, ANSWERED = (9099, 20.0), (18197, 40.0)
 #: Shards per shuffle partition: a shard is built and asked in memory.
 FINER = 4
 #: Text of a block: its trigrams are sorted in memory.
@@ -56,7 +57,7 @@ def quantised(p: np.ndarray, scale: tuple[int, float]) -> np.ndarray:
     levels, decades = scale
     with np.errstate(divide="ignore"):
         code = np.floor((np.log10(p) + decades) * ((levels - 1) / decades) + 1e-9) + 1
-    return np.where(p > 0, np.clip(code, 0, levels), 0).astype(np.uint8 if levels < 256 else np.uint16)
+    return np.where(p > 0, np.clip(code, 1, levels), 0).astype(np.uint16)
 
 
 def values(scale: tuple[int, float]) -> np.ndarray:
