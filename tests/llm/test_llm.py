@@ -197,6 +197,48 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def trigram_scores(rows, fold=1, folds=5):
+    """The model's score of each text by hand, from the counts of all training text."""
+    texts = [("<s>", "<s>", *WORD.findall((t or "").translate(LOWER)), None) for _, t in rows]
+    train = [t for (k, _), t in zip(rows, texts, strict=True) if zlib.crc32(str(k).encode()) % folds != fold]
+    grams = [Counter(t[i - n + 1:i + 1] for t in train for i in range(2, len(t))) for n in (3, 2)]
+    words_ = Counter(w for t in train for w in t[2:])
+    total, kinds = Counter(), Counter()
+    for g in grams:
+        for gram, k in g.items():
+            total[gram[:-1]] += k
+            kinds[gram[:-1]] += 1
+    n, v = sum(words_.values()), len(words_)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (words_[gram[0]] + .5) / (n + .5 * (v + 1))
+        ctx = gram[:-1]
+        if not total[ctx]:
+            return p(gram[1:])
+        return (max(grams[3 - len(gram)][gram] - .75, 0) + .75 * kinds[ctx] * p(gram[1:])) / total[ctx]
+
+    return [sum(math.log10(p(t[i - 2:i + 1])) for i in range(2, len(t))) for t in texts]
+
+
+def test_language_model_scores_by_hand(spark):
+    # common words are split over shards: their bigrams are still those of all training text
+    draw = np.random.default_rng(5)
+    vocabulary = ["the", "of", "and", *(f"w{i}" for i in range(40))]
+    share = np.array([0.3, 0.1, 0.1, *[0.5 / 40] * 40])
+    rows = [(i, " ".join(draw.choice(vocabulary, 60, p=share))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    want, parts = trigram_scores(rows), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = by_id(lm.score(docs))
+            for (k, _), w in zip(rows, want, strict=True):
+                assert -61 * 0.0045 <= got[k]["score"] - w <= 1e-9, n  # codes are rounded down, by two steps at most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_trie_answers_every_trigram():
     draw = np.random.default_rng(2)
     rows = np.unique(np.stack([draw.integers(0, 9, 400), draw.integers(0, 2, 400), draw.integers(0, 30, 400), draw.integers(0, 40, 400)], 1), axis=0)

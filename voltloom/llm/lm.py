@@ -4,13 +4,17 @@ Words are numbered once per corpus (voltloom.llm.distinct). Blocks of documents
 distinct trigrams (two words of context and the next token), so a passage that a third of all
 documents repeat is one entry per block. Trigrams are dealt to shards by their root: the word
 before the token, and a class of the word before that. Ordinary words have one class; a word with
-a share of more than one shard's part of all tokens has more, by hash, so no shard is hot.
+a share of more than one shard's part of all tokens has more, by hash, so no shard is hot. The
+bigrams of such a split root are dealt by the token instead and counted on their own, each pair in
+one shard; how many kinds follow the root is summed over its shards (a few numbers per split root,
+and at most as many split roots as shards), and how often it occurs is its word's count.
 
 A shard builds a trie of the training counts: roots, their successors, their contexts, and under
 each context the tokens seen, kept not as word numbers but as ranks among the successors of the
 root. Numbers and pointers are Elias-Fano sequences, probabilities two-byte logarithmic codes, and
 the file is mapped into memory and asked for the blocks' trigrams by successor search, from the
-root's range to the context's.
+root's range to the context's. A split root's part of the trie holds trigrams only; the blocks add its
+bigram level (unquantised) from the counts of the pairs.
 
 Model. P(c | a b) = d3 + l3 * (d2 + l2 * P1(c)) with absolute discounting by D at both levels
 (d = max(n - D, 0) / total, l = D * kinds / total), where the middle level conditions on the root,
@@ -26,6 +30,7 @@ are 0. Rows that repeat a key are scored and trained on as documents of their ow
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -100,13 +105,20 @@ class Corpus:
     def __init__(self, tokens: int, distinct: int, documents: int, shards: int, fold: int, folds: int):
         self.n, self.v, self.ends = tokens, distinct, documents
         self.shards, self.fold, self.folds = shards, fold, folds
+        self.kinds = np.empty((2, 0), np.int64)  # split roots in order, and how many kinds of tokens follow each
+
+    def bigram(self, b: np.ndarray, often: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """P(c | b) of split roots from the training counts of b and of the pairs."""
+        kinds = self.kinds[1][np.searchsorted(self.kinds[0], b)]
+        return (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p1) / often
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.n + 0.5 * (self.v + 1))
 
 
 def block_trigrams(docs: pa.Table, words_: list[list[np.ndarray]], corpus: Corpus):
-    """Tokens of a block in order with their distinct trigrams, dealt to shards."""
+    """Tokens of a block in order with their distinct trigrams, and the distinct bigrams of split
+    roots, each dealt to shards. Class 0 is an ordinary root, 1 and more are those of a split one."""
     numbers = np.concatenate([w[0].astype(np.int64) for w in words_] or [np.empty(0, np.int64)])
     counts = np.concatenate([w[1].astype(np.int64) for w in words_] or [np.empty(0, np.int64)])
     codes, sizes = unpack(docs.column("payload")[0].as_py())
@@ -136,13 +148,39 @@ def block_trigrams(docs: pa.Table, words_: list[list[np.ndarray]], corpus: Corpu
     train = np.bincount(which, np.repeat(~out, n), len(first)).astype(np.int64)
     a, b, b_often = a[first], b[first], b_often[first]
     classes = 1 + b_often * corpus.shards // max(1, corpus.n)
-    g = (mixed(a.astype(np.uint64)) % classes.astype(np.uint64)).astype(np.int64)
-    shard = (mixed((b * 65_537 + g).astype(np.uint64)) % np.uint64(corpus.shards)).astype(np.int64)
+    split, c = classes > 1, c[first]
+    g = np.where(split, 1 + salt(a, classes), 0)
+    deal, place, cuts = dealt(b, g, corpus.shards)
+    trigrams = Dealt(place[which], cuts, (b[deal], g[deal], a[deal], c[deal], train[deal]))
+    some = np.flatnonzero(split)
+    some = some[np.lexsort((c[some], b[some]))]
+    at = heads(b[some], c[some])
+    of = np.full(len(b), -1, np.int64)
+    of[some] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(some))))
+    pairs, seen = some[at], np.add.reduceat(train[some], at) if len(at) else train[:0]
+    deal, place, cuts = dealt(b[pairs], 1 + salt(c[pairs], classes[pairs]), corpus.shards)
+    of[some] = place[of[some]]
+    bigrams = Dealt(of[which], cuts, (b[pairs][deal], c[pairs][deal], seen[deal], b_often[pairs][deal]))
+    return keys, out, n, often, trigrams, bigrams
+
+
+class Dealt(NamedTuple):
+    of: np.ndarray          # of each token, its place in the columns, or -1
+    cuts: np.ndarray        # where each shard's part begins
+    columns: tuple[np.ndarray, ...]
+
+
+def salt(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return (mixed(x.astype(np.uint64)) % classes.astype(np.uint64)).astype(np.int64)
+
+
+def dealt(b: np.ndarray, g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by shards, each item's place in it, and the shards' bounds."""
+    shard = (mixed((b * 65_537 + g).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
     deal = np.argsort(shard, kind="stable")
     place = np.empty(len(deal), np.int64)
     place[deal] = np.arange(len(deal))
-    cuts = np.searchsorted(shard[deal], np.arange(corpus.shards + 1))
-    return keys, out, n, often, place[which], cuts, (b[deal], g[deal], a[deal], c[first][deal], train[deal])
+    return deal, place, np.searchsorted(shard[deal], np.arange(shards + 1))
 
 
 def heads(*columns: np.ndarray) -> np.ndarray:
@@ -154,8 +192,9 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def build(b, g, a, c, n) -> dict[str, np.ndarray]:
-    """The trie of trigrams sorted by (b, g, a, c), each once, with their counts n > 0."""
+def build(b, g, a, c, n, split: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The trie of trigrams sorted by (b, g, a, c), each once, with their counts n > 0. Where
+    `split`, the root is one of several parts: its bigram level is left to the caller (d2 = 0, l2 = 1)."""
     root_at = heads(b, g)
     root_of = np.repeat(np.arange(len(root_at)), np.diff(np.append(root_at, len(b))))
     context_at = heads(root_of, a)
@@ -168,6 +207,8 @@ def build(b, g, a, c, n) -> dict[str, np.ndarray]:
     total = np.bincount(root_of, n, len(root_at))
     d2 = np.maximum(s_n - DISCOUNT, 0) / total[s_root]
     l2 = DISCOUNT * np.diff(s_ptr) / total
+    if split is not None:
+        d2, l2 = np.where(split[root_at][s_root], 0.0, d2), np.where(split[root_at], 1.0, l2)
     # contexts and what follows them, as ranks among the root's successors
     x_ptr = np.searchsorted(root_of[context_at], np.arange(len(root_at) + 1))
     t_ptr = np.append(context_at, len(b))
@@ -200,6 +241,25 @@ def ask(trie: dict[str, np.ndarray], b, g, a, c) -> tuple[np.ndarray, np.ndarray
             quantised(l3 * value(trie["l2"], root, 1.0), ANSWERED))
 
 
+def pair_counts(b, c, n) -> tuple[np.ndarray, np.ndarray]:
+    """The roots of pairs with how many kinds follow each in training, and each pair's count over all rows."""
+    order = np.lexsort((c, b))
+    at = heads(b[order], c[order])
+    total = np.add.reduceat(n[order], at) if len(at) else n[:0]
+    counts = np.empty(len(b), np.int64)
+    counts[order] = np.repeat(total, np.diff(np.append(at, len(b))))
+    root, kinds = np.unique(b[order][at][total > 0], return_counts=True)
+    return np.stack((root, kinds)), counts
+
+
+def summed(*parts: list[np.ndarray]) -> np.ndarray:
+    """Roots in order, and the sum of their numbers over all parts."""
+    root, which = np.unique(np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)]), return_inverse=True)
+    kinds = np.zeros(len(root), np.int64)
+    np.add.at(kinds, which, np.concatenate([p[1] for p in parts] or [kinds]))
+    return np.stack((root, kinds))
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 1, folds: int = 5, folder: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -216,20 +276,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
     def emit(docs_: pa.Table, parts: pa.Table) -> pa.Table:
         made = []
         if docs_.num_rows:
-            *_, cuts, columns = block_trigrams(docs_, in_order(parts), corpus)
+            *_, three, two = block_trigrams(docs_, in_order(parts), corpus)
             block = docs_.column("block")[0].as_py()
-            for i in np.flatnonzero(np.diff(cuts)):
-                b, g, a, c, n = (x[cuts[i]:cuts[i + 1]] for x in columns)
+            for i in np.flatnonzero(np.diff(three.cuts) + np.diff(two.cuts)):
+                b, g, a, c, n = (x[three.cuts[i]:three.cuts[i + 1]] for x in three.columns)
+                b2, c2, n2, _ = (x[two.cuts[i]:two.cuts[i + 1]] for x in two.columns)
                 step = np.diff(b, prepend=0)
                 rise = np.where(step == 0, np.diff(a, prepend=0), a)  # sorted by b, then a
-                made.append(row(block, int(i), pack(narrow(step), narrow(g), narrow(rise), narrow(c), narrow(n))))
+                made.append(row(block, int(i), pack(narrow(step), narrow(g), narrow(rise), narrow(c), narrow(n),
+                                                    narrow(np.diff(b2, prepend=0)), narrow(c2), narrow(n2))))
         return pa.Table.from_batches(made, ROW_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.select(["block", "bucket"]).to_pylist()
-        parts = []
+        parts, pairs = [], []
         for payload in table.column("payload"):
-            step, g, rise, c, n = (x.astype(np.int64) for x in unpack(payload.as_py()))
+            step, g, rise, c, n, *two = (x.astype(np.int64) for x in unpack(payload.as_py()))
+            pairs.append([np.cumsum(two[0]), *two[1:]])
             sums, at = np.cumsum(rise), np.flatnonzero(np.concatenate(([True], step[1:] > 0)))
             before = np.repeat(sums[at] - rise[at], np.diff(np.append(at, len(rise))))
             parts.append([np.cumsum(step), g, sums - before, c, n])
@@ -239,25 +302,29 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
         at = heads(b[order], g[order], a[order], c[order])
         one = order[at]
         name = f"shard-{rows[0]['bucket']:05d}.eft"
-        save(folder, name, build(b[one], g[one], a[one], c[one], np.add.reduceat(n[order], at) if len(at) else n[:0]))
+        save(folder, name, build(b[one], g[one], a[one], c[one], np.add.reduceat(n[order], at) if len(at) else n[:0], g[one] > 0))
         trie, made = mapped(folder, name), []
         seen_part, rest = ask(trie, b, g, a, c)
-        at = 0
-        for r, part in zip(rows, parts, strict=True):
-            made.append(row(r["block"], r["bucket"], pack(seen_part[at:at + len(part[0])], rest[at:at + len(part[0])])))
-            at += len(part[0])
+        kinds, n2 = pair_counts(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        made.append(row(-1, rows[0]["bucket"], pack(*kinds)))
+        at = at2 = 0
+        for r, part, pair in zip(rows, parts, pairs, strict=True):
+            made.append(row(r["block"], r["bucket"], pack(seen_part[at:at + len(part[0])], rest[at:at + len(part[0])],
+                                                          narrow(n2[at2:at2 + len(pair[0])]))))
+            at, at2 = at + len(part[0]), at2 + len(pair[0])
         return pa.Table.from_batches(made, ROW_ARROW)
 
     def finish(docs_: pa.Table, parts: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return schema.empty_table()
         got = parts.column("got").to_numpy()
-        keys, out, n, often, which, _, _ = block_trigrams(docs_, in_order(parts.filter(pa.array(~got))), corpus)
-        answers = in_order(parts.filter(pa.array(got)))
-        codes = [np.concatenate(x)[which] for x in zip(*answers, strict=True)]
-        base = np.log10(corpus.unigram(often))
-        level = values(ANSWERED)
-        own = np.log10(np.minimum(1.0, level[codes[0]] + level[codes[1]] * corpus.unigram(often)))
+        keys, out, n, often, three, two = block_trigrams(docs_, in_order(parts.filter(pa.array(~got))), corpus)
+        *codes, pair_n = (np.concatenate(x) for x in zip(*in_order(parts.filter(pa.array(got))), strict=True))
+        below = corpus.unigram(often)
+        base, level, pair = np.log10(below), values(ANSWERED), two.of[two.of >= 0]
+        b2, _, _, often2 = (x[pair] for x in two.columns)
+        below[two.of >= 0] = corpus.bigram(b2, often2, pair_n[pair].astype(np.int64), below[two.of >= 0])
+        own = np.log10(np.minimum(1.0, level[codes[0][three.of]] + level[codes[1][three.of]] * below))
         at = np.cumsum(n) - n
         return pa.table({"doc_id": keys, "held_out": pa.array(out), "n_tokens": n, "n_known": np.add.reduceat((often > 0).astype(np.int64), at),
                          "train_tokens": np.full(len(n), corpus.n), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(own, at)}, schema)
@@ -265,6 +332,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     asked = doc_rows.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(emit, ROW)
-    answers = asked.groupBy("bucket").applyInArrow(answer, ROW)
+    answers = stage(asked.groupBy("bucket").applyInArrow(answer, ROW), "lm_answers")
+    corpus.kinds = summed(*(unpack(r[0]) for r in answers.filter("block = -1").select("payload").collect()))  # a row per shard
+    answers = answers.filter("block >= 0")
     both = numbers.withColumn("got", F.lit(False)).unionByName(answers.withColumn("got", F.lit(True)))
     return doc_rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, OUT)
