@@ -296,6 +296,23 @@ def test_vector_search(spark):
     assert len(got) == 30 and vafile.top10(t.filter("vec_id > 1000")).count() == 0
 
 
+def repeated_ids(draw):
+    v = draw.normal(0, 0.2, (160, 6))
+    v[40:70] = v[3]  # equal vectors, many under the id of a query
+    ids = np.concatenate((np.arange(1, 41), [100] * 15, np.arange(41, 56), np.repeat([100, 200, 300, 7, 8], 18)))
+    return ids, v
+
+
+def test_vector_search_with_repeated_ids(spark):
+    ids, v = repeated_ids(np.random.default_rng(6))
+    t = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, v, strict=True)], "vec_id bigint, embedding array<double>").coalesce(1)
+    x, want = np.floor(v * 1024).astype(int), Counter()
+    for q in (100, 200, 300):  # as in the SQL: the pairs of all rows of a query id are ranked together
+        best = sorted((-int(x[j] @ x[i]), int(ids[i])) for j in np.flatnonzero(ids == q) for i in range(len(ids)) if ids[i] != q)[:10]
+        want.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(best))
+    assert want == Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.top10(t).collect())
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(18, 1), (21, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -9,10 +9,13 @@ bounds: first the `first_read` * k best of every query, whose k-th exact score i
 then those left that reach it; after that the k-th result is certain.
 
 The queries are a stated set; they are dealt with the cells in blocks, and only candidates leave
-a block. Of equal vectors in a block only the k + 1 smallest ids are searched, as no others can be
-among k results (one may be the query). Ties go to the smaller id. Vectors that are null, or hold
-null or non-finite components, or have another length than most, take no part. Rows that repeat an
-id are vectors of their own. k larger than the table gives all.
+a block. Of equal vectors in a block only the rows of the k + 1 smallest distinct ids are searched
+(k rows of each id at most), as no others can be among k results (one id may be the query's). Ties
+go to the smaller id. Vectors that are null, or hold null or non-finite components, or have another
+length than most, take no part. Rows that repeat an id are vectors of their own, as candidates and
+as queries: every row has a number, by which it is found again. Rows with the query's id are no
+candidates of it; the results of a query id are the k best pairs of any of its rows with a vector,
+as the SQL states it. k larger than the table gives all.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ QUERY_BLOCK = 512
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """id and floor(scale * x) of the components (array of long) of the vectors that take part."""
+    """row (a number of its own), id and floor(scale * x) of the components (array of long) of the
+    vectors that take part."""
     v = F.col(vector)
     wrong = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~wrong).select(
-        F.col(key).cast("bigint").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("x"))
+        F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("x"))
     rows = stage(rows, "va_integers")
     common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("x") == (common["n"] if common else 0))
@@ -46,24 +50,24 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, size: int, parts: int, kind: str) -> DataFrame:
-    """part (a number below `parts`), ids and packed components of blocks of at most `size` rows."""
+    """part (a number below `parts`), row numbers, ids and packed components of blocks of at most `size` rows."""
     def run(batches):
         part = 0
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 b = batch.slice(at, size)
                 yield pa.record_batch([pa.array([hash((b.column(0)[0].as_py(), part)) % parts], pa.int32()),
-                                       pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()),
-                                       pa.array([flat(b.column(1))[0].tobytes() if kind == "cells" else matrix(b.column(1)).astype("<i8").tobytes()], pa.binary())],
-                                      names=["part", "ids", "data"])
+                                       *(pa.array([b.column(j).to_numpy().astype("<i8").tobytes()], pa.binary()) for j in (0, 1)),
+                                       pa.array([flat(b.column(2))[0].tobytes() if kind == "cells" else matrix(b.column(2)).astype("<i8").tobytes()], pa.binary())],
+                                      names=["part", "rows", "ids", "data"])
                 part += 1
 
-    return rows.mapInArrow(run, "part int, ids binary, data binary")
+    return rows.mapInArrow(run, "part int, rows binary, ids binary, data binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10,
            scale: int = 1024, bits: int = 6, first_read: int = 2) -> DataFrame:
-    """query_id, rank, id, score: the k best vectors of each query, other ids than its own."""
+    """query_id, rank, id, score: the k best vectors of each query id, other ids than its own."""
     base, asked = integers(vectors, key, vector, scale), integers(queries, key, vector, scale)
     edges = base.select(F.posexplode("x").alias("d", "x")).groupBy("d").agg(F.min("x"), F.max("x")).orderBy("d").collect()  # a row per dimension
     if not edges:
@@ -74,28 +78,32 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     def approximate(batches):
         for batch in batches:
-            cells = ((matrix(batch.column(1)) - low) // width).astype(np.uint8)
-            # of equal vectors in the batch, the k + 1 smallest ids
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            cells = ((matrix(batch.column(2)) - low) // width).astype(np.uint8)
+            # of equal vectors in the batch, the k + 1 smallest distinct ids, and k rows of each
+            ids, x = batch.column(1).to_numpy(), matrix(batch.column(2))
             rows = np.ascontiguousarray(x).view(f"V{x.itemsize * dims}").reshape(-1)
             _, same = np.unique(rows, return_inverse=True)
             order = np.lexsort((ids, same))
-            group = same[order]
-            place = np.arange(len(order)) - np.searchsorted(group, group)
-            keep = np.sort(order[place <= k])
-            yield pa.record_batch([pa.array(ids[keep]), pa.array([r.tobytes() for r in cells[keep]], pa.binary())], names=["id", "cells"])
+            group, own = same[order], ids[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+            nth = np.cumsum(new)  # of the pair of vector and id
+            place, repeat = nth - nth[np.searchsorted(group, group)], np.arange(len(order)) - np.flatnonzero(new)[nth - 1]
+            keep = np.sort(order[(place <= k) & (repeat < k)])
+            yield pa.record_batch([batch.column(0).take(pa.array(keep)), pa.array(ids[keep]), pa.array([r.tobytes() for r in cells[keep]], pa.binary())],
+                                  names=["row", "id", "cells"])
 
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = base.mapInArrow(approximate, "id bigint, cells binary")
-    cell_blocks = blocks(cells, BLOCK, parts, "cells").select("part", F.col("ids").alias("cell_ids"), F.col("data").alias("cells"))
+    cells = base.mapInArrow(approximate, "row bigint, id bigint, cells binary")
+    cell_blocks = blocks(cells, BLOCK, parts, "cells").select("part", F.col("rows").alias("cell_rows"), F.col("ids").alias("cell_ids"), F.col("data").alias("cells"))
     query_blocks = blocks(asked, QUERY_BLOCK, 1, "exact").select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
 
     def bound(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                ids, qids = np.frombuffer(row["cell_ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
+                rows, ids, qrows, qids = (np.frombuffer(row[n], "<i8") for n in ("cell_rows", "cell_ids", "query_rows", "query_ids"))
                 c = np.frombuffer(row["cells"], np.uint8).reshape(-1, dims)
                 q = np.frombuffer(row["queries"], "<i8").reshape(-1, dims).astype(np.float64)
                 bottom = (c * width + low).astype(np.float64)
@@ -109,27 +117,27 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 else:
                     limit = np.full(len(qids), -np.inf)
                 a, b = np.nonzero((upper >= limit[:, None]) & ~own)
-                yield pa.record_batch([pa.array(qids[a]), pa.array(ids[b]), pa.array(lower[a, b].astype(np.int64)), pa.array(upper[a, b].astype(np.int64))],
-                                      names=["query_id", "id", "lower", "upper"])
+                yield pa.record_batch([pa.array(qrows[a]), pa.array(qids[a]), pa.array(rows[b]), pa.array(ids[b]), pa.array(lower[a, b].astype(np.int64)), pa.array(upper[a, b].astype(np.int64))],
+                                      names=["query", "query_id", "row", "id", "lower", "upper"])
 
-    pairs = cell_blocks.join(query_blocks, "part").select("cell_ids", "cells", "query_ids", "queries")
-    found = stage(pairs.mapInArrow(bound, "query_id bigint, id bigint, lower bigint, upper bigint"), "va_candidates")
-    by_query = Window.partitionBy("query_id")
-    limit = found.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("lower")))).filter(F.col("r") == k).select("query_id", F.col("lower").alias("limit"))
-    left = found.join(limit, "query_id", "left").filter(F.col("limit").isNull() | (F.col("upper") >= F.col("limit"))).drop("limit")
-    ranked = stage(left.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("upper"), "id"))), "va_ranked")
+    pairs = cell_blocks.join(query_blocks, "part").select("cell_rows", "cell_ids", "cells", "query_rows", "query_ids", "queries")
+    found = stage(pairs.mapInArrow(bound, "query bigint, query_id bigint, row bigint, id bigint, lower bigint, upper bigint"), "va_candidates")
+    by_query = Window.partitionBy("query")
+    limit = found.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("lower")))).filter(F.col("r") == k).select("query", F.col("lower").alias("limit"))
+    left = found.join(limit, "query", "left").filter(F.col("limit").isNull() | (F.col("upper") >= F.col("limit"))).drop("limit")
+    ranked = stage(left.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("upper"), "id", "row"))), "va_ranked")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        q = asked.select(F.col("id").alias("query_id"), F.col("x").alias("q")).dropDuplicates(["query_id"])
+        q = asked.select(F.col("row").alias("query"), F.col("x").alias("q"))
         score = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
-        return pairs.join(base, "id").join(q, "query_id").select("query_id", "id", score.alias("score"))
+        return pairs.join(base.drop("id"), "row").join(q, "query").select("query", "query_id", "id", "row", score.alias("score"))
 
-    early = stage(exact(ranked.filter(F.col("r") <= first_read * k).select("query_id", "id")), "va_early")
-    certain = early.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).filter(F.col("r") == k).select("query_id", F.col("score").alias("limit"))
-    late = ranked.filter(F.col("r") > first_read * k).join(certain, "query_id", "left").filter(
-        F.col("limit").isNull() | (F.col("upper") >= F.col("limit"))).select("query_id", "id")
+    early = stage(exact(ranked.filter(F.col("r") <= first_read * k).select("query", "query_id", "row", "id")), "va_early")
+    certain = early.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).filter(F.col("r") == k).select("query", F.col("score").alias("limit"))
+    late = ranked.filter(F.col("r") > first_read * k).join(certain, "query", "left").filter(
+        F.col("limit").isNull() | (F.col("upper") >= F.col("limit"))).select("query", "query_id", "row", "id")
     every = early.unionByName(exact(late))
-    rank = F.row_number().over(by_query.orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
