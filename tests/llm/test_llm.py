@@ -197,6 +197,28 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_knapsack_of_long_documents():
+    one = np.ones(3, np.int64)
+    assert mixing.fill(150_000, np.array([100_000, 90_000, 60_000]), one, 1 << 14).tolist() == [0, 1, 1]
+    draw = np.random.default_rng(8)
+    for _ in range(20):
+        lengths = np.unique(draw.integers(20_000, 200_000, 6))
+        counts = draw.integers(1, 4, len(lengths))
+        sums = {0}
+        for size, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {x + k * size for x in sums for k in range(n + 1)}
+        for budget in draw.integers(1, max(sums), 5).tolist() + [sorted(sums)[len(sums) // 2]]:
+            take = mixing.fill(budget, lengths, counts, 1 << 14)
+            assert (0 <= take).all() and (take <= counts).all() and max(x for x in sums if x <= budget) == (lengths * take).sum()
+
+
+def test_lengths_that_occur_once_are_drawn():
+    lengths = np.arange(1, 2001)
+    a, b = (mixing.fill(700_000, lengths, np.ones(2000, np.int64), 1 << 14, seed) for seed in (17, 18))
+    assert (lengths * a).sum() == (lengths * b).sum() == 700_000 and (a != b).any()
+    assert a[:1000].sum() > 200 and a[1000:].sum() > 200 and a.max() == 1
+
+
 def trigram_scores(rows, fold=1, folds=5):
     """The model's score of each text by hand, from the counts of all training text."""
     texts = [("<s>", "<s>", *WORD.findall((t or "").translate(LOWER)), None) for _, t in rows]

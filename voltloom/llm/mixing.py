@@ -1,11 +1,13 @@
 """Mixing sources to target weights by exact subset sums.
 
 Documents are counted by exact length per source. Each source gets whole passes of all its
-documents and a remaining budget; a proportional share of every length fills all of it but `dp_words`, then a
-few of the longest until at most `dp_words` are missing, and bounded-knapsack dynamic programming
-over the lengths left finds the counts whose words fill the rest exactly, or else best. Which
-documents of a length are taken is decided by a seeded hash: whole hash buckets, and the order
-inside the one bucket where the count ends, so that no length or source meets in one task.
+documents and a remaining budget; a proportional share of the lengths (every so many-th document in
+the order of lengths, from a seeded start) fills all of it but `dp_words`, then a few of the longest until
+at most `dp_words` are missing, and bounded-knapsack dynamic programming over the lengths left finds
+the counts whose words fill the rest exactly. Where they do not, it is done again with eight times
+as many words left to it, up to the whole budget, for which the best sum is certain. Which documents
+of a length are taken is decided by a seeded hash: whole hash buckets, and the order inside the one
+bucket where the count ends, so that no length or source meets in one task.
 
 Null and empty texts have size 0 and are never taken by a remaining budget; null sources are one
 source, the last. Rows that repeat a document are documents of their own. The plan of a source is
@@ -68,18 +70,50 @@ def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return per.groupBy().applyInPandas(run, "source string, source_size bigint, target double")
 
 
-def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int) -> np.ndarray:
-    """How many documents of each length make up `budget` words, or as near below as was found."""
+def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int, seed: int = 17) -> np.ndarray:
+    """How many documents of each length make up `budget` words, or as near below as there is."""
     have = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not have:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if budget >= have:
         return counts.copy()
+    # in units that divide all lengths
+    unit = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))
+    lengths, budget = lengths // unit, budget // unit
+    best, most, window = np.zeros(len(lengths), np.int64), 0, dp_words
+    while most < budget:
+        take = filled(budget, lengths, counts, window, seed)
+        words = int((lengths * take).sum())
+        if words > most:
+            best, most = take, words
+        if window >= budget:
+            break
+        window = 8 * max(1, window)
+    return best
+
+
+def filled(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int, seed: int) -> np.ndarray:
+    """A proportional share, and the best choice for the (about) `dp_words` words that it leaves."""
+    draw = np.random.Generator(np.random.PCG64([seed, len(lengths)]))
+    order = np.argsort(-lengths, kind="stable")
+    take, have, share = np.zeros(len(lengths), np.int64), int((lengths * counts).sum()), max(0, budget - dp_words)
     # whole-number arithmetic: sums may be beyond 2^53
-    take[:] = [int(n) * max(0, budget - dp_words) // have for n in counts.tolist()]
+    at = int(draw.random() * have) if share else 0
+    for i in order:
+        if lengths[i]:
+            before, at = at, at + int(counts[i]) * share
+            take[i] = at // have - before // have
     rest = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
+    for i in order[::-1]:  # the share may be over by less than the longest: back by the shortest that are enough
+        if rest < 0 and take[i] and lengths[i] >= -rest:
+            take[i] -= 1
+            rest += int(lengths[i])
+    for i in order:
+        if rest >= 0:
+            break
+        k = min(int(take[i]), -(rest // int(lengths[i]))) if lengths[i] else 0
+        take[i] -= k
+        rest += k * int(lengths[i])
     for i in order:
         if rest <= dp_words:
             break
@@ -88,30 +122,34 @@ def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, dp_words: int) ->
             k = min(int(counts[i] - take[i]), rest // size, -(-(rest - dp_words) // size))
             take[i] += k
             rest -= k * size
-    # bit s of `reach`: some choice of the lengths seen so far has s words
-    reach, steps, limit = 1, [], (1 << (rest + 1)) - 1
-    # in a fixed random order, so that short documents are not preferred
-    for i in np.random.Generator(np.random.PCG64(len(order))).permutation(order):
-        size, left = int(lengths[i]), int(counts[i] - take[i])
-        if not size or not left or size > rest:
-            continue
-        power, left = 1, min(left, rest // size)
-        while left and not reach >> rest & 1:
+    # in a random order, so that short documents are not preferred
+    knapsack(rest, lengths, counts, take, draw.permutation(order))
+    return take
+
+
+def knapsack(rest: int, lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.ndarray) -> None:
+    """Adds to `take` documents that make up `rest` words, or as near below as those left can."""
+    # the sums that some choice has, and the step that first reached each; the sum before that step is of earlier steps
+    sums, first, steps = np.zeros(1, np.int64), np.full(1, -1, np.int32), []
+    for i in order:
+        size, left, power = int(lengths[i]), int(counts[i] - take[i]), 1
+        left = min(left, rest // size) if size else 0
+        while left and sums[-1] != rest:
             k = min(power, left)
-            steps.append((i, k, reach))
-            reach |= (reach << k * size) & limit
+            new = sums[:np.searchsorted(sums, rest - k * size, "right")] + k * size
+            at = np.searchsorted(sums, new)
+            fresh = sums[np.minimum(at, len(sums) - 1)] != new
+            sums, first = np.insert(sums, at[fresh], new[fresh]), np.insert(first, at[fresh], len(steps))
+            steps.append((i, k))
             left, power = left - k, power * 2
-        if reach >> rest & 1:
-            break
-    got = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> got & 1:
-            take[i] += k
-            got -= k * int(lengths[i])
-    return take
+    got = int(sums[-1])
+    while got:
+        i, k = steps[first[np.searchsorted(sums, got)]]
+        take[i] += k
+        got -= k * int(lengths[i])
 
 
-def plan(sized: DataFrame, goal: DataFrame, dp_words: int) -> DataFrame:
+def plan(sized: DataFrame, goal: DataFrame, dp_words: int, seed: int) -> DataFrame:
     """source, size, passes (of all the source's documents) and n_more (documents of that size
     taken once more)."""
     counted = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -122,7 +160,7 @@ def plan(sized: DataFrame, goal: DataFrame, dp_words: int) -> DataFrame:
         whole, goal_ = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         passes = math.floor(goal_ / whole) if whole else 0
         budget = min(whole, max(0, round(goal_ - passes * whole)))
-        more = fill(budget, pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), dp_words)
+        more = fill(budget, pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), dp_words, seed)
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "passes": passes, "n_more": more})
 
     return rows.groupBy("source").applyInPandas(run, "source string, size bigint, passes bigint, n_more bigint")
@@ -154,7 +192,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """(doc, version, source, size, copies of every row; source, source_size, target)."""
     sized = stage(sizes(docs, key, text, source), "mix_sizes")
     goal = stage(targets(sized, share, most), "mix_targets")
-    return copies(sized, stage(plan(sized, goal, dp_words), "mix_plan"), seed), goal
+    return copies(sized, stage(plan(sized, goal, dp_words, seed), "mix_plan"), seed), goal
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
