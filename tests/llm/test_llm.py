@@ -363,3 +363,15 @@ def test_viterbi_counts(docs, empty):
     for i, t in enumerate(TEXTS):
         assert got[i * 3]["n_tokens"] == sum(best(counts.MARK + w) for w in WORD.findall(t or ""))
     assert counts.token_counts(empty).count() == 0
+
+
+def test_viterbi_counts_white_space(spark, empty):
+    path = counts.vocabulary_path()
+    found, low = counts.automaton(path), min(counts.pieces(path).values()) - counts.BELOW
+    texts = [*TEXTS[:6], *TEXTS[9:], "a\n\n b", "a   b\t\tc ", " a", "\n\n", "if (x) {\r\n    y();\r\n}", "a \u2581 b", "\u2581", "a\u3000\x0b\x0cb"]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(counts.token_counts(t, white=True))
+    for i, text in enumerate(texts):  # whole texts, not cut
+        assert got[i]["n_tokens"] == (counts.count(counts.MARK + text.replace(" ", counts.MARK), found, low) if text else 0), text
+    assert got[texts.index("a\n\n b")]["n_tokens"] == 4 and got[texts.index("\n\n")]["n_tokens"] == 3
+    assert counts.token_counts(empty, white=True).count() == 0

@@ -78,4 +78,4 @@ def op3(spark, sf_dir):
 
 @query("op8_viterbi_counts")
 def op8(spark, sf_dir):
-    return counts.token_counts(table(spark, sf_dir, "documents"))
+    return counts.token_counts(table(spark, sf_dir, "documents"), white=True)
