@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from voltloom.llm import bpe, counts, lines, lm, mixing, near, quality, tokenfiles, vafile, warc
+from voltloom.llm import bpe, counts, lines, lm, mixing, near, periods, quality, tokenfiles, toxicity, vafile, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,18 @@ def op3(spark, sf_dir):
 @query("op8_viterbi_counts")
 def op8(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), white=True)
+
+
+@query("op11_period_tiles")
+def op11(spark, sf_dir):
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_reduced_alphabet", variants.ORACLE)
+def op12(spark, sf_dir):
+    return variants.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conv_toxicity")
+def op13(spark, sf_dir):
+    return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -66,19 +66,23 @@ def arrow_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
                                   pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of other than white space, and bounds."""
-    solid = ~WHITE[data]
+def run_spans(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of `solid` bytes, which end with their document, and bounds."""
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
-    edge = off[(off > 0) & (off < len(data))]
+    edge = off[(off > 0) & (off < len(solid))]
     first[edge] = solid[edge]
     last[edge - 1] = solid[edge - 1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other than white space, and bounds."""
+    return run_spans(~WHITE[data], off)
+
+
 def words(column: pa.Array, lower: bool = False) -> Coded:
     """The words of every document, dictionary-coded."""
     data, off = flat(column)
@@ -152,6 +156,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: An odd number whose powers weigh the places of a fingerprint.
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """The same whole numbers in the smallest unsigned type."""
     top = int(a.max()) if len(a) else 0
