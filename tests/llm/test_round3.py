@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.llm import periods, toxicity, variants
+from voltloom.llm import lm, periods, toxicity, variants
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -221,3 +221,20 @@ def test_word_vectors_share_beginnings():
     assert [w.decode() for w in got.distinct.to_pylist()] == ["réeux", "réeuxment", "rée"] and got.bounds.tolist() == [0, 3, 3]
     b = toxicity.buckets_of(got.distinct)
     assert b[0, 1] == b[1, 1] != b[2, 1] and b[0, 0] != b[1, 0]
+
+
+@pytest.mark.parametrize("texts", [["the the the cat"], ["a"], ["a b a b a b c", "the a b"], ["of the cat of the dog " * 30, "", None, "of the cat"]])
+def test_language_model_on_more_shards_than_tokens(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got.append({r["doc_id"]: r for r in lm.score(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, t in enumerate(texts):
+        few, many = got[0][i], got[1][i]
+        assert few["n_tokens"] == many["n_tokens"] == len(WORD.findall(t or "")) + 1
+        assert few["base_score"] == pytest.approx(many["base_score"]) and few["n_known"] == many["n_known"]
+        assert few["score"] == pytest.approx(many["score"], abs=0.01 * few["n_tokens"]) and np.isfinite(many["score"])

@@ -4,7 +4,8 @@ Words are numbered once per corpus (voltloom.llm.distinct). Blocks of documents
 distinct trigrams (two words of context and the next token), so a passage that a third of all
 documents repeat is one entry per block. Trigrams are dealt to shards by their root: the word
 before the token, and a class of the word before that. Ordinary words have one class; a word with
-a share of more than one shard's part of all tokens has more, by hash, so no shard is hot. The
+a share of more than one shard's part of all tokens has more, by hash, so only a frequent pair of words
+is one shard's (the start of every text is such a context). The
 bigrams of such a split root are dealt by the token instead and counted on their own, each pair in
 one shard; how many kinds follow the root is summed over its shards (a few numbers per split root,
 and at most as many split roots as shards), and how often it occurs is its word's count.
@@ -293,9 +294,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
         for payload in table.column("payload"):
             step, g, rise, c, n, *two = (x.astype(np.int64) for x in unpack(payload.as_py()))
             pairs.append([np.cumsum(two[0]), *two[1:]])
-            sums, at = np.cumsum(rise), np.flatnonzero(np.concatenate(([True], step[1:] > 0)))
+            b = np.cumsum(step)
+            sums, at = np.cumsum(rise), heads(b)  # a block may send a shard pairs only
             before = np.repeat(sums[at] - rise[at], np.diff(np.append(at, len(rise))))
-            parts.append([np.cumsum(step), g, sums - before, c, n])
+            parts.append([b, g, sums - before, c, n])
         b, g, a, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         seen = n > 0
         order = np.flatnonzero(seen)[np.lexsort((c[seen], a[seen], g[seen], b[seen]))]
