@@ -3,17 +3,21 @@ these have no oracle; the tests check them against direct fits instead."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sql import VAC, d, i, is_, r, rs, sql, t
 from catalog.detector_queries import LABEL_SQL, SPLIT_SQL
 from voltloom.functions import columns as C
-from voltloom.operators import anomaly, days, models, stats
+from voltloom.operators import anomaly, days, forest, models, stats
 from voltloom.plans import experiment
 from voltloom.session import stage
 
 B = ["building"]
+#: Place of the published depth among those grown.
+D12 = forest.DEPTHS.index(12)
 
 
 @query("m02_m03_fit_and_score")
@@ -157,35 +161,85 @@ def _(w):
 
 @query("m05_forest_scores")
 def _(w):
-    return models.forest_scores(w.forests, B)
+    return models.forest_scores(w.forest, w.split, B, D12)
 
 
 @query("m04_all_models")
 def _(w):
     """Models B, C and D of every building side by side."""
-    both = models.fit_and_score(w.split, B).unionByName(models.forest_scores(w.forests, B))
+    both = models.fit_and_score(w.split, B).unionByName(models.forest_scores(w.forest, w.split, B, D12))
     return models.model_table(both, B)
 
 
 @query("m05_forest_importances")
 def _(w):
-    return models.importances(w.forests, w.spark)
+    return forest.importances(w.forest, B)
 
 
 # what holds of any forest: as many rows as the split has, importances that add up to one
 @query("m05_forest_properties", sql(f"""SELECT building, {is_(("count(*) FILTER (WHERE split = 'train')", 'train_rows'), ("count(*) FILTER (WHERE split = 'validation')", 'validation_rows'),
     ("count(*) FILTER (WHERE split = 'test')", 'test_rows'))}, {i('44', 'features')}, 1e0 AS importance, true AS better_than_mean_in_train FROM sp GROUP BY 1""", "buildings", extra=SPLIT_SQL))
 def _(w):
-    s = models.forest_scores(w.forests, B)
+    s = models.forest_scores(w.forest, w.split, B, D12)
     at = lambda x: F.max(F.when(F.col("split") == x, F.col("n"))).alias(f"{x}_rows")
     rows = s.groupBy("building").agg(at("train"), at("validation"), at("test"), F.bool_or((F.col("split") == "train") & (F.col("r2") > 0)).alias("better_than_mean_in_train"))
-    imp = models.importances(w.forests, w.spark).groupBy("building").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
+    imp = forest.importances(w.forest, B).groupBy("building").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
     return rows.join(imp, "building")
 
 
+# SQL follows four trees two levels down, from the same draws: candidates of every node, the best, its children
+def _level(k: int) -> str:
+    return f"""c{k} AS (SELECT building, tree, node, ord, sum(w) AS ni, sum(wy) AS si FROM (SELECT *, unnest(cols) AS ord FROM n{k}) GROUP BY ALL),
+t{k} AS (SELECT building, tree, node, sum(w) AS n, sum(wy) AS s FROM n{k} GROUP BY ALL),
+b{k} AS (SELECT * FROM (SELECT c.building, c.tree, c.node, ord, round((si * si / ni + (s - si) * (s - si) / (n - ni) - s * s / n) / scale, 9) AS gain
+    FROM c{k} c JOIN t{k} t ON c.building = t.building AND c.tree = t.tree AND c.node = t.node JOIN rt ON rt.building = c.building AND rt.tree = c.tree
+    WHERE ni >= 5 AND n - ni >= 5) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY building, tree, node ORDER BY gain DESC, ord) = 1),
+n{k + 1} AS (SELECT n.* EXCLUDE (node), CASE WHEN b.ord IS NULL THEN node || 'x' WHEN list_contains(cols, b.ord) THEN node || '1' ELSE node || '0' END AS node
+  FROM n{k} n LEFT JOIN b{k} b USING (building, tree, node))"""
+
+
+SHALLOW_SQL = SPLIT_SQL + f""", eg AS (SELECT building, list_distinct(quantile_cont(occupancy, [{', '.join(f'{k}e0 / 64' for k in range(1, 64))}])) AS e FROM sp WHERE split = 'train' GROUP BY 1),
+fe AS (SELECT sp.building, ts, split, power_w, list_filter([hour, CASE WHEN isodow(ts) > 1 THEN 22 + isodow(ts) END, CASE WHEN month > 1 THEN 28 + month END,
+    CASE WHEN is_weekend THEN 41 END, CASE WHEN is_semester THEN 42 END, CASE WHEN is_working_day THEN 43 END]
+    || list_transform(list_filter(list_sort(e), lambda x: x >= occupancy), lambda x: 43 + list_position(list_sort(e), x)), lambda o: o > 0) AS cols FROM sp JOIN eg ON eg.building = sp.building),
+dw AS (SELECT *, ('0x' || substr(md5('42|' || building || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|0'), 1 + 4 * tree, 4))::INT AS u FROM fe, range(4) q(tree)),
+n0 AS (SELECT building, ts, split, power_w, cols, tree, 'n' AS node, CASE WHEN split = 'train' THEN {' + '.join(f'(u >= {p})::INT' for p in forest.POISSON)} ELSE 0 END AS w, w * power_w AS wy FROM dw),
+rt AS (SELECT building, tree, sum(wy) / sum(w) * sum(wy) AS scale FROM n0 GROUP BY 1, 2),
+{_level(0)}, {_level(1)},
+lf AS (SELECT building, tree, node, sum(wy) / sum(w) AS p FROM n2 GROUP BY 1, 2, 3),
+pr AS (SELECT building, ts, split, any_value(power_w) AS y, avg(p) AS p FROM n2 JOIN lf USING (building, tree, node) GROUP BY 1, 2, 3)"""
+
+
+@query("m05_shallow_forest", sql(f"""SELECT building, split, {i('count(*)', 'n')}, {rs(('avg(abs(y - p))', 'mae_w'), ('avg(p)', 'mean_predicted_w'), ('stddev_pop(p)', 'sd_predicted_w'))}
+  FROM pr GROUP BY 1, 2""", "buildings", extra=SHALLOW_SQL))
+def _(w):
+    """Four trees of depth two: their draws, splits and means are those of the whole forest."""
+    p = forest.predictions(forest.grow(w.split, B, trees=4, depths=(2,)), w.split, B)
+    return p.groupBy("building", "split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("power_w") - F.col("predicted_w"))).alias("mae_w"),
+                                              F.avg("predicted_w").alias("mean_predicted_w"), F.stddev_pop("predicted_w").alias("sd_predicted_w"))
+
+
+@query("m05_stump", sql(f"""SELECT building, tree, {is_('ord')}, {rs('gain')} FROM b0""", "buildings", extra=SHALLOW_SQL))
+def _(w):
+    """The first split of four trees: the column's place in the forest's order and the gain as a share of the root's square."""
+    rows = stage(forest.weighted(forest.with_cells(w.split, B), B, 4, "power_w", 42), "stump")
+
+    def best(pdf):
+        part, rest = {}, pdf["cell"].to_numpy()
+        for name, size in forest.PARTS:
+            rest, part[name] = np.divmod(rest, size)
+        n, s = pdf["w"].sum(), pdf["wy"].sum()
+        ni, si = (forest.histograms(part, np.zeros(len(pdf), np.int64), 1, pdf[c].to_numpy())[0] for c in ("w", "wy"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where((ni >= 5) & (n - ni >= 5), np.round((si * si / ni + (s - si) ** 2 / (n - ni) - s * s / n) / (s * s / n), 9), 0)
+        return pd.DataFrame({"building": pdf["building"].iloc[:1], "tree": pdf["tree"].iloc[:1], "ord": [gain.argmax() + 1], "gain": [gain.max()]})
+
+    return rows.groupBy("building", "tree").applyInPandas(best, "building string, tree bigint, ord bigint, gain double")
+
+
 @query("m07_forest_depth_curve")
 def _(w):
-    return models.forest_depth_curve(w.split, B)
+    return forest.depth_curve(w.forest, w.split, B)
 
 
 @query("n03_hashed_experiment")

@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import roles as R
-from voltloom.operators import anomaly, blocks, days, models, weather
+from voltloom.operators import anomaly, blocks, days, forest, models, weather
 from voltloom.plans import experiment
 from voltloom.plans.building_table import build_table, clean_meters
 from voltloom.session import stage
 
 _MADE: dict[tuple, DataFrame] = {}
-_FITTED: dict[tuple, list[tuple]] = {}
 
 
 class Workspace:
@@ -92,12 +91,9 @@ class Workspace:
         return self._once("expected", lambda: experiment.expected_power(self.split, ["building"]))
 
     @property
-    def forests(self) -> list[tuple]:
-        """Model D of every building; the fitted trees stay on the driver."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "forests")
-        if key not in _FITTED:
-            _FITTED[key] = models.fit_forests(self.split, ["building"])
-        return _FITTED[key]
+    def forest(self) -> DataFrame:
+        """Model D's trees of every building, with the answers of every published depth."""
+        return self._once("forest", lambda: forest.grow(self.split, ["building"], depths=forest.DEPTHS))
 
     # --------------------------------------------- a detector SQL can follow
     @property

@@ -1,5 +1,6 @@
 """Models against direct least squares, day profiles against NumPy."""
 
+import hashlib
 import random
 from dataclasses import replace
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import series
 from voltloom.config import DEFAULT_RULES, WEEKDAYS
-from voltloom.operators import days, features, models
+from voltloom.operators import days, features, forest, models
 
 RULES = replace(DEFAULT_RULES, segment_days=7)
 
@@ -89,18 +90,59 @@ def test_polynomial_curve_matches_numpy(frame):
         assert got[deg].val_mae_w == pytest.approx((va.power_w - np.polyval(w, va.occupancy)).abs().mean())
 
 
+def plain_tree(d, depth):
+    """Means of a tree's leaves by exhaustive search over the same columns, one node after the other."""
+    out = np.empty(len(d))
+
+    def node(rows, level):
+        y, w = d.power_w.to_numpy()[rows], d.w.to_numpy()[rows]
+        out[rows] = (w * y).sum() / w.sum()
+        best = (1e-9, None)
+        for inside in splits:
+            a = inside[rows]
+            if level == depth or w[a].sum() < 5 or w[~a].sum() < 5:
+                continue
+            sse = sum((w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum() for m in (a, ~a))
+            gain = ((w * (y - np.average(y, weights=w)) ** 2).sum() - sse) / scale
+            if gain > best[0] + 1e-9:
+                best = (gain, a)
+        if best[1] is not None:
+            node(rows[best[1]], level + 1)
+            node(rows[~best[1]], level + 1)
+
+    scale = (d.w * d.power_w).sum() ** 2 / d.w.sum()
+    splits = [(d.hour == h).to_numpy() for h in range(1, 24)] + [(d.weekday == x).to_numpy() for x in WEEKDAYS[1:]]
+    splits += [(d.month == m).to_numpy() for m in range(2, 13)] + [d[b].to_numpy(bool) for b in forest.BINARIES]
+    splits += [(d.occupancy <= e).to_numpy() for e in sorted(set(np.quantile(d[d.split == "train"].occupancy, np.arange(1, 64) / 64)))]
+    node(np.arange(len(d)), 0)
+    return out
+
+
+def test_a_tree_is_the_one_exhaustive_search_finds(frame):
+    keys, d = ["building"], frame.orderBy("ts").toPandas()
+    for seed in (1, 42):
+        grown = forest.grow(frame, keys, trees=1, depths=(1, 3, 5), seed=seed)
+        draw = [int(hashlib.md5(f"{seed}|{b}|{t:%Y-%m-%d %H:%M:%S}|0".encode()).hexdigest()[:4], 16) for b, t in zip(d.building, d.ts)]
+        d["w"] = [sum(u >= p for p in forest.POISSON) if s == "train" else 0 for u, s in zip(draw, d.split)]
+        for at, depth in enumerate((1, 3, 5)):
+            got = forest.predictions(grown, frame, keys, at).orderBy("ts").toPandas().predicted_w
+            assert got.to_numpy() == pytest.approx(plain_tree(d, depth))
+
+
 def test_forests_of_two_buildings_beat_the_mean_and_name_their_features(frame, spark):
     both = frame.unionByName(frame.withColumn("building", F.lit("other")).withColumn("power_w", 2 * F.col("power_w")))
-    forests = models.fit_forests(both, ["building"], trees=10, depth=6)
-    s = {(r.building, r.split): r for r in models.forest_scores(forests, ["building"]).collect()}
+    only_test = frame.filter("split = 'test'").withColumn("building", F.lit("untrained"))
+    trees = forest.grow(both.unionByName(only_test), ["building"], trees=10, depths=(2, 6, None))
+    s = {(r.building, r.split): r for r in models.forest_scores(trees, both, ["building"], 1).collect()}
     names = {b for b, _ in s}
     assert len(names) == 2 and len(s) == 8
     for b in names:
         assert s[b, "validation"].r2 > 0 and s[b, "train"].r2 > s[b, "test"].r2 - 0.2
-        own = models.importances(forests, spark).filter(F.col("building") == b).collect()
-        assert sum(r.importance for r in own) == pytest.approx(1) and {r.feature for r in own} == set(models.FOREST_FEATURES)
-    curve = models.forest_depth_curve(both, ["building"], (2, 5), trees=5).collect()
-    assert {(r.building, r.max_depth) for r in curve} == {(b, d) for b in names for d in ("2", "5")}
+        own = forest.importances(trees, ["building"]).filter(F.col("building") == b).collect()
+        assert sum(r.importance for r in own) == pytest.approx(1) and {r.feature for r in own} == set(forest.FEATURES)
+    curve = {(r.building, r.max_depth): r for r in forest.depth_curve(trees, both, ["building"], (2, 6, None)).collect()}
+    assert set(curve) == {(b, d) for b in names for d in ("2", "6", "unlimited")}
+    assert all(curve[b, "2"].train_mae_w >= curve[b, "6"].train_mae_w >= curve[b, "unlimited"].train_mae_w for b in names)
 
 
 def test_feature_ranking(frame):

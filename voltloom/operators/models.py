@@ -9,19 +9,15 @@ and predictions are plain column expressions over the joined coefficients.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.config import DEFAULT_RULES, Rules, WEEKDAYS
 from voltloom.functions.columns import ratio
 from voltloom.functions.tails import f_pvalue
+from voltloom.operators import forest
 from voltloom.operators.ordered import row_positions
 from voltloom.operators.ranks import quantiles
 from voltloom.session import stage
@@ -401,85 +397,9 @@ def polynomial_curve(split: DataFrame, keys, max_degree: int = 10, target: str =
     return d.groupBy(*keys, "degree").agg(at("train").alias("train_mae_w"), at("validation").alias("val_mae_w"))
 
 
-FOREST_FEATURES = (*[f"hour_{h}" for h in range(1, 24)], *[f"weekday_{d}" for d in WEEKDAYS[1:]],
-                   *[f"month_{m}" for m in range(2, 13)], *BINARIES, "occupancy")
-
-
-def encoded(rows: DataFrame) -> DataFrame:
-    """Explicit dummy columns and the assembled feature vector for the forest."""
-    cols = [(F.col("hour") == h).cast("double").alias(f"hour_{h}") for h in range(1, 24)]
-    cols += [(F.col("weekday") == d).cast("double").alias(f"weekday_{d}") for d in WEEKDAYS[1:]]
-    cols += [(F.col("month") == m).cast("double").alias(f"month_{m}") for m in range(2, 13)]
-    cols += [F.col(b).cast("double").alias(f"{b}_d") for b in BINARIES]
-    names = [f"{f}_d" if f in BINARIES else f for f in FOREST_FEATURES]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(rows.select("*", *cols))
-
-
-def fit_forest(train: DataFrame, target: str = "power_w", trees: int = 120, depth: int | None = 12,
-               seed: int = 42):
-    """Model D for the rows given; Spark's depth limit of 30 stands for "unlimited"."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol="predicted_w", numTrees=trees,
-        maxDepth=30 if depth is None else depth, minInstancesPerNode=5, seed=seed).fit(encoded(train))
-
-
-def each_key(split: DataFrame, keys) -> list[tuple[DataFrame, dict[str, Column]]]:
-    """The rows of every key and the key as literals. A forest has no key of its own, so each
-    building is one distributed fit after the other; the keys are the few buildings of a site,
-    and the rows should be a table partitioned by them."""
-    keys = list(keys)
-    out = []
-    for row in split.select(*keys).distinct().orderBy(*keys).collect():
-        own = split
-        for k in keys:
-            own = own.filter(F.col(k).eqNullSafe(F.lit(row[k])))
-        out.append((own, {k: F.lit(row[k]) for k in keys}))
-    return out
-
-
-def fit_forests(split: DataFrame, keys, trees: int = 120, depth: int | None = 12, target: str = "power_w") -> list[tuple]:
-    """(rows, key, forest of the training rows) of every key that has training rows. A few
-    fits run side by side, as the levels of one forest are many short jobs."""
-    def fit(one):
-        train = one[0].filter("split = 'train'")
-        return None if train.isEmpty() else (*one, fit_forest(train, target, trees, depth))
-
-    with ThreadPoolExecutor(4) as pool:
-        return [f for f in pool.map(fit, each_key(split, keys)) if f]
-
-
-def _together(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def importances(forests: list[tuple], spark) -> DataFrame:
-    """One row per key and encoded column."""
-    return _together([spark.createDataFrame(
-        list(zip(FOREST_FEATURES, map(float, model.featureImportances.toArray()))), "feature string, importance double").withColumns(key)
-        for _, key, model in forests])
-
-
-def forest_predictions(forests: list[tuple], splits=("train", "validation", "test"), target: str = "power_w") -> DataFrame:
-    """Model D's rows, each predicted by the forest of its own key."""
-    return _together([model.transform(encoded(rows.filter(F.col("split").isin(*splits)))).select(
-        *key, "ts", "split", target, "predicted_w") for rows, key, model in forests]).withColumn("model", F.lit("D"))
-
-
-def forest_scores(forests: list[tuple], keys, target: str = "power_w") -> DataFrame:
-    return score_with_correction(stage(forest_predictions(forests, target=target), "forest"), keys, target)
-
-
-def forest_depth_curve(split: DataFrame, keys, depths=(2, 4, 6, 8, 12, 16, 24, None), target: str = "power_w",
-                       trees: int = 120) -> DataFrame:
-    """Train and validation MAE per key of forests of increasing depth."""
-    curve = []
-    for depth in depths:
-        p = forest_predictions(fit_forests(split, keys, trees, depth, target), ("train", "validation"), target)
-        e = F.abs(F.col(target) - F.col("predicted_w"))
-        at = lambda s: F.avg(F.when(F.col("split") == s, e))
-        curve.append(p.groupBy(*keys).agg(at("train").alias("train_mae_w"), at("validation").alias("val_mae_w")).withColumn(
-            "max_depth", F.lit("unlimited" if depth is None else str(depth))))
-    return _together(curve)
+def forest_scores(trees: DataFrame, split: DataFrame, keys, at: int = 0, target: str = "power_w") -> DataFrame:
+    """Model D's scores by split, plain and corrected; `trees` as forest.grow() leaves them."""
+    return score_with_correction(stage(forest.predictions(trees, split, keys, at, target), "forest_rows"), keys, target)
 
 
 def lag_trap(table: DataFrame, keys=("building",), rules: Rules = DEFAULT_RULES) -> DataFrame:
