@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.sql import VAC, d, i, is_, r, rs, sql, t
+from catalog.sql import VAC, d, i, is_, r, rs, sql, t, t_sql
 from catalog.detector_queries import LABEL_SQL, SPLIT_SQL
 from voltloom.functions import columns as C
 from voltloom.operators import anomaly, days, forest, models, stats
@@ -132,7 +132,9 @@ def _(w):
     return models.select_features(w.split.filter("split = 'train'"), B).select("building", "feature", "correlation", "f_score")
 
 
-@query("m06_selected_with_p_values")
+@query("m06_selected_with_p_values", sql(f"""SELECT building, feature, {rs(('c', 'correlation'), ('f', 'f_score'), (t_sql('sqrt(f)', '(n - 2)'), 'p_value'))}, true AS kept
+  FROM (SELECT *, CASE WHEN varies THEN c * c / (1 - c * c) * (n - 2) END AS f FROM fc) QUALIFY row_number() OVER (PARTITION BY building ORDER BY round(f, 9) DESC NULLS LAST, feature) <= 15""",
+  "buildings", extra=FEATURE_SQL))
 def _(w):
     f = models.select_features(w.split.filter("split = 'train'"), B)
     return models.with_f_pvalue(f.filter("kept")).drop("N")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import roles as R
 from catalog.registry import query
-from catalog.sql import d, i, is_, r, rs, sql, t
+from catalog.sql import d, i, is_, normal_sql, r, rs, sql, t, t_sql
 from voltloom.functions import columns as C
 from voltloom.operators import blocks, compare, features, profile, stats
 
@@ -439,19 +439,44 @@ def _(w):
     return stats.compare_groups(_ranked(w), ["building"], "power_w", ~F.col("is_weekend"))
 
 
-@query("h02_group_p_values")
+# the larger U, corrected for continuity and ties, against the normal tail
+PVALUE_SQL = GROUPS_SQL.replace("NOT is_weekend AS a", "NOT is_vacation AS a") + """, ti AS (SELECT building, sum(c * c * c - c) AS ties FROM
+    (SELECT building, power_w, count(*)::DOUBLE AS c FROM rb GROUP BY 1, 2) GROUP BY 1),
+gp AS (SELECT gd.*, (ma - mb) / sqrt(va / na + vb / nb) AS t, (va/na + vb/nb) * (va/na + vb/nb) / (va/na * va/na / (na - 1) + vb/nb * vb/nb / (nb - 1)) AS dof,
+    ra - na * (na + 1) / 2 AS u, sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) AS su FROM gd JOIN ti USING (building)),
+gz AS (SELECT *, (greatest(u, na * nb - u) - na * nb / 2 - 5e-1) / su AS z FROM gp)"""
+
+
+@query("h02_group_p_values", sql(f"""
+  SELECT building, {is_(('na', 'n_a'), ('nb', 'n_b'))}, {rs(('ma', 'mean_a'), ('mb', 'mean_b'), ('qa', 'median_a'), ('qb', 'median_b'), ('ma - mb', 'difference_in_means'),
+    ('100 * (ma - mb) / mb', 'percent_difference'), ('t', 't_statistic'), ('dof', 't_dof'), ('u', 'u_statistic'), ('cd', 'cohens_d'),
+    (t_sql('t', 'dof'), 't_pvalue'), (f"least(1e0, CASE WHEN z > 0 THEN 2 - 2 * {normal_sql('z', 2000)} ELSE 1 END)", 'mannwhitney_pvalue'))}, {EFFECT} AS effect_size_label
+  FROM gz""", "buildings", extra=PVALUE_SQL))
 def _(w):
-    return stats.compare_groups(w.buildings.filter("usable"), ["building"], "power_w", ~F.col("is_vacation"), p_values=True)
+    return stats.compare_groups(_ranked(w), ["building"], "power_w", ~F.col("is_vacation"), p_values=True)
 
 
-@query("a19_correlation_p_values")
+@query("a19_correlation_p_values", sql(f"""
+  SELECT building, {i('n')}, {rs(('p', 'pearson_r'), ('s', 'spearman_r'), ('p * p', 'r_squared'), (t_sql('tp', '(n - 2)'), 'pearson_p'), (t_sql('ts', '(n - 2)'), 'spearman_p'))}
+  FROM (SELECT *, p * sqrt((n - 2) / (1 - p * p)) AS tp, s * sqrt((n - 2) / (1 - s * s)) AS ts FROM
+    (SELECT building, count(*) AS n, corr(power_w, occupancy) AS p, corr(rx, ry) AS s FROM sp GROUP BY building HAVING count(*) >= 100))""", "buildings", extra=SPEARMAN_SQL))
 def _(w):
-    return stats.correlation(w.buildings.filter("usable"), ["building"], "power_w", "occupancy", p_values=True)
+    return stats.correlation(_ranked(w), ["building"], "power_w", "occupancy", p_values=True)
+
+
+KS_SQL = f"""lx AS (SELECT l_returnflag, {PRICE} AS x FROM lineitem WHERE {PRICE} > 0),
+lm AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mu, stddev_pop(x) AS sd, avg(ln(x)) AS log_mu, stddev_pop(ln(x)) AS log_sd FROM lx GROUP BY 1),
+ls AS (SELECT l_returnflag, avg(pow((x - mu) / sd, 3)) AS skew, avg(pow((x - mu) / sd, 4)) - 3 AS kurtosis FROM lx JOIN lm USING (l_returnflag) GROUP BY 1),
+lv AS (SELECT l_returnflag, x, count(*) AS c, sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY x) AS upto FROM lx GROUP BY 1, 2),
+lz AS (SELECT l_returnflag, n, c, upto, (x - mu) / sd AS z, (ln(x) - log_mu) / log_sd AS lz FROM lv JOIN lm USING (l_returnflag)),
+lp AS (SELECT l_returnflag, n, c, upto, {normal_sql('z')} AS p, {normal_sql('lz')} AS lp FROM lz),
+lk AS (SELECT l_returnflag, max(greatest(abs(p - (upto - c) / n), abs(upto / n - p))) AS ks_normal, max(greatest(abs(lp - (upto - c) / n), abs(upto / n - lp))) AS ks_lognormal FROM lp GROUP BY 1)"""
 
 
-@query("h03_normal_and_lognormal")
+@query("h03_normal_and_lognormal", f"""WITH {KS_SQL} SELECT l_returnflag, {i('n')}, {rs('mu', 'sd', 'log_mu', 'log_sd', 'skew', 'kurtosis', 'ks_normal', 'ks_lognormal')},
+  CASE WHEN ks_lognormal < ks_normal THEN 'log-normal' ELSE 'normal' END AS better_fit FROM lm JOIN ls USING (l_returnflag) JOIN lk USING (l_returnflag)""")
 def _(w):
-    return stats.fit_normal_and_lognormal(w.table("lineitem"), PRICE)
+    return stats.fit_normal_and_lognormal(w.table("lineitem"), PRICE, ["l_returnflag"])
 
 
 @query("h03_moments", f"""

@@ -160,3 +160,15 @@ def t(expr: str, name: str | None = None) -> str:
 
 def d(expr: str, name: str | None = None) -> str:
     return f"strftime({expr}, '%Y-%m-%d') AS {name or expr}"
+
+
+def normal_sql(z: str, steps: int = 200) -> str:
+    """P(Z <= z) by Simpson's rule from 0."""
+    return (f"(5e-1 + {z} / {steps} / 3e0 / sqrt(2 * pi()) * list_sum(list_transform(range(0, {steps} + 1), lambda k: "
+            f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-({z} * k / {steps}) * ({z} * k / {steps}) / 2))))")
+
+
+def t_sql(t_: str, df: str, steps: int = 4000) -> str:
+    """P(|T| > |t|) by Simpson's rule from 0."""
+    return (f"(1 - 2 * exp(lgamma(({df} + 1) / 2e0) - lgamma({df} / 2e0)) / sqrt({df} * pi()) * abs({t_}) / {steps} / 3e0 * list_sum(list_transform(range(0, {steps} + 1), "
+            f"lambda k: (CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + ({t_} * k / {steps}) * ({t_} * k / {steps}) / {df}, -({df} + 1) / 2e0))))")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import series
 from voltloom.functions import columns as C
-from voltloom.functions.tails import f_upper, t_two_sided
+from voltloom.functions import tails
 from voltloom.operators import compare, profile, ranks, stats
 
 N = None
@@ -65,12 +65,23 @@ def test_group_comparison_by_direct_counting(spark):
     assert 0 < r.t_pvalue < 1 and r.effect_size_label == "large"
 
 
-def test_tail_probabilities():
-    assert t_two_sided(0, 5) == pytest.approx(1)
-    assert t_two_sided(1, 1) == pytest.approx(0.5)                      # Cauchy
-    assert t_two_sided(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6))   # closed form for 2 degrees
-    assert t_two_sided(1.959964, 1e7) == pytest.approx(0.05, abs=1e-6)
-    assert f_upper(4.0, 1, 2) == pytest.approx(t_two_sided(2.0, 2))
+def test_tail_probabilities(spark):
+    def all_of(fn, rows):
+        d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i int, " + ", ".join(f"x{k} double" for k in range(len(rows[0]))))
+        got = d.select("i", fn(*[F.col(f"x{k}") for k in range(len(rows[0]))]).alias("p")).collect()
+        return [r.p for r in sorted(got)]
+
+    nan = float("nan")
+    p = all_of(tails.t_pvalue, [(0, 5), (1, 1), (-1, 1), (2, 2), (1.959964, 1e7), (40, 1e5), (nan, 4), (1, 0)])
+    assert p[:5] == pytest.approx([1, 0.5, 0.5, 1 - 2 / math.sqrt(6), 0.05], abs=1e-6)  # Cauchy; closed form for 2 degrees
+    assert p[1] == p[2] and p[5] < 1e-200 and p[6] is None and p[7] is None
+    below = [(0.3, 2, 7), (2.5, 2, 40), (1.0, 2, 900), (0.0, 2, 5), (4.0, 1, 2)]
+    want = [(1 + 2 * f / d2) ** (-d2 / 2) for f, _, d2 in below[:4]] + [p[3]]  # closed form for 2 degrees above
+    assert all_of(tails.f_pvalue, below) == pytest.approx(want, rel=1e-9)
+    z = [(x,) for x in (-40, -9, -7.08, -3.1, -0.2, 0, 1e-9, 0.7, 2.0, 6.9, 7.2, 39)]
+    assert all_of(tails.normal_cdf, z) == pytest.approx([math.erfc(-x / math.sqrt(2)) / 2 for x, in z], rel=1e-7, abs=1e-300)
+    g = [(x,) for x in (0.5, 1.5, 8.0, 15.9, 16.0, 1e6)]
+    assert all_of(tails.log_gamma, g) == pytest.approx([math.lgamma(x) for x, in g], rel=1e-12, abs=1e-12)
 
 
 def test_effect_labels_and_buckets(spark):
@@ -90,9 +101,18 @@ def test_spearman_of_a_bent_line_is_one(spark):
 
 def test_distribution_fit_prefers_the_right_family(spark):
     rng = random.Random(1)
-    d = series(spark, [rng.lognormvariate(2, 1) for _ in range(2000)])
-    r = stats.fit_normal_and_lognormal(d, "value").first()
-    assert r.better_fit == "log-normal" and 0 < r.ks_lognormal < r.ks_normal < 1
+    values = {"log": [rng.lognormvariate(2, 1) for _ in range(2000)], "plain": [round(rng.gauss(50, 5), 1) for _ in range(900)], "same": [3.0] * 4, "none": [-1.0]}
+    rows = [(k, float(v)) for k, own in values.items() for v in own]
+    d = spark.createDataFrame([*rows, ("log", None), ("log", -5.0)], "kind string, value double").repartition(3)
+    got = {r.kind: r for r in stats.fit_normal_and_lognormal(d, "value", ["kind"]).collect()}
+    assert set(got) == {"log", "plain", "same"} and got["same"].ks_normal is None and got["same"].better_fit is None
+    assert got["log"].better_fit == "log-normal" and got["plain"].better_fit == "normal"
+    for k in ("log", "plain"):
+        for name, x in (("ks_normal", np.sort(values[k])), ("ks_lognormal", np.sort(np.log(values[k])))):
+            p = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in (x - x.mean()) / x.std()])
+            at = np.arange(len(x))
+            assert got[k][name] == pytest.approx(max((p - at / len(x)).max(), ((at + 1) / len(x) - p).max()), abs=1e-9)
+    assert stats.fit_normal_and_lognormal(d.filter("kind = 'log'"), "value").first().ks_normal == pytest.approx(got["log"].ks_normal)
 
 
 def test_sample_means_centre_on_the_population(spark):

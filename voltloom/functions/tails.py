@@ -1,75 +1,106 @@
-"""Tail probabilities that Spark has no function for, applied to summary rows only."""
+"""Normal, t and F probabilities as column expressions; Spark has no function for them."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c = 1e-300, 1.0
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
+
+# Hart's rational approximation of the normal tail (highest power first), to 15 digits.
+TAIL_OVER = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_UNDER = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+              793.826512519948, 440.413735824752)
+# Stirling's series of log gamma, 1 / (c z^(2 k - 1)).
+STIRLING = (12.0, -360.0, 1260.0, -1680.0, 1188.0)
+TINY = 1e-300
+
+
+def bound(body, **columns: Column) -> Column:
+    """body(s) with every column evaluated once, as a field of s."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return F.get(F.transform(one, body), F.lit(0))
+
+
+def polynomial(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
     return out
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+def normal_cdf(z: Column) -> Column:
+    """P(Z <= z) without a loop, for millions of rows: to 15 places, and to eight digits in the far tail."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2)
+    far = x + 0.65
+    for k in (4, 3, 2, 1):
+        far = x + F.lit(float(k)) / far
+    upper = F.when(x < 7.07, density * polynomial(TAIL_OVER, x) / polynomial(TAIL_UNDER, x)).when(
+        x < 38, density / far / math.sqrt(2 * math.pi)).otherwise(0.0)
+    return F.when(z.isNotNull(), F.when(z > 0, 1 - upper).otherwise(upper))
 
 
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| > |t|) for Student's t."""
-    if not (math.isfinite(t) and df > 0):
-        return float("nan")
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+def log_gamma(z: Column) -> Column:
+    """For z > 0: Stirling's series, from eight places further on where z is small."""
+    def body(s: Column) -> Column:
+        steps = s["z"]
+        for k in range(1, 8):
+            steps = steps * (s["z"] + k)
+        series = sum((1 / (c * F.pow(s["at"], 2 * k + 1)) for k, c in enumerate(STIRLING)), F.lit(0.0))
+        shift = F.when(s["z"] < 16, F.log(steps)).otherwise(0.0)
+        return (s["at"] - 0.5) * F.log(s["at"]) - s["at"] + 0.5 * math.log(2 * math.pi) + series - shift
 
+    return bound(body, z=z, at=F.when(z < 16, z + 8).otherwise(z))
 
-def f_upper(f: float, d1: float, d2: float) -> float:
-    """P(F > f)."""
-    if not (f >= 0 and d2 > 0):
-        return float("nan")
-    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz), folded over its terms;
+    left of the mean it needs a number of terms that grows with the root of the larger parameter."""
+    guard = lambda v: F.when(F.abs(v) > TINY, v).otherwise(TINY)
+    first = 1 / guard(1 - (a + b) * x / (a + 1))
+    state = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("out"))
 
-def _column(fn, *series: pd.Series) -> pd.Series:
-    out = [fn(*map(float, row)) if not any(pd.isna(v) for v in row) else None for row in zip(*series)]
-    return pd.Series(out, dtype="float64").replace({np.nan: None}).astype("float64")
+    def step(s: Column, i: Column) -> Column:
+        m = F.floor(i / 2).cast("double")
+        term = F.when(i % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+        d, c = 1 / guard(1 + term * s["d"]), guard(1 + term / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["out"] * d * c).alias("out"))
 
+    terms = F.sequence(F.lit(2), (120 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(terms, state, step, lambda s: s["out"])
 
-@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _column(t_two_sided, t, df)
 
+def incomplete_beta(a: Column, b: Column, x: Column, y: Column, log_x: Column) -> Column:
+    """Regularised, at x; y is 1 - x and log_x its logarithm, so that neither loses digits."""
+    def body(s: Column) -> Column:
+        # of the two halves the one left of the mean is folded, as its fraction converges
+        left = s["x"] < (s["a"] + 1) / (s["a"] + s["b"] + 2)
+        pick = lambda u, v: F.when(left, s[u]).otherwise(s[v])
+        part = bound(lambda h: h["front"] * _fraction(h["a"], h["b"], h["x"]) / h["a"],
+                     front=s["front"], a=pick("a", "b"), b=pick("b", "a"), x=pick("x", "y"))
+        return F.transform(F.array(part), lambda p: F.when(left, p).otherwise(1 - p))[0]
 
-@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
-def normal_pvalue(z: pd.Series) -> pd.Series:
-    return _column(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * log_x + b * F.log(F.greatest(y, F.lit(TINY))))
+    return F.when(y <= 0, 1.0).when(x <= 0, 0.0).otherwise(bound(body, a=a, b=b, x=x, y=y, front=front))
+
+
+def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f); NULL where f or the degrees of freedom make no sense."""
+    def body(s: Column) -> Column:
+        p = incomplete_beta(s["b"], s["a"], 1 / (1 + s["r"]), s["r"] / (1 + s["r"]), -F.log1p(s["r"]))
+        return F.when((s["r"] >= 0) & (s["r"] < float("inf")) & (s["a"] > 0) & (s["b"] > 0), p)
+
+    f, d1, d2 = (c.cast("double") for c in (f, d1, d2))
+    return bound(body, a=d1 / 2, b=d2 / 2, r=F.try_divide(d1 * f, d2))
+
+
+def t_pvalue(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) for Student's t."""
+    return f_pvalue(t * t, F.lit(1.0), df)
 
 
-@F.pandas_udf(DoubleType())  # a type object: this module is also imported by workers
-def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _column(f_upper, f, d1, d2)
+def normal_pvalue(z: Column) -> Column:
+    """P(|Z| > |z|)."""
+    return 2 * normal_cdf(-F.abs(z))

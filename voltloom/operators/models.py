@@ -353,12 +353,12 @@ def select_features(train: DataFrame, keys, k: int = 15, target: str = "power_w"
     d = d.withColumn("correlation", r).withColumn("f_score", F.when(
         vx > 0, ratio(F.col("correlation") * F.col("correlation"), 1 - F.col("correlation") * F.col("correlation"))
         * (F.col("N") - 2)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("f_score").desc_nulls_last(), "feature"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("f_score", 9).desc_nulls_last(), "feature"))
     return d.withColumn("kept", rank <= k).select(*keys, "feature", "correlation", "f_score", "N", "kept")
 
 
 def with_f_pvalue(features: DataFrame) -> DataFrame:
-    return features.withColumn("p_value", f_pvalue("f_score", F.lit(1.0), F.col("N") - 2))
+    return features.withColumn("p_value", f_pvalue(F.col("f_score"), F.lit(1.0), F.col("N") - 2))
 
 
 # ------------------------------------------------------------ overfit curves

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.functions.columns import effect_label, half_even, ratio, unbiased_skew
-from voltloom.functions.tails import normal_pvalue, t_pvalue
+from voltloom.functions.tails import normal_cdf, normal_pvalue, t_pvalue
 from voltloom.operators.ranks import COUNT, average_ranks, quantiles, ranked_values
 
 
@@ -128,28 +127,37 @@ def compare_groups(df: DataFrame, keys, value: str, in_a: Column, p_values: bool
         # the larger of the two U with a continuity correction of one half
         big = F.greatest(F.col("u_statistic"), na * nb - F.col("u_statistic"))
         z = ratio(big - na * nb / 2 - 0.5, F.col("_sd"))
-        out = (out.withColumn("t_pvalue", t_pvalue("t_statistic", "t_dof"))
+        out = (out.withColumn("t_pvalue", t_pvalue(F.col("t_statistic"), F.col("t_dof")))
                .withColumn("mannwhitney_pvalue", F.least(F.lit(1.0), F.when(
                    z > 0, normal_pvalue(z)).otherwise(1.0))))
     return out.drop("_ra", "_ties", "_sd", "var_a", "var_b")
 
 
-def fit_normal_and_lognormal(df: DataFrame, value: str) -> DataFrame:
-    """Maximum-likelihood normal and log-normal, compared by the KS statistic on all rows."""
-    x = df.filter(F.col(value) > 0).select(F.col(value).cast("double").alias("x"),
-                                           F.log(value).alias("logx"))
-    fit = x.agg(F.count("x").alias("n"), F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"),
-                F.avg("logx").alias("log_mu"), F.stddev_pop("logx").alias("log_sd"),
-                F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurtosis"))
-    p = fit.first()  # one row of parameters
-    if not p["n"] or not p["sd"] or not p["log_sd"]:
-        return fit.withColumns({"ks_normal": F.lit(None).cast("double"),
-                                "ks_lognormal": F.lit(None).cast("double"),
-                                "better_fit": F.lit(None).cast("string")})
-    ks = lambda c, m, s: KolmogorovSmirnovTest.test(x, c, "norm", m, s).select("statistic").first()[0]
-    a, b = ks("x", p["mu"], p["sd"]), ks("logx", p["log_mu"], p["log_sd"])
-    return fit.withColumns({"ks_normal": F.lit(float(a)), "ks_lognormal": F.lit(float(b)),
-                            "better_fit": F.lit("log-normal" if b < a else "normal")})
+def fit_normal_and_lognormal(df: DataFrame, value: str, keys=()) -> DataFrame:
+    """Maximum-likelihood normal and log-normal of the positive values of every key, compared by the
+    Kolmogorov-Smirnov distance: the largest gap between the fitted and the empirical distribution,
+    on either side of each distinct value. One ranking serves both, as the logarithm keeps the order.
+
+    A constant key has NULL distances; a key without positive values has no row.
+    """
+    keys = list(keys)
+    if not keys:
+        return fit_normal_and_lognormal(df.withColumn("_all", F.lit(1)), value, ["_all"]).drop("_all")
+    x = F.col(value).cast("double")
+    rows = df.filter(x > 0).select(*keys, x.alias("_x"))
+    fit = rows.groupBy(*keys).agg(
+        F.count("_x").alias("n"), F.avg("_x").alias("mu"), F.stddev_pop("_x").alias("sd"), F.avg(F.log("_x")).alias("log_mu"),
+        F.stddev_pop(F.log("_x")).alias("log_sd"), F.skewness("_x").alias("skew"), F.kurtosis("_x").alias("kurtosis"))
+    ranked = ranked_values(rows, keys, "_x").join(fit, keys)
+
+    def distance(z: Column) -> Column:
+        p = normal_cdf(z)
+        return F.max(F.greatest(F.abs(p - F.col("before") / F.col("n")), F.abs((F.col("before") + F.col(COUNT)) / F.col("n") - p)))
+
+    ks = ranked.groupBy(*keys).agg(distance(ratio(F.col("_v") - F.col("mu"), F.col("sd"))).alias("ks_normal"),
+                                   distance(ratio(F.log("_v") - F.col("log_mu"), F.col("log_sd"))).alias("ks_lognormal"))
+    better = F.when(F.col("ks_lognormal") < F.col("ks_normal"), "log-normal").when(F.col("ks_lognormal") >= F.col("ks_normal"), "normal")
+    return fit.join(ks, keys).withColumn("better_fit", better)
 
 
 def sampling_distribution(population: DataFrame, key: str, value: str, sample_size: int = 30,
