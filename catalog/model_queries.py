@@ -11,7 +11,7 @@ from catalog.registry import query
 from catalog.sql import VAC, d, i, is_, r, rs, sql, t, t_sql
 from catalog.detector_queries import LABEL_SQL, SPLIT_SQL
 from voltloom.functions import columns as C
-from voltloom.operators import anomaly, days, forest, models, stats
+from voltloom.operators import anomaly, clusters, days, forest, models, stats
 from voltloom.plans import experiment
 from voltloom.session import stage
 
@@ -409,10 +409,24 @@ def _(w):
 
 @query("v07_v08_day_types")
 def _(w):
-    """Day types of all buildings, on components of all their standardised days together."""
-    z = days.standardise(w.hourly_days).withColumn("basis", F.lit("all"))
-    scores = stage(days.day_scores(z, days.principal_components(z, ("basis",)), keys=("basis",)), "shared_scores")
-    return days.day_type_summary(days.day_types(scores))
+    """Day types of every building on its own components."""
+    return days.day_type_summary(days.day_types(w.day_scores))
+
+
+# what holds of any result: every day is nearest to its own centre, and every centre is its days' mean
+@query("v07_fixed_point", sql(f"""SELECT building, {i('count(DISTINCT date)', 'days')}, {i('4', 'clusters')}, true AS nearest_is_own, true AS centre_is_mean
+  FROM hd GROUP BY 1""", *DENSE, extra=DENSE_SQL))
+def _(w):
+    pcs = ["pc1", "pc2", "pc3"]
+    own, centres = clusters.k_means(w.day_scores, B, pcs, "date")
+    mine = centres.select(*B, "cluster", "centre")
+    every = centres.groupBy(*B).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre")))["centre"].alias("_centres"))
+    d = own.join(every, B).withColumn("_f", F.array(*pcs)).withColumn("_d", clusters.distances())
+    gap = F.get("_d", F.col("cluster")) - F.array_min("_d")
+    means = d.groupBy(*B, "cluster").agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("gap"), F.array(*map(F.avg, pcs)).alias("mean")).join(mine, [*B, "cluster"])
+    off = F.array_max(F.zip_with("mean", "centre", lambda a, b: F.abs(a - b)))
+    return means.groupBy(*B).agg(F.sum("n").alias("days"), F.count(F.lit(1)).alias("clusters"), F.bool_and(F.col("gap") < 1e-9).alias("nearest_is_own"),
+                                 F.bool_and(off < 1e-9).alias("centre_is_mean"))
 
 
 @query("v10_mean_day_shape", sql(f"""SELECT building, {i('days')}, hour, {rs(('m', 'mean_w'), ('m / avg(m) OVER (PARTITION BY building)', 'relative'))}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import series
 from voltloom.config import DEFAULT_RULES, WEEKDAYS
-from voltloom.operators import days, features, forest, models
+from voltloom.operators import clusters, days, features, forest, models
 
 RULES = replace(DEFAULT_RULES, segment_days=7)
 
@@ -224,3 +224,37 @@ def test_day_types_cover_all_days(load):
     t = days.day_type_summary(days.day_types(s, 4)).collect()
     assert sum(r.days for r in t) == 39 and all(0 <= r.pct_weekend <= 100 for r in t)
     assert set(WEEKDAYS) >= {r.weekday for r in s.select("weekday").distinct().collect()}
+
+
+def plain_lloyd(rows, k, seed):
+    """(id, cluster) by the same start, one key at a time."""
+    x = np.array([r[2:] for r in rows], float)
+    h = [hashlib.md5(f"{seed}|{r[0]}|{r[1]}".encode()).hexdigest() for r in rows]
+    centres = [x[min(range(len(x)), key=lambda j: h[j])]]
+    for _ in range(k - 1):
+        reach = [min(((p - c) ** 2).sum() for c in centres) for p in x]
+        far = max(range(len(x)), key=lambda j: (reach[j], h[j]))
+        if reach[far] > 0:
+            centres.append(x[far])
+    centres, before = np.array(centres), None
+    while True:
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        if before is not None and (own == before).all():
+            return {r[1]: int(c) for r, c in zip(rows, own)}
+        before = own
+        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+
+
+def test_k_means_of_many_keys_is_each_ones_own(spark):
+    rng = np.random.default_rng(8)
+    rows = {b: [(b, i, float(u), float(v)) for i, (u, v) in enumerate(rng.normal(0, 1, (n, 2)) + 3 * rng.integers(0, 3, (n, 1)))]
+            for b, n in (("a", 300), ("b", 41), ("c", 5), ("one", 1))}
+    rows["same"] = [("same", i, 2.0, 2.0) for i in range(6)]  # fewer distinct points than clusters
+    d = spark.createDataFrame([r for own in rows.values() for r in own] + [("a", 999, None, 1.0)], "b string, i int, u double, v double").repartition(5)
+    got, centres = clusters.k_means(d, ["b"], ["u", "v"], "i", 4, 7)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.b, {})[r.i] = r.cluster
+    assert found == {b: plain_lloyd(own, 4, 7) for b, own in rows.items()}
+    assert {(r.b, r.n) for r in centres.groupBy("b").agg(F.count("*").alias("n")).collect()} == {("a", 4), ("b", 4), ("c", 4), ("one", 1), ("same", 1)}
+

@@ -44,6 +44,12 @@ WIDE_COLUMNS = {
 }
 
 
+# Names of day types, and where a day counts as flat, as peaking in the morning, in the evening.
+LEVEL_NAMES = {"bottom": "lowest", "second": "low", "third": "high", "top": "highest"}
+SHAPE_NAMES = {"flat": "flat all day", "morning": "morning peak", "evening": "evening peak", "daytime": "daytime peak"}
+FLAT_SWING, MORNING_BEFORE, EVENING_FROM = 0.15, 12, 18
+
+
 @dataclass(frozen=True)
 class Rules:
     """Every numeric rule of the pipeline; the defaults are the published ones."""

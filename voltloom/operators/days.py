@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.config import BLOCKS_PER_DAY, BLOCKS_PER_HOUR
+from voltloom.config import (BLOCKS_PER_DAY, BLOCKS_PER_HOUR, EVENING_FROM, FLAT_SWING, LEVEL_NAMES, MORNING_BEFORE,
+                             SHAPE_NAMES)
 from voltloom.functions.columns import in_vacation_window, period_name, ratio, weekday_name
+from voltloom.operators import clusters
 from voltloom.operators.ranks import quantiles
 
 HOURS = 24
@@ -158,12 +158,9 @@ def error_threshold(scores: DataFrame, keys=("building",), prob: float = 0.99) -
     return quantiles(scores, list(keys), "reconstruction_error", {"p99": prob})
 
 
-def day_types(scores: DataFrame, k: int = 4, seed: int = 42, features=("pc1", "pc2", "pc3")) -> DataFrame:
-    """k-means over the component scores; `cluster` per day. The scores must share one basis:
-    those of one building, or of components taken over all buildings together."""
-    v = VectorAssembler(inputCols=list(features), outputCol="_f").transform(scores)
-    fitted = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cluster", initSteps=5).fit(v)
-    return fitted.transform(v).drop("_f")
+def day_types(scores: DataFrame, k: int = 4, seed: int = 42, features=("pc1", "pc2", "pc3"), keys=("building",)) -> DataFrame:
+    """k-means over the component scores of each key, which share that key's basis; `cluster` per day."""
+    return clusters.k_means(scores, keys, features, "date", k, seed)[0]
 
 
 def mean_profile(days: DataFrame, by) -> DataFrame:
@@ -172,29 +169,31 @@ def mean_profile(days: DataFrame, by) -> DataFrame:
                                  F.array(*[F.avg(F.get("hours", i)) for i in range(HOURS)]).alias("profile"))
 
 
-def name_clusters(profiles: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Plain names from overall level, night-to-day swing and peak hour (a row per cluster)."""
+def name_clusters(profiles: DataFrame, cluster: str = "cluster", keys=()) -> DataFrame:
+    """Plain names from overall level, night-to-day swing and peak hour (a row per key and cluster)."""
     p = F.col("profile")
     night, day = array_mean(p, 0, 6), array_mean(p, 9, 9)
     d = profiles.withColumns({
         "level_w": array_mean(p, 0, HOURS), "night_floor_w": night, "midday_w": array_mean(p, 10, 4),
         "swing": F.when(night > 0, ratio(day - night, night)).otherwise(F.lit(float("inf"))),
         "peak_hour": F.array_position(p, F.array_max(p)).cast("int") - 1})
-    every = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy("level_w", cluster)) - 1
-    size = F.count(F.lit(1)).over(every)
-    names = F.array(*[F.lit(n) for n in ("lowest", "low", "high", "highest")])
-    place = F.when(size > 3, F.least(rank, F.lit(3))).otherwise(F.least(rank, F.lit(1)) * 3)
-    shape = (F.when(F.col("swing") < 0.15, "flat all day").when(F.col("peak_hour") < 12, "morning peak")
-             .when(F.col("peak_hour") >= 18, "evening peak").otherwise("daytime peak"))
-    return d.withColumn("name", F.concat(F.get(names, place), F.lit(" load, "), shape))
-
-
-def day_type_summary(days: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """One row per day type: name, days, mean / night / midday power, weekend and vacation share."""
+    every = Window.partitionBy(*keys)  # a key has a handful of clusters
+    rank, of = F.row_number().over(every.orderBy("level_w", cluster)), F.count(F.lit(1)).over(every)
+    level = F.lit(LEVEL_NAMES["top"])
+    for place in ("third", "second"):
+        level = F.when((of > 3) & (rank == {"third": 3, "second": 2}[place]), LEVEL_NAMES[place]).otherwise(level)
+    level = F.when(rank == 1, LEVEL_NAMES["bottom"]).otherwise(level)
+    shape = (F.when(F.col("swing") < FLAT_SWING, SHAPE_NAMES["flat"]).when(F.col("peak_hour") < MORNING_BEFORE, SHAPE_NAMES["morning"])
+             .when(F.col("peak_hour") >= EVENING_FROM, SHAPE_NAMES["evening"]).otherwise(SHAPE_NAMES["daytime"]))
+    return d.withColumn("name", F.concat(level, F.lit(" load, "), shape))
+
+
+def day_type_summary(days: DataFrame, cluster: str = "cluster", keys=("building",)) -> DataFrame:
+    """One row per key and day type: name, days, mean / night / midday power, weekend and vacation share."""
+    keys = list(keys)
     pct = lambda c: (100 * F.avg(F.col(c).cast("double"))).alias(f"pct_{c[3:]}")
-    extra = days.groupBy(cluster).agg(pct("is_weekend"), pct("is_vacation"))
-    return (name_clusters(mean_profile(days, [cluster]), cluster).join(extra, cluster)
+    extra = days.groupBy(*keys, cluster).agg(pct("is_weekend"), pct("is_vacation"))
+    return (name_clusters(mean_profile(days, [*keys, cluster]), cluster, keys).join(extra, [*keys, cluster])
             .drop("profile", "swing", "peak_hour"))
 
 
