@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.llm import lm, periods, toxicity, variants
+from voltloom.llm import lines, lm, mixing, periods, quality, toxicity, variants
+from voltloom.llm.near import one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -238,3 +239,29 @@ def test_language_model_on_more_shards_than_tokens(spark, texts):
         assert few["n_tokens"] == many["n_tokens"] == len(WORD.findall(t or "")) + 1
         assert few["base_score"] == pytest.approx(many["base_score"]) and few["n_known"] == many["n_known"]
         assert few["score"] == pytest.approx(many["score"], abs=0.01 * few["n_tokens"]) and np.isfinite(many["score"])
+
+
+CLASHES = ("_v", "_n", "_rows", "_i", "_t", "_k", "_doc", "_version", "_dropped", "row", "k", "v", "i", "n", "doc", "version", "DOC", "Copies", "times", "alike", "kept")
+
+
+def test_other_columns_come_through_the_stages(spark):
+    texts = [None, "", "x y z", *["One line that repeats itself.\nand " + " ".join(f"w{j}" for j in range(i * 50, i * 50 + 70)) for i in range(4)]]
+    texts += texts[2:5]  # copies
+    names = [c for i, c in enumerate(CLASHES) if c.lower() not in {x.lower() for x in CLASHES[:i]}]
+    rows = [(i if i else None, t, "en", f"s{i % 2}", *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names)).repartition(3)
+    labels = spark.createDataFrame([(3, 1)], "doc_id bigint, quality int")
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    for got in (quality.kept_rows(docs, labels), one_of_each(docs), mixing.mixed(docs), lines.dedup_lines(docs).drop("n_lines", "n_dropped")):
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(r[c] == whole[r["doc_id"]][c] for r in found for c in names)
+    with pytest.raises(ValueError):
+        lines.dedup_lines(docs.withColumn("N_LINES", F.lit(1)))
+
+
+def test_mixed_rows_alike_in_key_and_text_agree_on_reruns(spark):
+    rows = [(1, "a b c", "en", "s", str(i)) for i in range(5)] + [(2, "d e", "en", "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n string")
+    one, two = (Counter(map(tuple, mixing.mixed(docs.repartition(p)).collect())) for p in (1, 4))
+    assert one == two and sum(one.values())

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltloom.llm.rows import new_names, quoted, unwrapped, wrapped
 from voltloom.session import stage
 
 SALTS = 16
@@ -64,22 +65,16 @@ def drop_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
     """The rows with `text` reduced to the lines kept (null becomes empty), and n_lines, n_dropped."""
-    taken = {"n_lines", "n_dropped"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"the rows have columns {sorted(taken)} already")
-    maps = drop_bitmaps(docs, key, text, least).select(
-        F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"),
-        F.col("n_dropped").alias("_n"))
-    both = docs.withColumn("_v", F.xxhash64(text)).join(
-        maps, (F.col(key) == F.col("_doc")) & (F.col("_v") == F.col("_version")), "left")
-    kept = F.expr(f"array_join(filter(split(coalesce(`{text}`, ''), '\\n', -1), (l, i) -> "
-                  "(shiftright(coalesce(_dropped[shiftright(i, 6)], 0L), i & 63) & 1L) = 0L), '\\n')")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = both.withColumns({
-        "n_lines": (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"))) + 1).cast("bigint"),
-        "n_dropped": F.coalesce("_n", F.lit(0).cast("bigint")),
-        text: F.when(F.col("_dropped").isNull(), whole).otherwise(kept)})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    new_names(docs, "n_lines", "n_dropped")
+    maps = drop_bitmaps(docs, key, text, least)
+    both = wrapped(docs, k=F.col(key), v=F.xxhash64(text)).join(maps, (F.col("k") == F.col("doc")) & (F.col("v") == F.col("version")), "left")
+    body = f"row.{quoted(text)}"
+    kept = F.expr(f"array_join(filter(split(coalesce({body}, ''), '\\n', -1), (l, i) -> "
+                  "(shiftright(coalesce(dropped[shiftright(i, 6)], 0L), i & 63) & 1L) = 0L), '\\n')")
+    whole = F.expr(f"coalesce({body}, '')")
+    n_lines = (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"))) + 1).cast("bigint").alias("n_lines")
+    dropped = F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped")
+    return unwrapped(both, docs, n_lines, dropped, **{text: F.when(F.col("dropped").isNull(), whole).otherwise(kept)})
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltloom.llm.rows import unwrapped, wrapped
 from voltloom.llm.spans import flat, slices, word_spans
 from voltloom.session import stage
 
@@ -199,15 +200,14 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """The rows, each as often as the mix takes it. Rows alike in key and text count alike."""
     counts, _ = mix(docs, key, text, source, **options)
     # equal rows may differ in their count: the sum is dealt out by number
-    n = counts.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    d = docs.withColumn("_v", F.xxhash64(text))
-    d = d.join(n.filter("_n > 0"), F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_version")))
-    alone = d.filter("_rows = 1").withColumn("_i", F.lit(1))
-    several = d.filter("_rows > 1").withColumn("_i", F.row_number().over(Window.partitionBy(key, "_v").orderBy(F.lit(0))))
-    d = alone.unionByName(several)
-    times = F.expr("_n div _rows + if(_i <= _n % _rows, 1, 0)")
-    repeat = F.sequence(F.lit(1).cast("bigint"), F.col("_t"))
-    return d.withColumn("_t", times).filter("_t > 0").withColumn("_k", F.explode(repeat)).select(*docs.columns)
+    n = counts.groupBy("doc", "version").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("alike"))
+    rows = wrapped(docs, k=F.col(key).cast("bigint"), v=F.xxhash64(text))
+    d = rows.join(n.filter("n > 0"), F.col("k").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")))
+    alone = d.filter("alike = 1").withColumn("i", F.lit(1))
+    several = d.filter("alike > 1").withColumn("i", F.row_number().over(Window.partitionBy("k", "v").orderBy(F.xxhash64("row"))))
+    times = F.expr("n div alike + if(i <= n % alike, 1, 0)")
+    d = alone.unionByName(several).withColumn("times", times).filter("times > 0")
+    return unwrapped(d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))), docs)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.llm.components import components
+from voltloom.llm.rows import unwrapped, wrapped
 from voltloom.llm.spans import arrow_binary, flat, hashes, mixed, slices, words
 from voltloom.session import stage
 
@@ -225,10 +226,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows whose document is the smallest of its component, unchanged."""
-    good = near_duplicates(docs, key, text, **options).filter("kept").select(
-        F.col("doc").alias("_doc"), F.col("version").alias("_version")).distinct()
-    return docs.withColumn("_v", F.xxhash64(text)).join(
-        good, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_version")), "left_semi").select(*docs.columns)
+    good = near_duplicates(docs, key, text, **options).filter("kept").select("doc", "version").distinct()
+    rows = wrapped(docs, k=F.col(key).cast("bigint"), v=F.xxhash64(text))
+    return unwrapped(rows.join(good, F.col("k").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")), "left_semi"), docs)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.llm.rows import unwrapped, wrapped
 from voltloom.llm.spans import WHITE, coded, flat, slices, word_spans
 from voltloom.session import stage
 
@@ -187,10 +188,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that are kept, unchanged."""
-    good = judge(docs, labels, key, text, **options).filter("kept").select(
-        F.col("doc").alias("_doc"), F.col("version").alias("_version")).distinct()
-    return docs.withColumn("_v", F.xxhash64(text)).join(
-        good, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_version")), "left_semi").select(*docs.columns)
+    good = judge(docs, labels, key, text, **options).filter("kept").select("doc", "version").distinct()
+    rows = wrapped(docs, k=F.col(key).cast("bigint"), v=F.xxhash64(text))
+    return unwrapped(rows.join(good, F.col("k").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")), "left_semi"), docs)
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
