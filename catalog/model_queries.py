@@ -140,7 +140,23 @@ def _(w):
     return models.with_f_pvalue(f.filter("kept")).drop("N")
 
 
-@query("m07_polynomial_curve")
+# the same recurrence with one CTE per degree: p the newest polynomial, q the one before, f the fit so far;
+# a polynomial that vanishes on the training rows adds nothing
+def _degree(k: int) -> str:
+    before = f"LEFT JOIN s{k - 1} r ON r.building = a.building" if k else "LEFT JOIN (SELECT NULL::DOUBLE AS pp) r ON true"
+    return f"""s{k} AS (SELECT a.building, a.zpp, a.yp, r.pp AS before, CASE WHEN a.pp > 1e-9 * coalesce(r.pp, 0) AND coalesce(r.pp, 1) > 0 THEN a.pp ELSE 0 END AS pp FROM (
+    SELECT building, sum(p * p) FILTER (WHERE split = 'train') AS pp, sum(z * p * p) FILTER (WHERE split = 'train') AS zpp,
+      sum(y * p) FILTER (WHERE split = 'train') AS yp FROM p{k} GROUP BY 1) a {before}),
+p{k + 1} AS (SELECT p.building, split, z, y, (z - coalesce(zpp / nullif(pp, 0), 0)) * p - coalesce(pp / nullif(before, 0), 0) * q AS p, p AS q,
+    f + coalesce(yp / nullif(pp, 0), 0) * p AS f FROM p{k} p JOIN s{k} s ON s.building = p.building)"""
+
+
+POLY_SQL = SPLIT_SQL + """, om AS (SELECT building, avg(occupancy) AS m, stddev_pop(occupancy) AS sd FROM sp WHERE split = 'train' GROUP BY 1),
+p0 AS (SELECT sp.building, split, (occupancy - m) / sd AS z, power_w AS y, 1e0 AS p, 0e0 AS q, 0e0 AS f FROM sp JOIN om ON om.building = sp.building WHERE split <> 'test'), """ + ", ".join(map(_degree, range(11)))
+
+
+@query("m07_polynomial_curve", sql(" UNION ALL ".join(f"""SELECT building, {i(str(k), 'degree')}, {rs(("avg(abs(y - f)) FILTER (WHERE split = 'train')", 'train_mae_w'),
+    ("avg(abs(y - f)) FILTER (WHERE split = 'validation')", 'val_mae_w'))} FROM p{k + 1} GROUP BY 1""" for k in range(1, 11)), "buildings", extra=POLY_SQL))
 def _(w):
     return models.polynomial_curve(w.split, B)
 

@@ -90,6 +90,25 @@ def test_polynomial_curve_matches_numpy(frame):
         assert got[deg].val_mae_w == pytest.approx((va.power_w - np.polyval(w, va.occupancy)).abs().mean())
 
 
+def test_polynomials_of_many_distinct_and_of_few_values(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(20, 4, 3000)
+    few = np.repeat([1.0, 2.0, 5.0], 200)
+    rows = [("real", float(a), float(3 + a - 0.2 * a * a + e), "train" if i % 3 else "validation") for i, (a, e) in enumerate(zip(x, rng.normal(0, 1, 3000)))]
+    rows += [("few", float(a), float(a * a + e), "train") for a, e in zip(few, rng.normal(0, 1, 600))] + [("few", 3.0, 9.0, "validation"), ("one", 2.0, 5.0, "train")]
+    d = spark.createDataFrame(rows, "building string, occupancy double, power_w double, split string").repartition(4)
+    got = {(r.building, r.degree): r for r in models.polynomial_curve(d, ["building"], 6).collect()}
+    pdf = d.toPandas()
+    for b, degrees in (("real", range(1, 7)), ("few", (1, 2))):
+        tr, va = (pdf[(pdf.building == b) & (pdf.split == s)] for s in ("train", "validation"))
+        for k in degrees:
+            w = np.polyfit(tr.occupancy - 20, tr.power_w, k)
+            assert got[b, k].train_mae_w == pytest.approx((tr.power_w - np.polyval(w, tr.occupancy - 20)).abs().mean())
+            assert got[b, k].val_mae_w == pytest.approx((va.power_w - np.polyval(w, va.occupancy - 20)).abs().mean())
+    assert got["few", 6].train_mae_w == pytest.approx(got["few", 2].train_mae_w) and got["few", 6].val_mae_w == pytest.approx(got["few", 2].val_mae_w)
+    assert got["one", 6].train_mae_w == pytest.approx(0, abs=1e-9) and got["one", 6].val_mae_w is None
+
+
 def plain_tree(d, depth):
     """Means of a tree's leaves by exhaustive search over the same columns, one node after the other."""
     out = np.empty(len(d))

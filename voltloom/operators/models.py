@@ -362,38 +362,54 @@ def with_f_pvalue(features: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ overfit curves
-def polynomial_curve(split: DataFrame, keys, max_degree: int = 10, target: str = "power_w") -> DataFrame:
-    """Train and validation MAE of power ~ polynomial(occupancy), degree 1..max_degree.
+def _basis(steps: Column, z: Column) -> Column:
+    """The orthogonal polynomials p_0, p_1, ... at z, newest last, by their three-term recurrence."""
+    def step(s: Column, ab: Column) -> Column:
+        nxt = (z - ab["a"]) * s["p"] - ab["b"] * s["q"]
+        return F.struct(nxt.alias("p"), s["p"].alias("q"), F.concat(s["all"], F.array(nxt)).alias("all"))
+
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"), F.array(F.lit(1.0)).alias("all"))
+    return F.aggregate(steps, start, step, lambda s: s["all"])
+
 
-    Fitted on one row per distinct head count; scored on the rows as an expression.
+def fit_polynomials(train: DataFrame, keys, max_degree: int = 10, x: str = "occupancy", target: str = "power_w") -> DataFrame:
+    """Per key: mean and sd of x, the recurrence `steps` (a, b) and the coefficients of the basis.
+
+    The basis is orthogonal over the training rows, so each degree adds one coefficient and leaves
+    the others as they are; it takes one keyed aggregate, whatever the number of distinct x. A degree
+    that the distinct x cannot tell from lower ones has the coefficient 0.
     """
     keys = list(keys)
-    kinds = dict(split.dtypes)
-    points = (split.filter("split = 'train'").groupBy(*keys, F.col("occupancy").cast("double").alias("x"))
-              .agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(target).alias("y")))
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys]
-                       + ["degree int", "c0 double", "mean array<double>", "sd array<double>", "coef array<double>"])
+    xd = F.col(x).cast("double")
+    shape = train.groupBy(*keys).agg(F.avg(xd).alias("_mean"), F.stddev_pop(xd).alias("_sd"))
+    fit = shape.select(*keys, "_mean", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0).alias("_sd"),
+                       F.array().cast("array<struct<a:double,b:double>>").alias("steps"), F.array().cast("array<double>").alias("coef"),
+                       F.lit(None).cast("double").alias("_s"))
+    points = stage(train.groupBy(*keys, xd.alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum(target).alias("_y")), "points")
+    for degree in range(max_degree + 1):
+        z = (F.col("_x") - F.col("_mean")) / F.col("_sd")
+        d = points.join(fit, keys).withColumn("_z", z).withColumn("_p", F.element_at(_basis(F.col("steps"), F.col("_z")), -1))
+        square = F.col("_n") * F.col("_p") * F.col("_p")
+        sums = d.groupBy(*keys).agg(F.sum(square).alias("_now"), F.sum(square * F.col("_z")).alias("_zpp"), F.sum(F.col("_y") * F.col("_p")).alias("_yp"))
+        told = (F.col("_now") > 1e-9 * F.coalesce("_s", F.lit(0.0))) & (F.coalesce("_s", F.lit(1.0)) > 0)
+        ratio_of = lambda c: F.when(told, ratio(F.col(c), F.col("_now"))).otherwise(0.0)
+        step = F.struct(ratio_of("_zpp").alias("a"), F.when(told & F.col("_s").isNotNull(), ratio(F.col("_now"), F.col("_s"))).otherwise(0.0).alias("b"))
+        fit = stage(fit.join(sums, keys).select(*keys, "_mean", "_sd", F.concat("steps", F.array(step)).alias("steps"),
+                                                F.concat("coef", F.array(ratio_of("_yp"))).alias("coef"),
+                                                F.when(told, F.col("_now")).otherwise(0.0).alias("_s")), "polynomials")
+    return fit.drop("_s")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n, y = (pdf[c].to_numpy(float) for c in ("x", "n", "y"))
-        rows = []
-        for deg in range(1, max_degree + 1):
-            powers = x[:, None] ** np.arange(1, deg + 1)
-            mean = np.average(powers, axis=0, weights=n)
-            sd = np.sqrt(np.average((powers - mean) ** 2, axis=0, weights=n))
-            sd[sd == 0] = 1.0
-            root = np.sqrt(n)
-            ybar = np.average(y, weights=n)
-            w = np.linalg.lstsq((powers - mean) / sd * root[:, None], (y - ybar) * root, rcond=None)[0]
-            rows.append([*[pdf[k].iloc[0] for k in keys], deg, ybar, mean.tolist(), sd.tolist(), w.tolist()])
-        return pd.DataFrame(rows, columns=[*keys, "degree", "c0", "mean", "sd", "coef"])
-
-    fits = points.groupBy(*keys).applyInPandas(solve, schema)
-    term = lambda j: (F.pow(F.col("occupancy").cast("double"), j + 1) - F.get("mean", j)) / F.get("sd", j) * F.get("coef", j)
-    steps = F.sequence(F.lit(0), F.col("degree") - 1)
-    p = F.aggregate(steps, F.col("c0"), lambda acc, j: acc + term(j))
-    d = split.filter("split <> 'test'").join(fits, keys).withColumn("_e", F.abs(F.col(target) - p))
-    at = lambda s: F.avg(F.when(F.col("split") == s, F.col("_e")))
+
+def polynomial_curve(split: DataFrame, keys, max_degree: int = 10, target: str = "power_w") -> DataFrame:
+    """Train and validation MAE of power ~ polynomial(occupancy), degree 1..max_degree."""
+    keys = list(keys)
+    fit = fit_polynomials(split.filter("split = 'train'"), keys, max_degree, target=target)
+    d = split.filter("split <> 'test'").join(fit, keys).withColumn("_z", (F.col("occupancy").cast("double") - F.col("_mean")) / F.col("_sd"))
+    terms = F.zip_with(_basis(F.col("steps"), F.col("_z")), "coef", lambda p, c: p * c)  # the basis is one longer, so its last term is null
+    upto = F.aggregate(F.slice(terms, 1, max_degree + 1), F.array().cast("array<double>"), lambda s, t: F.concat(
+        s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + t)))
+    d = d.select(*keys, "split", F.col(target).alias("_y"), F.posexplode(upto).alias("degree", "_p")).filter("degree > 0")
+    at = lambda s: F.avg(F.when(F.col("split") == s, F.abs(F.col("_y") - F.col("_p"))))
     return d.groupBy(*keys, "degree").agg(at("train").alias("train_mae_w"), at("validation").alias("val_mae_w"))
 
 
