@@ -128,19 +128,34 @@ def block_trigrams(docs: pa.Table, words_: list[list[np.ndarray]], corpus: Corpu
     out = held_out(keys, corpus.fold, corpus.folds)
     n = sizes + 1
     ends = np.cumsum(n) - 1
-    c, often = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
+    # the block's own numbers of its words, in the order of the corpus's: three of them make one key to sort by
+    local = np.empty(len(numbers), np.int64)
+    local[np.argsort(numbers)] = np.arange(FIRST, FIRST + len(numbers))
+    c, often, own = (np.empty(int(n.sum()), np.int64) for _ in range(3))
     word = np.ones(len(c), bool)
     word[ends] = False
-    c[ends], often[ends] = END, corpus.ends
-    c[word], often[word] = numbers[codes], counts[codes]
+    c[ends], often[ends], own[ends] = END, corpus.ends, END
+    c[word], often[word], own[word] = numbers[codes], counts[codes], local[codes]
     starts = ends - n + 1
-    b, a, b_often = np.empty_like(c), np.empty_like(c), np.empty_like(c)
-    b[1:], a[2:], b_often[1:] = c[:-1], c[:-2], often[:-1]
-    b[starts], b_often[starts] = START, corpus.ends
-    a[starts] = START
-    a[(starts + 1)[n > 1]] = START
-    order = np.lexsort((c, a, b))
-    at = heads(a[order], b[order], c[order])
+    second = (starts + 1)[n > 1]
+
+    def before(x: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        one, two = np.empty_like(x), np.empty_like(x)
+        one[1:], two[2:] = x[:-1], x[:-2]
+        one[starts], two[starts], two[second] = first, first, first
+        return one, two
+
+    b, a = before(c, START)
+    b_often = before(often, corpus.ends)[0]
+    own_b, own_a = before(own, START)
+    size = FIRST + len(numbers)
+    if size ** 3 < 1 << 63:
+        key = (own_b * size + own_a) * size + own
+        order = np.argsort(key)  # equal keys are equal trigrams, so their order does not matter
+        at = heads(key[order])
+    else:
+        order = np.lexsort((c, a, b))
+        at = heads(a[order], b[order], c[order])
     new = np.zeros(len(order), np.int64)
     new[at] = 1
     which = np.empty(len(order), np.int64)
@@ -184,6 +199,15 @@ def dealt(b: np.ndarray, g: np.ndarray, shards: int) -> tuple[np.ndarray, np.nda
     return deal, place, np.searchsorted(shard[deal], np.arange(shards + 1))
 
 
+def sorted_by(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by `first`, then two more columns of whole numbers, as one key where they fit together."""
+    a, c = more
+    size = int(c.max()) + 1 if len(c) else 1
+    if len(a) and int(a.max()) + 1 < (1 << 63) // size:
+        return np.lexsort((a * size + c, first))
+    return np.lexsort((c, a, first))
+
+
 def heads(*columns: np.ndarray) -> np.ndarray:
     """Where sorted rows differ from the row before."""
     new = np.zeros(len(columns[0]), bool)
@@ -300,7 +324,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
             parts.append([b, g, sums - before, c, n])
         b, g, a, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         seen = n > 0
-        order = np.flatnonzero(seen)[np.lexsort((c[seen], a[seen], g[seen], b[seen]))]
+        order = np.flatnonzero(seen)[sorted_by(b[seen] * 65_537 + g[seen], a[seen], c[seen])]
         at = heads(b[order], g[order], a[order], c[order])
         one = order[at]
         name = f"shard-{rows[0]['bucket']:05d}.eft"
