@@ -252,7 +252,7 @@ def _(w):
             gain = np.where((ni >= 5) & (n - ni >= 5), np.round((si * si / ni + (s - si) ** 2 / (n - ni) - s * s / n) / (s * s / n), 9), 0)
         return pd.DataFrame({"building": pdf["building"].iloc[:1], "tree": pdf["tree"].iloc[:1], "ord": [gain.argmax() + 1], "gain": [gain.max()]})
 
-    return rows.groupBy("building", "tree").applyInPandas(best, "building string, tree bigint, ord bigint, gain double")
+    return rows.groupBy("building", "tree").applyInPandas(best, "building string, tree bigint, ord bigint, gain double").filter("gain > 0")
 
 
 @query("m07_forest_depth_curve")
