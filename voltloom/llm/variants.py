@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.llm.spans import arrow_binary, coded, flat, lowered, run_spans, slices
+from voltloom.llm.spans import coded, flat, lowered, run_spans, slices
 from voltloom.session import stage
 
 #: Words of more code points meet by halves.
