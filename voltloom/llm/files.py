@@ -50,3 +50,8 @@ class Shard:
     def commit(self) -> None:
         self.out.close()
         self.fs.move(self.temporary, self.final)
+
+    def abandon(self) -> None:
+        """Remove what a failed task has written."""
+        self.out.close()
+        self.fs.delete_file(self.temporary)
