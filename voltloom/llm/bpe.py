@@ -13,7 +13,6 @@ are encoded as any others; a table without rows gives none.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from voltloom.llm.distinct import assemble, ids_table, once_per_word, ragged_bytes, staged_blocks
+from voltloom.llm.kept import once_per_worker
 from voltloom.llm.spans import units
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,13 +33,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(2)
+@once_per_worker
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(2)
+@once_per_worker
 def encoder(path: str):
     import public_tokenizers
     import tiktoken
@@ -47,7 +47,7 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@lru_cache(2)
+@once_per_worker
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all tokens in the order of ids, and where each starts."""
     table = ranks(path)

@@ -18,7 +18,6 @@ repeat a key are counted each; null keys stay.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from voltloom.llm.distinct import assemble, once_per_word, staged_blocks
+from voltloom.llm.kept import once_per_worker
 from voltloom.llm.spans import Coded, coded, flat, words
 
 VOCABULARY, MARK, BELOW = "piece_bpe_32k.model", "▁", 10.0
@@ -37,7 +37,7 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@lru_cache(2)
+@once_per_worker
 def pieces(path: str) -> dict[str, float]:
     """The ordinary pieces of a sentencepiece model and their scores."""
     import sentencepiece
@@ -47,7 +47,7 @@ def pieces(path: str) -> dict[str, float]:
             if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
 
 
-@lru_cache(2)
+@once_per_worker
 def automaton(path: str):
     import ahocorasick
 
@@ -78,7 +78,7 @@ def count(word: str, found, low: float) -> int:
     return number[n]
 
 
-@lru_cache(2)
+@once_per_worker
 def cuts(path: str) -> tuple[bool, bytes]:
     """Whether no piece has a mark behind another character, and the white space that no longer piece holds."""
     several = [p for p in pieces(path) if len(p) > 1]

@@ -18,7 +18,6 @@ documents of their own, in the order of their bytes.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from voltloom.llm.distinct import assemble, drop_blocks, once_per_word, staged_blocks
 from voltloom.llm.files import Shard, discard, new_folder, opened
+from voltloom.llm.kept import once_per_worker
 from voltloom.llm.spans import arrow_binary, flat, ragged, unpack, words
 from voltloom.session import stage
 
@@ -47,7 +47,7 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@lru_cache(2)
+@once_per_worker
 def tokenizer(path: str):
     import os
 
