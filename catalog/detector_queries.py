@@ -197,47 +197,48 @@ def _(w):
     return _episodes(w)
 
 
-@query("t03_worst_episodes", sql(f"SELECT building, {t('start')}, {i('intervals')}, {r('peak_z', 'peak_z')} FROM eps WHERE detector = 'O' ORDER BY eps.peak_z DESC, building, eps.start LIMIT 10",
-                                 "buildings", extra=LABEL_SQL + ", " + EPISODE_SQL))
+@query("t03_worst_episodes", sql(f"""SELECT detector, building, {t('start')}, {i('intervals')}, {r('peak_z', 'peak_z')} FROM (
+  SELECT * FROM eps QUALIFY row_number() OVER (PARTITION BY detector ORDER BY peak_z DESC, building, start) <= 10)""", "buildings", extra=LABEL_SQL + ", " + EPISODE_SQL))
 def _(w):
-    return anomaly.worst_episodes(_episodes(w).filter("detector = 'O'")).select("building", "start", "intervals", "peak_z")
+    return anomaly.worst_episodes(_episodes(w), each=["detector"]).select("detector", "building", "start", "intervals", "peak_z")
 
 
-@query("a38_worst_episodes_by_hour", sql(f"""SELECT hour(start)::BIGINT AS hour, strftime(start, '%Y-%m') AS month, building, {i('count(*)', 'n')}
-  FROM (SELECT * FROM eps WHERE detector = 'O' ORDER BY peak_z DESC, building, start LIMIT 30) GROUP BY 1, 2, 3""", "buildings", extra=LABEL_SQL + ", " + EPISODE_SQL))
+@query("a38_worst_episodes_by_hour", sql(f"""SELECT detector, hour(start)::BIGINT AS hour, strftime(start, '%Y-%m') AS month, building, {i('count(*)', 'n')}
+  FROM (SELECT * FROM eps QUALIFY row_number() OVER (PARTITION BY detector ORDER BY peak_z DESC, building, start) <= 30) GROUP BY 1, 2, 3, 4""", "buildings", extra=LABEL_SQL + ", " + EPISODE_SQL))
 def _(w):
-    top = anomaly.worst_episodes(_episodes(w).filter("detector = 'O'"), 30)
-    return profile.value_counts(top.select(F.hour("start").alias("hour"), C.month_label("start").alias("month"), "building"),
-                                "hour", "month", "building")
+    top = anomaly.worst_episodes(_episodes(w), 30, each=["detector"])
+    return profile.value_counts(top.select("detector", F.hour("start").alias("hour"), C.month_label("start").alias("month"), "building"),
+                                "detector", "hour", "month", "building")
 
 
-@query("n09_w09_episode_per_building", sql(f"""SELECT building, {t('arg_max(start, peak_z)', 'start')}, {rs(('arg_max(flagged_hours, peak_z)', 'flagged_hours'), ('max(peak_z)', 'peak_z'),
+@query("n09_w09_episode_per_building", sql(f"""SELECT building, detector, {t('arg_max(start, peak_z)', 'start')}, {rs(('arg_max(flagged_hours, peak_z)', 'flagged_hours'), ('max(peak_z)', 'peak_z'),
     ('arg_max(mean_excess_kw, peak_z)', 'mean_excess_kw'), ('arg_max(total_excess_kwh, peak_z)', 'total_excess_kwh'), ('avg(flagged_hours)', 'mean_duration_h'),
-    ('sum(total_excess_kwh)', 'building_total_excess_kwh'))}, {i('count(*)', 'total_episodes')} FROM eps WHERE detector = 'O' GROUP BY 1""", "buildings",
+    ('sum(total_excess_kwh)', 'building_total_excess_kwh'))}, {i('count(*)', 'total_episodes')} FROM eps GROUP BY 1, 2""", "buildings",
     extra=LABEL_SQL + ", " + EPISODE_SQL))
 def _(w):
-    return anomaly.episode_summary(_episodes(w).filter("detector = 'O'"))
+    return anomaly.episode_summary(_episodes(w), BD)
 
 
-@query("t02_top_unusual", sql(f"""SELECT building, {t('ts')}, weekday, period, {i('hour')}, {rs('occupancy', ('power_w / 1e3', 'actual_kw'), ('predicted_w / 1e3', 'expected_kw'),
-    ('residual_w / 1e3', 'excess_kw'), 'z')} FROM scored WHERE detector = 'O' ORDER BY abs(scored.z) DESC NULLS LAST, building, scored.ts LIMIT 10""", "buildings", extra=LABEL_SQL))
+@query("t02_top_unusual", sql(f"""SELECT detector, building, {t('ts')}, weekday, period, {i('hour')}, {rs('occupancy', ('power_w / 1e3', 'actual_kw'), ('predicted_w / 1e3', 'expected_kw'),
+    ('residual_w / 1e3', 'excess_kw'), 'z')} FROM (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY detector ORDER BY abs(z) DESC NULLS LAST, building, ts) <= 10)""", "buildings", extra=LABEL_SQL))
 def _(w):
-    s = w.scored.filter("detector = 'O'").select("building", "ts", "power_w", "predicted_w", "residual_w", "z")
-    return anomaly.top_unusual(s, w.buildings, ["building"], 10)
+    s = w.scored.select(*BD, "ts", "power_w", "predicted_w", "residual_w", "z")
+    return anomaly.top_unusual(s, w.buildings, ["building"], 10, each=["detector"])
 
 
-@query("a40_window_kpis", sql(f"""SELECT building, {is_(('count(*) FILTER (WHERE i)', 'intervals'), ("count(*) FILTER (WHERE i AND band = 'ANOMALY')", 'flagged'),
+@query("a40_window_kpis", sql(f"""SELECT building, detector, {is_(('count(*) FILTER (WHERE i)', 'intervals'), ("count(*) FILTER (WHERE i AND band = 'ANOMALY')", 'flagged'),
     ('count(*) FILTER (WHERE i AND occupancy <= 1)', 'low_occupancy_intervals'))}, {rs(("1e2 * avg((band = 'ANOMALY')::INT) FILTER (WHERE i)", 'window_rate_pct'),
     ("1e2 * avg((band = 'ANOMALY')::INT)", 'overall_rate_pct'), ('avg(temp_c) FILTER (WHERE i)', 'temp_mean_c'), ('min(temp_c) FILTER (WHERE i)', 'temp_min_c'),
     ('max(temp_c) FILTER (WHERE i)', 'temp_max_c'), ('sum(power_w) FILTER (WHERE i) / 1e3 * (10e0 / 60e0)', 'window_kwh'))},
     coalesce(avg((band = 'ANOMALY')::INT) > 0 AND 1e2 * avg((band = 'ANOMALY')::INT) FILTER (WHERE i) > greatest(3e2 * avg((band = 'ANOMALY')::INT), 5e0), false) AS drift_warning
   FROM (SELECT s.*, temp_c, s.ts BETWEEN TIMESTAMP '2024-01-27 00:00:00' AND TIMESTAMP '2024-01-29 00:00:00' AS i
-    FROM scored s LEFT JOIN (SELECT building, ts, temp_c FROM buildings) USING (building, ts) WHERE detector = 'O') GROUP BY 1""", "buildings", extra=LABEL_SQL))
+    FROM scored s LEFT JOIN (SELECT building, ts, temp_c FROM buildings) USING (building, ts)) GROUP BY 1, 2""", "buildings", extra=LABEL_SQL))
 def _(w):
-    s = w.scored.filter("detector = 'O'").select("building", "ts", "power_w", "occupancy", "band", "temp_c").withColumn(
+    s = w.scored.select(*BD, "ts", "power_w", "occupancy", "band", "temp_c").withColumn(
         "low_occupancy", C.is_low("occupancy", F.lit(1.0)))
     b = lambda x: F.lit(x).cast("timestamp_ntz")
-    return profile.window_kpis(s, ["building"], b("2024-01-27 00:00:00"), b("2024-01-29 00:00:00"))
+    return profile.window_kpis(s, BD, b("2024-01-27 00:00:00"), b("2024-01-29 00:00:00"))
 
 
 @query("n10_display_scores", sql(f"""

@@ -73,7 +73,8 @@ def _(w):
 
 @query("m04_large_enough_buildings")
 def _(w):
-    return models.model_table(models.fit_and_score(models.large_enough(w.split, B), B), B)
+    table = models.model_table(models.fit_and_score(models.large_enough(w.split, B), B), B)
+    return models.every_key(table, models.usable_rows(w.buildings, B), B, models.MIN_ROWS)
 
 
 def _scores(w):
@@ -86,7 +87,7 @@ def _(w):
 
 
 def _weather_scores(w):
-    return models.fit_and_score(models.weather_rows(w.split, B, 100), B, models.WEATHER_MODELS)
+    return models.weather_models(w.split, B)
 
 
 @query("m08_weather_models")
@@ -341,7 +342,7 @@ def _(w):
 
 @query("n11_weather_detectors")
 def _(w):
-    return experiment.weather_detectors(w.split, C.is_low("occupancy", F.lit(1.0)), min_rows=100, rules=w.rules)
+    return experiment.weather_detectors(w.split, C.is_low("occupancy", F.lit(1.0)), rules=w.rules)
 
 
 # ------------------------------------------------------------------------ days
@@ -445,10 +446,11 @@ def _(w):
                                  F.bool_and(off < 1e-9).alias("centre_is_mean"))
 
 
-@query("v10_mean_day_shape", sql(f"""SELECT building, {i('days')}, hour, {rs(('m', 'mean_w'), ('m / avg(m) OVER (PARTITION BY building)', 'relative'))}
-  FROM (SELECT building, hour, avg(w) AS m, count(*) AS days FROM hd GROUP BY 1, 2 HAVING count(*) >= 20)""", *DENSE, extra=DENSE_SQL))
+@query("v10_mean_day_shape", sql(f"""SELECT building, {i('days')}, hour, {rs(('m', 'mean_w'), ('m / avg(m) OVER (PARTITION BY building)', 'relative'))}, NULL::VARCHAR AS reason
+  FROM (SELECT building, hour, avg(w) AS m, count(*) AS days FROM hd GROUP BY 1, 2 HAVING count(*) >= 30)
+  UNION ALL SELECT building, {i('count(*)', 'days')}, NULL, NULL, NULL, 'fewer than 30 complete days' FROM hd WHERE hour = 0 GROUP BY 1 HAVING count(*) < 30""", *DENSE, extra=DENSE_SQL))
 def _(w):
-    return days.mean_day_shape(w.hourly_days, min_days=20)
+    return days.mean_day_shape(w.hourly_days)
 
 
 @query("v10_complete_days", sql(f"""SELECT building, {is_(('count(*) FILTER (WHERE c)', 'complete_days'), ('count(*)', 'days'))}

@@ -366,17 +366,21 @@ def _(w):
 
 
 # ------------------------------------------------------------------- statistics
+# ten digits or so of each, as sums of squares differ in the last bits
+PLACES = {"variance": 0, "std": 5, "mean": 5, "skew": 6}
+
+
 @query("a17_describe", f"""
-  SELECT l_returnflag, {i('count(*)', 'n')}, {i('mode_count')}, {rs(*[(f'round({e}, 2)', n) for e, n in (
+  SELECT l_returnflag, {i('count(*)', 'n')}, {i('mode_count')}, {rs(*[(f'round({e}, {PLACES.get(n, 3)})', n) for e, n in (
     (f'avg({PRICE})', 'mean'), (f'min({PRICE})', 'min'), (f'max({PRICE})', 'max'), (f'max({PRICE}) - min({PRICE})', 'range'),
-    (f'stddev_samp({PRICE})', 'std'), (f'skewness({PRICE})', 'skew'), (f'quantile_cont({PRICE}, 0.25)', 'q1'), (f'quantile_cont({PRICE}, 0.5)', 'median'),
+    (f'stddev_samp({PRICE})', 'std'), (f'var_samp({PRICE})', 'variance'), (f'skewness({PRICE})', 'skew'), (f'quantile_cont({PRICE}, 0.25)', 'q1'), (f'quantile_cont({PRICE}, 0.5)', 'median'),
     (f'quantile_cont({PRICE}, 0.75)', 'q3'), (f'quantile_cont({PRICE}, 0.75) - quantile_cont({PRICE}, 0.25)', 'iqr'), ('mode', 'mode'))])}
   FROM lineitem JOIN (SELECT l_returnflag, mode, mode_count FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY mode_count DESC, mode) AS rn FROM (
       SELECT l_returnflag, round_even({PRICE} / 1e3, 0) * 1e3 AS mode, count(*) AS mode_count FROM lineitem GROUP BY 1, 2)) WHERE rn = 1) USING (l_returnflag)
   GROUP BY l_returnflag, mode, mode_count""")
 def _(w):
-    s = stats.describe(w.table("lineitem"), ["l_returnflag"], PRICE, 1000.0).drop("variance")
-    return s.select(*[F.round(c, 2).alias(c) if k == "double" else c for c, k in s.dtypes])
+    s = stats.describe(w.table("lineitem"), ["l_returnflag"], PRICE, 1000.0)
+    return s.select(*[F.round(c, PLACES.get(c, 3)).alias(c) if k == "double" else c for c, k in s.dtypes])
 
 
 # Ranks depend on which values are equal, and means that agree to the last bit in one engine
@@ -395,8 +399,9 @@ SPEARMAN_SQL = RANKED_SQL + """, sp AS (SELECT building, power_w, occupancy,
 
 
 @query("a19_power_occupancy_correlation", sql(f"""
-  SELECT building, {i('count(*)', 'n')}, {rs(('corr(power_w, occupancy)', 'pearson_r'), ('corr(rx, ry)', 'spearman_r'), ('corr(power_w, occupancy) * corr(power_w, occupancy)', 'r_squared'))}
-  FROM sp GROUP BY building HAVING count(*) >= 100""", "buildings", extra=SPEARMAN_SQL))
+  SELECT building, {i('count(*)', 'n')}, {rs(('corr(power_w, occupancy)', 'pearson_r'), ('corr(rx, ry)', 'spearman_r'), ('corr(power_w, occupancy) * corr(power_w, occupancy)', 'r_squared'))}, NULL::VARCHAR AS reason
+  FROM sp GROUP BY building HAVING count(*) >= 100
+  UNION ALL SELECT building, {i('count(*)', 'n')}, NULL, NULL, NULL, 'fewer than 100 complete rows' FROM sp GROUP BY building HAVING count(*) < 100""", "buildings", extra=SPEARMAN_SQL))
 def _(w):
     return stats.correlation(_ranked(w), ["building"], "power_w", "occupancy")
 
@@ -457,9 +462,10 @@ def _(w):
 
 
 @query("a19_correlation_p_values", sql(f"""
-  SELECT building, {i('n')}, {rs(('p', 'pearson_r'), ('s', 'spearman_r'), ('p * p', 'r_squared'), (t_sql('tp', '(n - 2)'), 'pearson_p'), (t_sql('ts', '(n - 2)'), 'spearman_p'))}
+  SELECT building, {i('n')}, {rs(('p', 'pearson_r'), ('s', 'spearman_r'), ('p * p', 'r_squared'), (t_sql('tp', '(n - 2)'), 'pearson_p'), (t_sql('ts', '(n - 2)'), 'spearman_p'))}, NULL::VARCHAR AS reason
   FROM (SELECT *, p * sqrt((n - 2) / (1 - p * p)) AS tp, s * sqrt((n - 2) / (1 - s * s)) AS ts FROM
-    (SELECT building, count(*) AS n, corr(power_w, occupancy) AS p, corr(rx, ry) AS s FROM sp GROUP BY building HAVING count(*) >= 100))""", "buildings", extra=SPEARMAN_SQL))
+    (SELECT building, count(*) AS n, corr(power_w, occupancy) AS p, corr(rx, ry) AS s FROM sp GROUP BY building HAVING count(*) >= 100))
+  UNION ALL SELECT building, {i('count(*)', 'n')}, NULL, NULL, NULL, NULL, NULL, 'fewer than 100 complete rows' FROM sp GROUP BY building HAVING count(*) < 100""", "buildings", extra=SPEARMAN_SQL))
 def _(w):
     return stats.correlation(_ranked(w), ["building"], "power_w", "occupancy", p_values=True)
 

@@ -156,12 +156,13 @@ MODEL_A_SQL = """mt AS (SELECT * FROM (SELECT building, power_w, occupancy, hour
 
 
 def _coefs(w):
-    return models.model_a_table(models.train_rows(w.buildings, rules=w.rules))
+    return models.model_a(w.buildings, rules=w.rules)
 
 
-@query("m01_model_a", sql(f"""SELECT building, {i('count(*)', 'n')}, {rs(('any_value(a)', 'a_base_load_w'), ('any_value(b)', 'b_watts_per_occupant'), ('any_value(r2)', 'r2_in_sample'),
+@query("m01_model_a", sql(f"""SELECT building, {i('any_value(u)', 'usable_rows')}, any_value(CASE WHEN u < 2000 THEN 'fewer than 2000 usable rows' END) AS reason, {i('nullif(count(mt.pos), 0)', 'n')}, {rs(('any_value(a)', 'a_base_load_w'), ('any_value(b)', 'b_watts_per_occupant'), ('any_value(r2)', 'r2_in_sample'),
     ('any_value(mp)', 'mean_power_w'), ('any_value(nm)', 'night_median_w'), ('100 * any_value(a) / any_value(mp)', 'base_load_pct_of_mean'))}
-  FROM ma JOIN mt USING (building) GROUP BY building""", "buildings", extra=MODEL_A_SQL))
+  FROM (SELECT building, count(*) FILTER (WHERE usable) AS u FROM buildings GROUP BY 1) LEFT JOIN ma USING (building) LEFT JOIN mt USING (building)
+  GROUP BY building""", "buildings", extra=MODEL_A_SQL))
 def _(w):
     return _coefs(w)
 

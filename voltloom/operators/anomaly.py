@@ -317,12 +317,22 @@ def mean_by_detector(table: DataFrame, by, values, detector: str = "detector", n
 
 
 # ------------------------------------------------------------------ real rows
-def top_unusual(scored: DataFrame, context: DataFrame, keys, n: int = 10, ts: str = "ts") -> DataFrame:
-    """The n rows with the largest |z| and their context; a top-k, not a sort of all rows."""
-    top = scored.orderBy(F.abs("z").desc_nulls_last(), *keys, ts).limit(n)
+def first_rows(df: DataFrame, n: int, order, each=()) -> DataFrame:
+    """The first n rows in `order`, of all rows or of each value of `each`. The engine cuts every
+    partition to n rows a group before it deals them, so no group is sorted whole in one task."""
+    if not each:
+        return df.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*each).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def top_unusual(scored: DataFrame, context: DataFrame, keys, n: int = 10, ts: str = "ts", each=()) -> DataFrame:
+    """The n rows (of each detector, say) with the largest |z| and their context; a top-k, not a
+    sort of all rows."""
+    top = first_rows(scored, n, [F.abs("z").desc_nulls_last(), *keys, ts], each)
     w = [*keys, ts]
     return top.join(context.select(*w, *[c for c in ("occupancy", "hour", "weekday", "period")]), w, "left").select(
-        *w, "weekday", "hour", "period", "occupancy", (F.col("power_w") / 1000).alias("actual_kw"),
+        *each, *w, "weekday", "hour", "period", "occupancy", (F.col("power_w") / 1000).alias("actual_kw"),
         (F.col("predicted_w") / 1000).alias("expected_kw"), (F.col("residual_w") / 1000).alias("excess_kw"), "z")
 
 
@@ -354,8 +364,9 @@ def episodes(scored: DataFrame, keys, flagged: str = "flagged", ts: str = "ts",
                     kwh("_sum").alias("total_excess_kwh"))
 
 
-def worst_episodes(eps: DataFrame, n: int = 10) -> DataFrame:
-    return eps.orderBy(F.col("peak_z").desc(), "building", "start").limit(n)
+def worst_episodes(eps: DataFrame, n: int = 10, each=()) -> DataFrame:
+    """The n episodes (of each detector, say) with the highest peaks."""
+    return first_rows(eps, n, [F.col("peak_z").desc(), "building", "start"], each)
 
 
 def episode_summary(eps: DataFrame, keys=("building",)) -> DataFrame:

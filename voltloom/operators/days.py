@@ -198,11 +198,16 @@ def day_type_summary(days: DataFrame, cluster: str = "cluster", keys=("building"
 
 
 def mean_day_shape(days: DataFrame, keys=("building",), min_days: int = 30) -> DataFrame:
-    """Average day of each key divided by its own mean; keys with few complete days are left out."""
-    d = mean_profile(days.filter("complete"), list(keys)).filter(F.col("days") >= min_days)
+    """Average day of each key divided by its own mean; a key with few complete days has one row,
+    its days and a reason."""
+    keys = list(keys)
+    whole = days.groupBy(*keys).agg(F.count_if("complete").alias("days"))
+    enough = F.col("days") >= min_days
+    d = whole.join(mean_profile(days.filter("complete"), keys).drop("days"), keys, "left").withColumn("profile", F.when(enough, F.col("profile")))
     level = array_mean(F.col("profile"), 0, HOURS)
-    return (d.withColumn("_m", level).select(*keys, "days", "_m", F.posexplode("profile").alias("hour", "mean_w"))
-            .withColumn("relative", ratio(F.col("mean_w"), F.col("_m"))).drop("_m"))
+    return (d.withColumn("_m", level).select(*keys, "days", "_m", F.posexplode_outer("profile").alias("hour", "mean_w"))
+            .withColumn("relative", ratio(F.col("mean_w"), F.col("_m"))).drop("_m")
+            .withColumn("reason", F.when(~enough, F.lit(f"fewer than {min_days} complete days"))))
 
 
 def complete_days(days: DataFrame, keys=("building",)) -> DataFrame:

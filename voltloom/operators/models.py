@@ -78,6 +78,20 @@ def fit_model_a(df: DataFrame, keys, target: str = "power_w", x: str = "occupanc
         F.avg(target).alias("mean_power_w"))
 
 
+def usable_rows(table: DataFrame, keys) -> DataFrame:
+    """How many rows of each key a model may learn from, keys without any included."""
+    known = F.col("usable")
+    for c in ("power_w", "occupancy", *CELL_KEYS):
+        known = known & F.col(c).isNotNull()
+    return table.groupBy(*keys).agg(F.count_if(known).alias("usable_rows"))
+
+
+def every_key(result: DataFrame, sizes: DataFrame, keys, min_rows: int, of: str = "usable_rows") -> DataFrame:
+    """The result's rows, and one row of NULLs with a reason for each key that has under `min_rows`."""
+    return sizes.join(result, list(keys), "left").withColumn(
+        "reason", F.when(F.col(of) < min_rows, F.lit(f"fewer than {min_rows} {of.replace('_', ' ')}")))
+
+
 def train_rows(table: DataFrame, keys=("building",), min_rows: int = MIN_ROWS,
                rules: Rules = DEFAULT_RULES) -> DataFrame:
     """The training stretch of every key with enough usable rows."""
@@ -85,6 +99,11 @@ def train_rows(table: DataFrame, keys=("building",), min_rows: int = MIN_ROWS,
     return split.filter("split = 'train'")
 
 
+def model_a(table: DataFrame, keys=("building",), min_rows: int = MIN_ROWS, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Model A of every key; a key with too few usable rows has NULLs and a reason."""
+    return every_key(model_a_table(train_rows(table, keys, min_rows, rules), keys), usable_rows(table, keys), keys, min_rows)
+
+
 def model_a_table(train: DataFrame, keys=("building",)) -> DataFrame:
     """Model A's coefficients with the training stretch's mean and night-time median."""
     keys = list(keys)
@@ -266,19 +285,31 @@ def large_enough(frame: DataFrame, keys, min_rows: int = MIN_ROWS) -> DataFrame:
     return frame.join(size.select(*keys), list(keys), "left_semi")
 
 
+def weather_sizes(split: DataFrame, keys) -> DataFrame:
+    """Rows with weather in the smallest of each key's three splits."""
+    known = F.col(WEATHER[0]).isNotNull() & F.col(WEATHER[1]).isNotNull()
+    return split.groupBy(*keys).agg(F.least(*[F.count_if(known & (F.col("split") == s)) for s in ("train", "validation", "test")])
+                                    .alias("weather_rows_in_a_split"))
+
+
 def weather_rows(split: DataFrame, keys, min_rows: int = MIN_WEATHER_ROWS) -> DataFrame:
     """Rows with weather, of keys that have enough of them in every split."""
-    d = split.dropna(subset=list(WEATHER))
-    ok = d.groupBy(*keys).agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
-    ok = ok.filter(F.least("train", "validation", "test") >= min_rows)
-    return d.join(ok.select(*keys), list(keys), "left_semi")
+    enough = weather_sizes(split, keys).filter(F.col("weather_rows_in_a_split") >= min_rows)
+    return split.dropna(subset=list(WEATHER)).join(enough.select(*keys), list(keys), "left_semi")
+
+
+def weather_models(split: DataFrame, keys, min_rows: int = MIN_WEATHER_ROWS) -> DataFrame:
+    """Scores of the weather models on weather rows; keys with too few of them have NULLs and a reason."""
+    scores = fit_and_score(weather_rows(split, keys, min_rows), keys, WEATHER_MODELS)
+    return every_key(scores, weather_sizes(split, keys), keys, min_rows, "weather_rows_in_a_split")
 
 
 def weather_gains(scores: DataFrame, keys) -> DataFrame:
     """What weather and occupancy each add to validation R2, with and without the other."""
     at = lambda m: F.max(F.when((F.col("model") == m) & (F.col("split") == "validation"), F.col("r2")))
+    reason = [F.first("reason").alias("reason")] if "reason" in scores.columns else []
     return scores.groupBy(*keys).agg(
-        (at("E") - at("B_w")).alias("weather_gain_without_occupancy"),
+        *reason, (at("E") - at("B_w")).alias("weather_gain_without_occupancy"),
         (at("F") - at("C_w")).alias("weather_gain_with_occupancy"),
         (at("C_w") - at("B_w")).alias("occupancy_gain_without_weather"),
         (at("F") - at("E")).alias("occupancy_gain_given_weather"))

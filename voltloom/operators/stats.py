@@ -58,12 +58,16 @@ def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 def correlation(df: DataFrame, keys, x: str, y: str, min_rows: int = 100,
                 p_values: bool = False) -> DataFrame:
-    """Pearson, Spearman and r squared per key with at least `min_rows` complete rows."""
+    """Pearson, Spearman and r squared of every key; with under `min_rows` complete rows they
+    are NULL and `reason` says so."""
     keys = list(keys)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"))
-    out = (a.join(spearman(d, keys, x, y), keys).filter(F.col("n") >= min_rows)
-           .withColumn("r_squared", F.col("pearson_r") * F.col("pearson_r")))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a = df.groupBy(*keys).agg(F.count_if(both).alias("n"), F.corr(F.when(both, F.col(x)), F.when(both, F.col(y))).alias("pearson_r"))
+    enough = F.col("n") >= min_rows
+    out = a.join(spearman(df.filter(both), keys, x, y), keys, "left").withColumns(
+        {r: F.when(enough, F.col(r)) for r in ("pearson_r", "spearman_r")})
+    out = out.withColumns({"r_squared": F.col("pearson_r") * F.col("pearson_r"),
+                           "reason": F.when(~enough, F.lit(f"fewer than {min_rows} complete rows"))})
     if p_values:
         for r in ("pearson", "spearman"):
             c = F.col(f"{r}_r")

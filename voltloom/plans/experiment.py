@@ -130,7 +130,8 @@ def scored_record(split: DataFrame, table: DataFrame, keys=("building",), fracti
 
 def weather_detectors(split: DataFrame, low: Column, keys=("building",), min_rows: int = models.MIN_WEATHER_ROWS,
                       rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Ranking quality of the detectors with time, weather and occupancy on weather rows.
+    """Ranking quality of the detectors with time, weather and occupancy on weather rows; keys
+    with too few of them have NULLs and a reason.
 
     Scoring reads the labelled rows several times, so they are staged.
     """
@@ -139,4 +140,5 @@ def weather_detectors(split: DataFrame, low: Column, keys=("building",), min_row
     expected = stage(expected_power(models.weather_rows(split, keys, min_rows), keys, fitted), "weather_expected")
     test = stage(labelled_test(expected, keys, low, WEATHER_DETECTORS, rules=rules), "weather_labelled")
     z = anomaly.score_detector(test, [*keys, "detector"], one_sided=True, rules=rules)
-    return anomaly.ranking_scores(z, [*keys, "detector"])
+    return models.every_key(anomaly.ranking_scores(z, [*keys, "detector"]), models.weather_sizes(split, keys), keys, min_rows,
+                            "weather_rows_in_a_split")
