@@ -1,5 +1,5 @@
-"""Expected-power models and day profiles. A least-squares solve is not SQL, so most of
-these have no oracle; the tests check them against direct fits instead."""
+"""Expected-power models and day profiles. The linear models' oracles solve the normal equations
+in SQL (catalog.linear_sql); deeper forests and whole day types have none."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from catalog.linear_sql import linear_sql, scores_sql
 from catalog.registry import query
 from catalog.sql import VAC, d, i, is_, r, rs, sql, t, t_sql
 from catalog.detector_queries import LABEL_SQL, SPLIT_SQL
@@ -20,7 +21,28 @@ B = ["building"]
 D12 = forest.DEPTHS.index(12)
 
 
-@query("m02_m03_fit_and_score")
+def fitted_sql(body: str, rows: str, fitted: dict) -> str:
+    """A query on `lin` and `scores`, the models fitted to `lr`: `rows` are its CTEs after SPLIT_SQL."""
+    return sql(body, "buildings", extra=f"{SPLIT_SQL}, {rows}, {linear_sql('lr', fitted)}, {scores_sql()}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+TIME_ROWS = "lr AS (SELECT building AS g, split = 'train' AS train, * FROM sp)"
+LARGE_ROWS = "lr AS (SELECT building AS g, split = 'train' AS train, * FROM sp WHERE n >= 2000)"
+WEATHER_ROWS = """wn AS (SELECT building, least(count(*) FILTER (WHERE k AND split = 'train'), count(*) FILTER (WHERE k AND split = 'validation'), count(*) FILTER (WHERE k AND split = 'test')) AS least_rows
+    FROM (SELECT *, temp_c IS NOT NULL AND cdh IS NOT NULL AS k FROM sp) GROUP BY 1),
+  lr AS (SELECT sp.building AS g, split = 'train' AS train, sp.* FROM sp JOIN wn USING (building) WHERE least_rows >= 500 AND temp_c IS NOT NULL AND cdh IS NOT NULL)"""
+WEATHER_REASON = "CASE WHEN least_rows < 500 THEN 'fewer than 500 weather rows in a split' END"
+FOLD_ROWS = """fo AS (SELECT *, CASE WHEN q < m - 5 * (m // 6) THEN 0 ELSE (q - (m - 5 * (m // 6))) // (m // 6) + 1 END AS fold FROM (
+    SELECT *, row_number() OVER (PARTITION BY building ORDER BY ts) - 1 AS q, count(*) OVER (PARTITION BY building) AS m FROM sp WHERE split = 'train')),
+  lr AS (SELECT building || '|' || k AS g, fold < k AS train, fo.* FROM fo, (SELECT unnest(range(1, 6)) AS k) WHERE fold <= k)"""
+SCORES = rs("mae_w", "rmse_w", "r2", "mape_pct")
+GAINS = """SELECT building, any_value(least_rows) AS least_rows, v('E') - v('B_w') AS a, v('F') - v('C_w') AS b, v('C_w') - v('B_w') AS c, v('F') - v('E') AS d
+  FROM wn LEFT JOIN (SELECT * FROM scores WHERE split = 'validation') USING (building) GROUP BY 1"""
+for _m in ("B_w", "C_w", "E", "F"):
+    GAINS = GAINS.replace(f"v('{_m}')", f"max(r2) FILTER (WHERE model = '{_m}')")
+
+
+@query("m02_m03_fit_and_score", fitted_sql(f"SELECT building, model, split, {i('n')}, {SCORES} FROM scores", TIME_ROWS, models.TIME_MODELS))
 def _(w):
     return models.fit_and_score(w.split, B)
 
@@ -71,7 +93,10 @@ def _(w):
     return _moments(w, models.weather_rows(w.split, B, 100), models.WEATHER_MODELS, ["occupancy", "temp_c", "cdh"])
 
 
-@query("m04_large_enough_buildings")
+@query("m04_large_enough_buildings", fitted_sql(f"""SELECT building, {i('any_value(u)', 'usable_rows')}, model,
+    any_value(CASE WHEN u < 2000 THEN 'fewer than 2000 usable rows' END) AS reason, {rs(*[(f"max({c}) FILTER (WHERE split = '{s}')", o) for s, c, o in (("train", "r2", "train_r2"), ("validation", "r2", "val_r2"), ("test", "r2", "test_r2"),
+    ("test_corrected", "r2", "test_corrected_r2"), ("validation", "mae_w", "val_mae_w"), ("test", "mae_w", "test_mae_w"), ("test", "rmse_w", "test_rmse_w"))])}
+  FROM (SELECT building, count(*) FILTER (WHERE usable) AS u FROM buildings GROUP BY 1) LEFT JOIN scores USING (building) GROUP BY building, model""", LARGE_ROWS, models.TIME_MODELS))
 def _(w):
     table = models.model_table(models.fit_and_score(models.large_enough(w.split, B), B), B)
     return models.every_key(table, models.usable_rows(w.buildings, B), B, models.MIN_ROWS)
@@ -81,7 +106,10 @@ def _scores(w):
     return models.fit_and_score(w.split, B)
 
 
-@query("m14_a44_occupancy_contribution")
+@query("m14_a44_occupancy_contribution", fitted_sql(f"""SELECT building, {rs(('max(r2) FILTER (WHERE b)', 'b_val_r2'), ('max(r2) FILTER (WHERE NOT b)', 'c_val_r2'),
+    ('max(r2) FILTER (WHERE NOT b) - max(r2) FILTER (WHERE b)', 'r2_gain'), ('max(mae_w) FILTER (WHERE b)', 'b_val_mae_w'), ('max(mae_w) FILTER (WHERE NOT b)', 'c_val_mae_w'),
+    ('100 * (max(mae_w) FILTER (WHERE b) - max(mae_w) FILTER (WHERE NOT b)) / nullif(max(mae_w) FILTER (WHERE b), 0)', 'mae_improvement_pct'))}
+  FROM (SELECT *, model = 'B' AS b FROM scores WHERE split = 'validation') GROUP BY 1""", TIME_ROWS, models.TIME_MODELS))
 def _(w):
     return models.occupancy_contribution(models.model_table(_scores(w), B), B)
 
@@ -90,27 +118,35 @@ def _weather_scores(w):
     return models.weather_models(w.split, B)
 
 
-@query("m08_weather_models")
+@query("m08_weather_models", fitted_sql(f"""SELECT building, {i('least_rows', 'weather_rows_in_a_split')}, {WEATHER_REASON} AS reason, model, split, {i('n')}, {SCORES}
+  FROM wn LEFT JOIN scores USING (building)""", WEATHER_ROWS, models.WEATHER_MODELS))
 def _(w):
     return _weather_scores(w)
 
 
-@query("m08_a44_weather_gains")
+GAIN_NAMES = rs(("a", "weather_gain_without_occupancy"), ("b", "weather_gain_with_occupancy"), ("c", "occupancy_gain_without_weather"),
+                ("d", "occupancy_gain_given_weather"))
+
+
+@query("m08_a44_weather_gains", fitted_sql(f"SELECT building, {WEATHER_REASON} AS reason, {GAIN_NAMES} FROM ({GAINS})", WEATHER_ROWS, models.WEATHER_MODELS))
 def _(w):
     return models.weather_gains(_weather_scores(w), B)
 
 
-@query("a44_gain_summary")
+@query("a44_gain_summary", fitted_sql(f"""SELECT {rs(('avg(c)', 'mean_gain_without_weather'), ('avg(d)', 'mean_gain_given_weather'),
+    ('100 * (1 - avg(d) / nullif(avg(c), 0))', 'shrinkage_pct'))} FROM ({GAINS})""", WEATHER_ROWS, models.WEATHER_MODELS))
 def _(w):
     return models.gain_summary(models.weather_gains(_weather_scores(w), B))
 
 
-@query("m09_cross_validation")
+@query("m09_cross_validation", fitted_sql(f"""SELECT building, model, {i('count(*)', 'folds')}, {rs(('avg(mae)', 'cv_mae_mean_w'), ('stddev_pop(mae)', 'cv_mae_std_w'))} FROM (
+  SELECT split_part(g, '|', 1) AS building, g, model, avg(abs(y - p)) AS mae FROM lin WHERE NOT train GROUP BY 1, 2, 3) GROUP BY 1, 2""", FOLD_ROWS, models.TIME_MODELS))
 def _(w):
     return models.cross_validate(w.split.filter("split = 'train'").drop("pos", "n_rows"), B, rules=w.rules)
 
 
-@query("m10_residuals")
+@query("m10_residuals", fitted_sql(f"""SELECT lin.g AS building, lin.model, {t('ts')}, {rs(('y', 'power_w'), ('p + bias', 'predicted_w'), ('y - p - bias', 'residual_w'))}
+  FROM lin JOIN bias_lin b ON b.g = lin.g AND b.model = lin.model WHERE split = 'test'""", TIME_ROWS, models.TIME_MODELS))
 def _(w):
     return w.expected.filter("split = 'test'").select("building", "model", "ts", "power_w", "predicted_w", "residual_w")
 
