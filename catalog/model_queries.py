@@ -21,9 +21,9 @@ B = ["building"]
 D12 = forest.DEPTHS.index(12)
 
 
-def fitted_sql(body: str, rows: str, fitted: dict) -> str:
-    """A query on `lin` and `scores`, the models fitted to `lr`: `rows` are its CTEs after SPLIT_SQL."""
-    return sql(body, "buildings", extra=f"{SPLIT_SQL}, {rows}, {linear_sql('lr', fitted)}, {scores_sql()}").replace("WITH ", "WITH RECURSIVE ", 1)
+def fitted_sql(body: str, rows: str, fitted: dict, more: str = "") -> str:
+    """A query on `lin` and `scores`, the models fitted to `lr`: `rows` are its CTEs after SPLIT_SQL, `more` those after the fit."""
+    return sql(body, "buildings", extra=f"{SPLIT_SQL}, {rows}, {linear_sql('lr', fitted)}, {scores_sql()}{more}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 TIME_ROWS = "lr AS (SELECT building AS g, split = 'train' AS train, * FROM sp)"
@@ -371,7 +371,17 @@ def _(w):
     return experiment.excess_episodes(rows, B, rules=w.rules)[1]
 
 
-@query("n10_scored_record")
+RECORD_ROWS = TIME_ROWS + ", lt AS (SELECT building, 25e-2 * quantile_cont(occupancy, 0.95) AS low FROM buildings WHERE usable GROUP BY 1)"
+
+
+@query("n10_scored_record", fitted_sql(f"""SELECT building, {t('ts')}, split, {rs('power_w', 'occupancy', 'temp_c', 'cdh', 'expected_w', 'expected_time_only_w', 'residual_w', 'z')},
+    CASE WHEN z < 0 THEN 'NORMAL' WHEN abs(z) >= 3 THEN 'ANOMALY' WHEN abs(z) >= 2 THEN 'WARNING' ELSE 'NORMAL' END AS band, coalesce(occupancy <= low, false) AS low_occupancy
+  FROM (SELECT rec.*, low, (residual_w - med) / CASE WHEN mad > 0 THEN 14826e-4 * mad ELSE 1 END AS z FROM rec JOIN rm USING (building) JOIN ra USING (building) JOIN lt USING (building))""",
+  RECORD_ROWS, models.TIME_MODELS, """, rec AS (SELECT sp.building, sp.ts, sp.split, sp.power_w, sp.occupancy, sp.temp_c, sp.cdh, c.p + cb.bias AS expected_w, b.p + bb.bias AS expected_time_only_w,
+      sp.power_w - c.p - cb.bias AS residual_w FROM sp JOIN lin c ON c.g = sp.building AND c.ts = sp.ts AND c.model = 'C' JOIN lin b ON b.g = sp.building AND b.ts = sp.ts AND b.model = 'B'
+      JOIN bias_lin cb ON cb.g = c.g AND cb.model = 'C' JOIN bias_lin bb ON bb.g = b.g AND bb.model = 'B'),
+    rm AS (SELECT building, quantile_cont(residual_w, 0.5) AS med FROM rec WHERE split = 'test' GROUP BY 1),
+    ra AS (SELECT building, quantile_cont(abs(residual_w - med), 0.5) AS mad FROM rec JOIN rm USING (building) WHERE split = 'test' GROUP BY 1)"""))
 def _(w):
     return experiment.scored_record(w.split, w.buildings, fraction=0.25, rules=w.rules)
 
