@@ -123,7 +123,7 @@ def test_incremental_ingest_equals_the_batch_one(spark, files, tmp_path):
     q.awaitTermination()
     got = incremental.stored_blocks(spark, str(tmp_path / "out"))
     want = blocks.aggregate_blocks(blocks.invalidate(meters(spark, files).filter("meter = 'boys_mains'")))
-    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 3
+    assert incremental.parts_of(spark, str(tmp_path / "out"), 2) == [(0, 0), (0, 1), (0, 2)]
     j = got.alias("a").join(want.alias("b"), ["meter", "ts"], "full_outer")
     bad = j.filter(~F.col("a.power_w").eqNullSafe(F.col("b.power_w")) | ~F.col("a.n_readings").eqNullSafe(F.col("b.n_readings"))
                    | (F.abs(F.col("a.power_factor") - F.col("b.power_factor")) > 1e-9)
@@ -131,6 +131,31 @@ def test_incremental_ingest_equals_the_batch_one(spark, files, tmp_path):
     assert j.count() == 286 and bad.count() == 0
 
 
+def test_parts_are_merged_by_level(spark, tmp_path):
+    """21 batches as three parts; a batch run again changes nothing; old parts can go."""
+    home = str(tmp_path / "parts")
+    rows = [("m", i % 7, float(i), 1, float(i), float(i), 1) for i in range(42)]
+    make = lambda some: spark.createDataFrame(some, "meter string, n int, power_sum double, power_cnt bigint, power_min double, power_max double, rows bigint") \
+        .withColumn("ts", F.lit("2015-06-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("n") * 10)).drop("n")
+    for number in range(21):
+        incremental.store_batch(make(rows[2 * number:2 * number + 2]), home, number)
+        if number % 5 == 0:
+            incremental.store_batch(make(rows[:1]), home, number)           # has its snapshot
+    assert incremental.parts_of(spark, home, 20) == [(2, 15), (1, 19), (0, 20)]
+    read = lambda n=None: incremental.stored_blocks(spark, home, n).orderBy("ts").collect()
+    want = incremental.merge_partials(make(rows)).orderBy("ts").collect()
+    assert read() == want and read(9) == incremental.merge_partials(make(rows[:20])).orderBy("ts").collect()
+    # a batch that ended before its snapshot leaves parts that no reader sees and that stay until it is run again
+    make(rows).write.parquet(incremental.part_path(home, 0, 21))
+    assert read() == want
+    assert incremental.remove_unused(spark, home, 1) == 16 + 4 + 4
+    assert read() == want and (tmp_path / "parts" / "level=0" / "part=21").exists()
+    incremental.store_batch(make(rows[:0]), home, 21)                       # an empty batch
+    assert read() == want and incremental.snapshots(spark, home) == [20, 21]
+    with pytest.raises(FileNotFoundError):
+        incremental.stored_blocks(spark, home, 3)
+
+
 def test_stamps_are_the_site_clock_under_any_session_zone(spark):
     d = spark.createDataFrame([(1433097000,)], "timestamp bigint")
     before = spark.conf.get("spark.sql.session.timeZone")

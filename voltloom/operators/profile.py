@@ -9,6 +9,7 @@ from voltloom.config import BLOCK_SECONDS, DEFAULT_RULES, Rules, WEEKDAYS
 from voltloom.functions.columns import days_in_month, half_even, month_label, month_start, ratio, wall_seconds
 from voltloom.operators.ordered import DAY, SLICE, SEC, slice_of
 from voltloom.operators.ranks import counted_quantiles, quantiles
+from voltloom.operators.samples import sample
 
 
 def _pct(c: Column) -> Column:
@@ -219,8 +220,8 @@ def box_statistics(df: DataFrame, keys, value: str) -> DataFrame:
 
 
 def plot_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A reproducible random subsample of n rows (top n by hash)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """A reproducible random subsample of n rows, those of the lowest hashes."""
+    return sample(df, [key], n, seed=seed)
 
 
 def clip_at(df: DataFrame, keys, value: str, prob: float = 0.999) -> DataFrame:

@@ -3,9 +3,9 @@
 Values are put in about 0.1 % wide bins by a fixed monotone rule, so counting per
 (key, bin) is a map-side combined aggregate and gives every bin's rank offset. Only the
 bins that matter are then looked into, each one on its own. A key with a third of all
-rows is spread over thousands of bins; equal values are one counted row. Only parts of a
-bin are sorted, 1,024 of them, so a steady voltage does not meet in one sort either: of
-values in single precision a part holds eight at most.
+rows is spread over thousands of bins; equal values are one counted row. A bin is sorted
+whole unless it holds more than 65,536 values; such a bin, as of a steady voltage, is cut
+into 1,024 parts that are sorted on their own, and only its parts are counted once more.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from voltloom.operators.ordered import up_to_here
 
-BIN, PART, COUNT = "_bin", "_part", "_count"
+BIN, PART, COUNT, SIZE = "_bin", "_part", "_count", "_size"
 BINS_PER_OCTAVE, PARTS_PER_OCTAVE = 1 << 10, 1 << 20
+LARGE_BIN = 1 << 16
 _ONE_KEY = "_all"
 
 
@@ -36,16 +37,20 @@ def _counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _lower(values: DataFrame, by: list[str], totals: dict[str, str]) -> DataFrame:
     """Distinct values `_v` of bins `by`, with the totals of columns at lower values of the
-    same bin: `totals` maps a column to the name of its total."""
-    d = values.withColumn(PART, value_bin(F.col("_v"), PARTS_PER_OCTAVE))
+    same bin: `totals` maps a column to the name of its total. `_size` bounds a bin's values.
+
+    Where no bin is large the totals of parts are an empty table, and the join to it goes
+    when the plan is adapted."""
+    large = F.col(SIZE) > LARGE_BIN
+    d = values.withColumn(PART, F.when(large, value_bin(F.col("_v"), PARTS_PER_OCTAVE)).otherwise(F.lit(0).cast("bigint")))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     over = before(Window.partitionBy(*by).orderBy(PART))  # a bin has 1,024 parts at most
-    offsets = d.groupBy(*by, PART).agg(*[F.sum(c).alias(f"_s_{c}") for c in totals]).select(*by, PART, *[
-        F.coalesce(F.sum(f"_s_{c}").over(over), F.lit(0)).alias(f"_p_{c}") for c in totals])
+    offsets = d.filter(large).groupBy(*by, PART).agg(*[F.sum(c).alias(f"_s_{c}") for c in totals]).select(*by, PART, *[
+        F.sum(f"_s_{c}").over(over).alias(f"_p_{c}") for c in totals])
     inside = before(Window.partitionBy(*by, PART).orderBy("_v"))
     d = d.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in totals])
-    return d.join(offsets, [*by, PART]).select(
-        *values.columns, *[(F.col(f"_p_{c}") + F.col(f"_i_{c}")).alias(n) for c, n in totals.items()])
+    return d.join(offsets, [*by, PART], "left").select(*values.columns, *[
+        (F.coalesce(F.col(f"_p_{c}"), F.lit(0)) + F.col(f"_i_{c}")).alias(n) for c, n in totals.items()])
 
 
 def _bin_offsets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -73,7 +78,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
                .withColumn("_h", (F.col("_total") - 1) * F.col("_w.p"))
                .filter((F.floor("_h") < F.col("_upto")) & (F.ceil("_h") >= F.col("_before"))))
     bins = targets.groupBy(*keys, BIN).agg(
-        F.first("_before").alias("_before"),
+        F.first("_before").alias("_before"), F.first(F.col("_upto") - F.col("_before")).alias(SIZE),
         F.collect_list(F.struct(F.col("_w.name").alias("name"), F.col("_h").alias("h")))
         .alias("_wanted"))  # at most one entry per requested quantile
     inside = (df.filter(F.col(value).isNotNull())
@@ -81,7 +86,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
               .withColumn(BIN, value_bin(F.col("_v")))
               .join(bins.select(*keys, BIN), [*keys, BIN], "left_semi")
               .groupBy(*keys, BIN, "_v").agg(F.count(F.lit(1)).alias(COUNT)))
-    ranked = (_lower(inside, [*keys, BIN], {COUNT: "_below"}).join(bins, [*keys, BIN])
+    ranked = (_lower(inside.join(bins, [*keys, BIN]), [*keys, BIN], {COUNT: "_below"})
               .withColumn("_lo", F.col("_before") + F.col("_below"))
               .withColumn("_hi", F.col("_lo") + F.col(COUNT))
               .withColumn("_w", F.explode("_wanted")))
@@ -122,12 +127,12 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
                      *[F.sum(c).alias(n) for n, c in sums.items()])
                 .withColumn(BIN, value_bin(F.col("_v"))))
     cols = {COUNT: "before", **{n: f"{n}_before" for n in sums}}
-    per_bin = at_value.groupBy(*keys, BIN).agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
+    per_bin = at_value.groupBy(*keys, BIN).agg(F.count(F.lit(1)).alias(SIZE), *[F.sum(c).alias(f"_b_{c}") for c in cols])
     below = (Window.partitionBy(*keys).orderBy(BIN) if keys else Window.orderBy(BIN))
     below = below.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select(*keys, BIN, *[
+    offsets = per_bin.select(*keys, BIN, SIZE, *[
         F.coalesce(F.sum(f"_b_{c}").over(below), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    out = _lower(at_value, [*keys, BIN], {c: f"_l_{c}" for c in cols}).join(offsets, [*keys, BIN])
+    out = _lower(at_value.join(offsets, [*keys, BIN]), [*keys, BIN], {c: f"_l_{c}" for c in cols})
     return out.select(*keys, "_v", *cols, *[
         (F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(b) for c, b in cols.items()])
 
