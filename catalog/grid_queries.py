@@ -53,6 +53,21 @@ def _(w):
     return incremental.stored_blocks(w.spark, f"{home}/blocks")
 
 
+@query("a01_compacted_blocks", sql(f"""
+  SELECT meter, {t('ts')}, {rs('power_w', 'power_min_w', 'power_max_w', 'voltage', 'current', 'frequency', 'power_factor', 'pf_neg_frac')},
+    {i('n_readings')} FROM agg""", "blocks"))
+def _(w):
+    """The same blocks from nine batches, cut across blocks and in no order of time, whose parts
+    are merged on the way: three parts are read."""
+    home = f"{shared_folder(w.spark)}/voltloom/parts-{uuid.uuid4().hex}"
+    e = R.events(w.spark, w.sf_dir)
+    for number in range(9):
+        batch = R.as_readings(e.filter(F.pmod(F.xxhash64("event_id"), F.lit(9)) == number))
+        incremental.store_batch(incremental.partial_blocks(batch, w.rules), home, number)
+    incremental.remove_unused(w.spark, home, keep=1)
+    return incremental.stored_blocks(w.spark, home)
+
+
 @query("a02_block_counters", sql(f"""
   SELECT meter, {is_(('count(*)', 'blocks_10min'), ('count(*) FILTER (WHERE n_readings = 0)', 'blocks_missing'),
     ('count(*) FILTER (WHERE n_readings BETWEEN 1 AND 9)', 'blocks_partial'))},

@@ -8,7 +8,7 @@ from catalog import roles as R
 from catalog.registry import query
 from catalog.sql import d, i, is_, normal_sql, r, rs, sql, t, t_sql
 from voltloom.functions import columns as C
-from voltloom.operators import blocks, compare, features, profile, stats
+from voltloom.operators import blocks, compare, features, profile, samples, stats
 
 METERS = ["click", "error", "purchase", "signup", "view"]
 PRICE = "l_extendedprice"
@@ -239,11 +239,26 @@ def _(w):
     return profile.box_statistics(w.table("lineitem"), ["l_returnflag"], PRICE)
 
 
-@query("a37_plot_sample")
+def _hash_order(text: str, key: str) -> str:
+    return f"substring(md5(concat('42|', {text})), 1, 15), {key}"
+
+
+@query("a37_plot_sample", f"""
+  SELECT event_id, {r('value', 'value')} FROM events ORDER BY {_hash_order('event_id', 'event_id')} LIMIT 6000""")
 def _(w):
     return profile.plot_sample(w.table("events"), "event_id", 6000).select("event_id", "value")
 
 
+@query("a37_keyed_sample", f"""
+  SELECT event_type, event_id, {r('value', 'value')} FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_hash_order('event_id', 'event_id')}) <= 500""")
+def _(w):
+    """500 events of each type, from the samples of each weekday's events."""
+    e = w.table("events").select("event_type", "event_id", "value", F.weekday("ts").alias("day"))
+    days = [samples.sample(e.filter(F.col("day") == n), ["event_id"], 500, ["event_type"]) for n in range(7)]
+    return samples.merge_samples(days, ["event_id"], 500, ["event_type"]).drop("day")
+
+
 @query("f18_clip_for_display", f"""
   SELECT l_returnflag, {i(f'count(*) FILTER (WHERE {PRICE} > cap)', 'above')}, {rs(('max(cap)', 'cap'), (f'avg(least({PRICE}, cap))', 'mean_clipped'))}
   FROM lineitem JOIN (SELECT l_returnflag, quantile_cont({PRICE}, 0.999) AS cap FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1""")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import roles as R
 from catalog.registry import query
 from catalog.sql import i, is_, r, rs, sql, RUNS_SQL
-from voltloom.operators import assemble, models, waste, weather
+from voltloom.operators import assemble, intervals, models, waste, weather
 from voltloom.functions import columns as C
 from voltloom.plans import experiment, headline
 
@@ -234,6 +235,33 @@ def _(w):
     return weather.band_means(w.buildings.filter("usable"), ["building"])
 
 
+@query("j09_overlapping_bands", sql(f"""
+  SELECT building, p_brand AS band, {i('count(power_w)', 'n')}, {rs(('avg(power_w)', 'mean_power_w'), ('min(temp_c)', 'min_temp_c'), ('max(temp_c)', 'max_temp_c'))}
+  FROM buildings JOIN (SELECT p_brand, min(p_size)::DOUBLE AS lo, min(p_size) + 1 + avg(p_size) / 2e0 AS hi FROM part GROUP BY 1) b ON temp_c >= lo AND temp_c < hi
+  WHERE usable GROUP BY 1, 2""", "buildings"))
+def _(w):
+    """Power by temperature bands that overlap, given as a table: one band per part brand."""
+    size = F.col("p_size")
+    bands = w.table("part").groupBy(F.col("p_brand").alias("band")).agg(
+        F.min(size).cast("double").alias("lo"), (F.min(size) + 1 + F.avg(size) / 2).alias("hi"))
+    d = intervals.covering(w.buildings.filter("usable"), bands, "temp_c", "lo", "hi")
+    return d.groupBy("building", "band").agg(F.count("power_w").alias("n"), F.avg("power_w").alias("mean_power_w"),
+                                             F.min("temp_c").alias("min_temp_c"), F.max("temp_c").alias("max_temp_c"))
+
+
+@query("j09_long_events", sql(f"""
+  SELECT event_id, {i('count(b.ts)', 'blocks')}, {i('count(power_w)', 'n')}, {r('avg(power_w)', 'mean_power_w')}
+  FROM (SELECT event_id, event_type AS meter, ts AS a, ts + to_minutes(k * 600) AS z FROM ev WHERE k % 10 = 0) e
+  LEFT JOIN blocks b ON b.meter = e.meter AND b.ts >= a AND b.ts < z GROUP BY 1 HAVING count(b.ts) > 0""", "blocks"))
+def _(w):
+    """Power of a meter's blocks while an event holds, of none to 37 days; events overlap."""
+    k = F.col("k")
+    e = R.events(w.spark, w.sf_dir).filter(k % 10 == 0).select("event_id", F.col("event_type").alias("meter"), F.col("ts").alias("start"),
+                                                              (F.col("ts") + F.make_dt_interval(mins=(k * 600).cast("int"))).alias("end"))
+    d = intervals.covering(w.blocks.select("meter", "ts", "power_w"), e, "ts", "start", "end", ["meter"])
+    return d.groupBy("event_id").agg(F.count(F.lit(1)).alias("blocks"), F.count("power_w").alias("n"), F.avg("power_w").alias("mean_power_w"))
+
+
 @query("a35_weather_coverage", sql(f"""
   SELECT {is_(('count(*)', 'intervals'), ('count(temp_c)', 'with_temperature'))}, {rs(('1e2 * count(temp_c) / count(*)', 'pct_covered'), ('min(temp_c)', 'min_temp_c'), ('max(temp_c)', 'max_temp_c'))}
   FROM (SELECT DISTINCT ts FROM occ) LEFT JOIN wx USING (ts)""", "occ", "wx"))

@@ -16,7 +16,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = ("a01_blocks_on_grid", "a01_incremental_blocks", "g03_short_gap_fill", "g05_meter_off", "u01_long_table",
         "a07_sensitivity_curve", "a41_headline", "m13_decompose_low_occupancy", "h01_h02_compare_groups",
         "n01_n02_scored_rows", "n08_pooled_answer", "g07_episodes", "m06_feature_selection", "v03_standardised_days",
-        "n03_placed_events", "n09_one_sided_episodes", "s01_s03_meter_files", "s04_occupancy_files", "h04_sampling_distribution")
+        "n03_placed_events", "n09_one_sided_episodes", "s01_s03_meter_files", "s04_occupancy_files", "h04_sampling_distribution",
+        "j09_overlapping_bands", "j09_long_events", "a37_plot_sample", "a37_keyed_sample", "a01_compacted_blocks")
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("VOLTLOOM_ALL") else SOME
 
