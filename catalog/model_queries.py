@@ -446,6 +446,58 @@ def _(w):
     return pc.groupBy("building").agg(F.sum("eigenvalue").alias("total_variance"), F.max("cumulative").alias("last_cumulative")).join(err, "building")
 
 
+# sums of the eigenvalues' powers are the traces of the powers of the matrix, which SQL can form
+@query("v04_a45_spectral_sums", sql(f"""
+  SELECT building, {rs(('sum(s.m) FILTER (WHERE i = j)', 'first_power'), ('sum(s.m * s.m)', 'second_power'), ('sum(s.m * s.mm)', 'third_power'))}, true AS orthonormal, true AS eigenvectors
+  FROM (SELECT a.building, a.i, a.j, any_value(a.m) AS m, sum(b.m * c.m) AS mm FROM cm a JOIN cm b ON b.building = a.building AND b.i = a.i
+    JOIN cm c ON c.building = a.building AND c.i = b.j AND c.j = a.j GROUP BY 1, 2, 3) s GROUP BY 1""", *DENSE, extra=f"""{DENSE_SQL},
+  zd AS (SELECT building, date, hour, (w - avg(w) OVER p) / CASE WHEN stddev_samp(w) OVER p > 0 THEN stddev_samp(w) OVER p ELSE 1 END AS z FROM hd WINDOW p AS (PARTITION BY building, hour)),
+  cm AS (SELECT x.building, x.hour AS i, y.hour AS j, sum(x.z * y.z) / (count(*) - 1) AS m FROM zd x JOIN zd y ON x.building = y.building AND x.date = y.date GROUP BY 1, 2, 3)"""))
+def _(w):
+    """Eigenvalues by their power sums; loadings by P'P = I and by C v = lambda v."""
+    z = days.standardise(w.hourly_days)
+    pc = days.principal_components(z)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    sums = [F.sum(F.pow("eigenvalue", F.lit(p))).alias(n) for p, n in ((1, "first_power"), (2, "second_power"), (3, "third_power"))]
+    other = pc.select(*B, F.col("component").alias("_c"), F.col("loadings").alias("_l"))
+    unit = (F.col("component") == F.col("_c")).cast("double")
+    ortho = pc.join(other, B).groupBy(*B).agg(F.bool_and(F.abs(dot("loadings", "_l") - unit) < 1e-9).alias("orthonormal"))
+    # C v, summed over the days: z times the day's score
+    scored = z.select(*B, "z").join(pc.select(*B, "component", "eigenvalue", "loadings"), B).withColumn("_s", dot("z", "loadings"))
+    cv = scored.groupBy(*B, "component").agg(
+        F.first("eigenvalue").alias("_e"), F.first("loadings").alias("_l"), F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.get("z", h) * F.col("_s")) for h in range(days.HOURS)]).alias("_cv"))
+    off = F.array_max(F.zip_with("_cv", "_l", lambda a, b: F.abs(a / (F.col("_n") - 1) - F.col("_e") * b)))
+    good = cv.groupBy(*B).agg(F.bool_and(off < 1e-8).alias("eigenvectors"))
+    return pc.groupBy(*B).agg(*sums).join(ortho, B).join(good, B)
+
+
+@query("v05_aligned_halves", sql(f"""SELECT building, {i('24', 'components')}, true AS same_side, true AS only_signs FROM hd GROUP BY 1""", *DENSE, extra=DENSE_SQL))
+def _(w):
+    """Components of the even days turned to those of the odd ones: none points away, nothing but signs changes."""
+    half = lambda odd: days.principal_components(days.standardise(w.hourly_days.filter(F.dayofmonth("date") % 2 == odd)))
+    a, b = half(0), half(1)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    d = (days.align_signs(a, b).join(a.select(*B, "component", F.col("loadings").alias("_a")), [*B, "component"])
+         .join(b.select(*B, "component", F.col("loadings").alias("_b")), [*B, "component"]))
+    turned = F.transform("_a", lambda x: -x)
+    return d.groupBy(*B).agg(F.count(F.lit(1)).alias("components"), F.bool_and(dot("loadings", "_b") >= 0).alias("same_side"),
+                             F.bool_and((F.col("loadings") == F.col("_a")) | (F.col("loadings") == turned)).alias("only_signs"))
+
+
+@query("v09_error_is_the_rest", sql(f"""SELECT building, {i('count(DISTINCT date)', 'days')}, true AS as_left_over, true AS below_all FROM hd GROUP BY 1""", *DENSE, extra=DENSE_SQL))
+def _(w):
+    """The squared errors from three components add up to the eigenvalues left over, and no day's
+    error exceeds that of leaving all components out."""
+    z = days.standardise(w.hourly_days)
+    pc = days.principal_components(z)
+    rest = pc.filter("component > 3").groupBy(*B).agg(F.sum("eigenvalue").alias("_rest"))
+    e, whole = F.col("reconstruction_error"), F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x)
+    d = days.day_scores(z, pc).groupBy(*B).agg(F.count(F.lit(1)).alias("days"), F.sum(e * e * days.HOURS).alias("_sum"),
+                                               F.bool_and(e * e * days.HOURS <= whole + 1e-9).alias("below_all"))
+    left_over = F.abs(F.col("_sum") / (F.col("days") - 1) - F.col("_rest")) < 1e-8
+    return d.join(rest, B).select(*B, "days", left_over.alias("as_left_over"), "below_all")
+
+
 @query("v05_a45_loading_summary")
 def _(w):
     return days.loading_summary(_components(w))
