@@ -66,6 +66,13 @@ def test_columns_are_read_by_name(spark, tmp_path):
     assert readers.read_occupancy(spark, [str(tmp_path / "BH.csv")]).first().occupancy == 7
 
 
+def test_calendars_that_disagree(spark, tmp_path):
+    (tmp_path / "calendar_b.csv").write_text("Date,working_day,activity\n2015-06-01,0,A\n2015-06-02,1,H\n2015-06-02,0,L\n")
+    (tmp_path / "calendar_a.csv").write_text("Date,working_day,activity\n2015-06-01,1,Z\n")
+    got = [(str(r.date), r.working_day, r.activity) for r in readers.read_calendar(spark, [str(tmp_path / "*.csv")]).orderBy("date").collect()]
+    assert got == [("2015-06-01", 1, "Z"), ("2015-06-02", 0, "L")]
+
+
 def test_small_readers(spark, files):
     cal = readers.read_calendar(spark, [str(files / "calender_year_*.csv"), str(files / "calendar_year_*.csv")])
     assert cal.count() == 2

@@ -94,10 +94,13 @@ def read_station(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_calendar(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per-year calendars, any number of globs: one row per date."""
+    """Per-year calendars, any number of globs: one row per date. Of several rows for a date that
+    of the file first by name stays, of rows in one file the smallest, missing values first."""
     types = {"Date": "DATE", "working_day": "INT", "activity": "STRING"}
-    return (read_by_name(spark, paths, types, lambda d: d.select(*[c for c in types if c in d.columns]))
-            .withColumnRenamed("Date", "date").dropDuplicates(["date"]))
+    rows = read_by_name(spark, paths, types, lambda d: d.select(*[c for c in types if c in d.columns], F.col("_metadata.file_name").alias("_file")))
+    rest = [c for c in rows.columns if c not in ("Date", "_file")]
+    one = rows.groupBy(F.col("Date").alias("date")).agg(F.min(F.struct("_file", *rest)).alias("_row"))
+    return one.select("date", *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def read_wide_power(spark: SparkSession, path: str, columns=None, zone: str = DEFAULT_RULES.timezone) -> DataFrame:
