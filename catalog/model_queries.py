@@ -409,6 +409,16 @@ def _(w):
     return rows.select("building", "date", F.size(F.array_compact("values")).alias("have"), "night_w", "midday_w", "complete")
 
 
+@query("v01_building_days", sql(f"""SELECT building, {d('x.date', 'date')}, {i('count(power_w)', 'have')}, {r('avg(power_w)', 'mean_w')},
+    bool_and(power_w IS NOT NULL) AND NOT bool_or(coalesce(meter_off, false)) AS complete
+  FROM buildings x GROUP BY building, x.date HAVING count(*) = 144""", "buildings"))
+def _(w):
+    """Days of the building's own total as it is: missing power and dead meters make a day incomplete."""
+    have = F.array_compact("values")
+    mean = C.ratio(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have))
+    return days.day_rows(w.buildings).select("building", "date", F.size(have).alias("have"), mean.alias("mean_w"), "complete")
+
+
 @query("v02_hourly_days", sql(f"SELECT building, {d('date')}, hour, {r('w', 'w')} FROM hd", *DENSE, extra=DENSE_SQL))
 def _(w):
     return w.hourly_days.select("building", "date", F.posexplode("hours").alias("hour", "w"))
