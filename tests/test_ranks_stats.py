@@ -166,3 +166,16 @@ def test_samples_are_without_replacement(spark):
     d = series(spark, [float(i) for i in range(30)]).withColumn("id", F.col("i"))
     r = stats.sampling_distribution(d, "id", "value", 30, 50).first()
     assert r.mean_of_sample_means == 14.5 and r.sd_of_sample_means == 0
+
+
+def test_correlation_matrix_of_a_constant_column(spark):
+    rows = [(float(i), float(i * i % 7), 99.0, None if i == 3 else 2.0 * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "x double, y double, flat double, z double")
+    got = {(r.a, r.b): r.r for r in stats.correlation_matrix(df, ["x", "y", "flat", "z"]).collect()}
+    want = np.corrcoef(np.array([r for r in rows if r[3] is not None])[:, [0, 1, 3]].T)
+    assert got[("x", "y")] == pytest.approx(want[0, 1]) and got[("x", "z")] == pytest.approx(1.0)
+    assert got[("y", "z")] == pytest.approx(want[1, 2]) and len(got) == 6
+    assert all(math.isnan(got[p]) for p in (("x", "flat"), ("y", "flat"), ("flat", "z")))
+    one = stats.correlation_matrix(df.filter("x = 1"), ["x", "y"]).collect()
+    assert [math.isnan(r.r) for r in one] == [True]
+    assert [r.r for r in stats.correlation_matrix(df.filter("x < 0"), ["x", "y"]).collect()] == [None]

@@ -77,12 +77,21 @@ def correlation(df: DataFrame, keys, x: str, y: str, min_rows: int = 100,
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Pearson over complete rows, in one aggregate, laid out as (a, b, r)."""
+    """Pairwise Pearson over complete rows, in one aggregate, laid out as (a, b, r).
+
+    A constant column has no correlation: its r is NaN. With no complete row r is NULL.
+    """
     d = df.select(*columns).dropna()
     pairs = list(combinations(columns, 2))
-    wide = d.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    # not corr(): it divides by 0, an error in ANSI mode, where a column is constant
+    wide = d.agg(*[F.stddev_pop(a).alias(a) for a in columns], *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs])
+
+    def r(a: str, b: str) -> Column:
+        spread = F.col(f"`{a}`") * F.col(f"`{b}`")
+        return F.when(spread == 0, float("nan")).otherwise(F.col(f"`{a}|{b}`") / spread)
+
     return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r"))
         for a, b in pairs])).alias("_c")).select("_c.*")
 
 
