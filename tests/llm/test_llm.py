@@ -197,6 +197,16 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_drops_its_dictionaries(spark):
+    for texts, want in ((["a b c a b", "a b d", None], {"docs"}), ([None, ""], {"docs"})):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        before = {t.name for t in spark.catalog.listTables()}
+        got = lm.score(docs)
+        made, = {t.name for t in spark.catalog.listTables()} - before
+        assert {r[0].removeprefix("kind=") for r in spark.sql(f"SHOW PARTITIONS {made}").collect()} == want
+        assert len(got.collect()) == len(got.collect()) == len(texts)  # the scores need them no more
+
+
 def test_knapsack_of_long_documents():
     one = np.ones(3, np.int64)
     assert mixing.fill(150_000, np.array([100_000, 90_000, 60_000]), one, 1 << 14).tolist() == [0, 1, 1]

@@ -29,14 +29,24 @@ ROW = "block long, bucket int, keys array<bigint>, payload binary"
 ROW_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
+def blocks_table(rows: DataFrame) -> str | None:
+    """The name of the table that rows of staged_blocks() lie in; None if there are no rows."""
+    files = rows.inputFiles()
+    return next(part for part in files[0].split("/") if part.startswith("llm_blocks_")) if files else None
+
+
 def drop_blocks(doc_rows: DataFrame) -> None:
     """Drop the table of staged_blocks() when nothing reads it any more."""
-    files = doc_rows.inputFiles()
-    if files:
-        name = next(part for part in files[0].split("/") if part.startswith("llm_blocks_"))
+    if name := blocks_table(doc_rows):
         doc_rows.sparkSession.sql(f"DROP TABLE {name}")
 
 
+def drop_words(word_rows: DataFrame) -> None:
+    """Drop the dictionaries of staged_blocks() when nothing reads them any more; the documents stay."""
+    if name := blocks_table(word_rows):
+        word_rows.sparkSession.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (kind = 'words')")
+
+
 def n_buckets(spark) -> int:
     """As many as shuffle partitions, which a session sets by its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.llm.distinct import ROW, ROW_ARROW, in_order, n_buckets, row, staged_blocks
+from voltloom.llm.distinct import ROW, ROW_ARROW, drop_words, in_order, n_buckets, row, staged_blocks
 from voltloom.llm.eliasfano import coded as ef_coded
 from voltloom.llm.eliasfano import decoded as ef_decoded
 from voltloom.llm.eliasfano import found, mapped, ranged, save
@@ -292,6 +292,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
     doc_rows, word_rows = staged_blocks(docs, key, text, lambda c: words(c, lower=True),
                                         lambda keys: ~held_out(keys, fold, folds), BLOCK_BYTES)
     numbers = stage(numbered_words(word_rows, buckets), "lm_words")
+    drop_words(word_rows)  # from here on words are their numbers
     totals = [unpack(r[0])[0] for r in numbers.filter("block = -1").select("payload").collect()]  # a row per bucket
     k = F.col(key)
     ends = docs.filter(F.coalesce(F.crc32(k.cast("bigint").cast("string").cast("binary")) % folds != fold, F.lit(True))).count()
